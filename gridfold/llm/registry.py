@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from gridfold.llm.linededup import OP10_SQL, op10_line_dedup
 from gridfold.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op8_simhash": op8_simhash}
+    return {"op8_simhash": op8_simhash, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}

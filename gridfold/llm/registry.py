@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from gridfold.llm.linededup import OP10_SQL, op10_line_dedup
+from gridfold.llm.mixing import op7_mixing
+from gridfold.llm.sharding import op3_sharding
 from gridfold.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op8_simhash": op8_simhash, "op10_line_dedup": op10_line_dedup}
+    return {"op3_sharding": op3_sharding, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridfold.llm.chat import op6_chat_format
+from gridfold.llm.licenses import op5_licenses
 from gridfold.llm.linededup import OP10_SQL, op10_line_dedup
 from gridfold.llm.mixing import op7_mixing
 from gridfold.llm.sharding import op3_sharding
@@ -10,7 +11,7 @@ from gridfold.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op3_sharding": op3_sharding, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op10_line_dedup": op10_line_dedup}
+    return {"op3_sharding": op3_sharding, "op5_licenses": op5_licenses, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridfold.llm.chat import op6_chat_format
 from gridfold.llm.decontam import op9_decontamination
+from gridfold.llm.langid import op2_language_id
 from gridfold.llm.licenses import op5_licenses
 from gridfold.llm.linededup import OP10_SQL, op10_line_dedup
 from gridfold.llm.mixing import op7_mixing
@@ -13,7 +14,7 @@ from gridfold.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op3_sharding": op3_sharding, "op5_licenses": op5_licenses, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_line_dedup": op10_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_language_id": op2_language_id, "op3_sharding": op3_sharding, "op5_licenses": op5_licenses, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,13 +8,14 @@ from gridfold.llm.langid import op2_language_id
 from gridfold.llm.licenses import op5_licenses
 from gridfold.llm.linededup import OP10_SQL, op10_line_dedup
 from gridfold.llm.mixing import op7_mixing
+from gridfold.llm.quality_net import op4_quality_classifier
 from gridfold.llm.quality_rules import op1_quality_rules
 from gridfold.llm.sharding import op3_sharding
 from gridfold.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_language_id": op2_language_id, "op3_sharding": op3_sharding, "op5_licenses": op5_licenses, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_line_dedup": op10_line_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_language_id": op2_language_id, "op3_sharding": op3_sharding, "op4_quality_classifier": op4_quality_classifier, "op5_licenses": op5_licenses, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

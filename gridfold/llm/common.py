@@ -30,15 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (local tests) a
-    temporary one is made.
+    Only where none is set (local tests) a temporary folder is made and set.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    known = spark.conf.get("spark.checkpoint.dir", "")
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not known and now.isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridfold-checkpoint-"))
+        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return known or now.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -166,23 +166,40 @@ def fit(docs: DataFrame, allowed: Column, fit_rows: int = FIT_ROWS) -> tuple[lis
     return languages, train(inputs, length, np.array([y for _, y in pieces])[owner], len(languages))
 
 
+def _predicted(model, text: pa.Array, has_letter: pa.Array) -> tuple[list[str], np.ndarray]:
+    languages, net = model.value
+    found = [np.zeros((0, len(languages)))]
+    for _, _, data, offsets in text_blocks(text):
+        found.append(document_probabilities(net, data, offsets) if net else np.zeros((len(offsets) - 1, len(languages))))
+    p, letters = np.concatenate(found), np.array(has_letter.to_pylist(), bool) & bool(net)
+    best = p.argmax(axis=1) if p.shape[1] else np.zeros(len(p), int)
+    score = np.where(letters, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0) if p.shape[1] else np.zeros(len(p))
+    return [languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)], score
+
+
 def _predictor(model) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, net = model.value
         for batch in batches:
-            best, score = [], []
-            for _, _, data, offsets in text_blocks(batch.column("text")):
-                p = document_probabilities(net, data, offsets) if net else np.zeros((len(offsets) - 1, 0))
-                for own in p:
-                    best.append(languages[int(own.argmax())] if len(own) else UNDETERMINED)
-                    score.append(float(min(1.0, own.max())) if len(own) else 0.0)
-            plain = batch.column("has_letter").to_pylist()
-            lang = [x if ok else UNDETERMINED for x, ok in zip(best, plain, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(lang, pa.string()), pa.array([x if ok else 0.0 for x, ok in zip(score, plain, strict=True)], pa.float64())], [*batch.schema.names[:-2], "lang_pred", "score"])
+            lang, score = _predicted(model, batch.column("text"), batch.column("has_letter"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return predict
 
 
+def _sieve(model, least: float) -> Callable:
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns
+            lang, score = _predicted(model, batch.column(n - 1), batch.column(n - 2))
+            keep = np.array([x != UNDETERMINED for x in lang], bool) & (score >= least)
+            yield batch.select(range(n - 2)).filter(pa.array(keep))
+
+    return sieve
+
+
+HAS_LETTER = r"\p{L}"
+
+
 def identify(docs: DataFrame, allowed: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for every row of ``docs``.
 
@@ -191,11 +208,25 @@ def identify(docs: DataFrame, allowed: Column, fit_rows: int = FIT_ROWS) -> Data
     learned. ``score`` is the mean probability of the language over all byte positions.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, allowed, fit_rows))  # some 100 KB, set by HIDDEN
-    rows = text_or_empty(docs, "doc_id").withColumn("has_letter", F.col("text").rlike(r"\p{L}")).select("doc_id", "has_letter", "text")
+    rows = text_or_empty(docs, "doc_id").withColumn("has_letter", F.col("text").rlike(HAS_LETTER))
     return rows.mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, allowed: Column, least: float = LEAST_SCORE, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is determined with a score of ``least`` or more.
+
+    Null, empty and letterless texts go. The filter runs in one pass, without a join.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, allowed, fit_rows))
+    rows = docs.withColumn("_gridfold_letter", F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False))).withColumn("_gridfold_text", F.coalesce(F.col("text"), F.lit("")))
+    return rows.mapInArrow(_sieve(model, least), docs.schema)
+
+
+def learnable(docs_key: str = "doc_id") -> Column:
+    """Rows outside the hold-out fold: those whose crc32 of the id as text leaves a remainder by 5."""
+    return hash_slot(docs_key, 5) != 0
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = identify(docs, hash_slot("doc_id", 5) != 0)
-    return found.select("doc_id", (hash_slot("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return identify(docs, learnable()).select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")

@@ -14,8 +14,8 @@ from gridfold.functions.text import normalise_postcode
 
 CSV_GLOB = "*.[cC][sS][vV]"
 TAGS = "map<string,string>"
-ELEMENT = f"struct<id:bigint,type:string,lat:double,lon:double,tags:{TAGS},geometry:array<struct<lat:double,lon:double>>>"
-FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
+ELEMENT = f"id bigint, type string, lat double, lon double, tags {TAGS}, geometry array<struct<lat:double,lon:double>>"
+FEATURE = "type string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
 
 
 def _existing(read, path: str, step: str) -> DataFrame:
@@ -66,9 +66,9 @@ def map_elements(spark: SparkSession, path: str, lines: bool = False, step: str
     One document with ``elements`` by default; with ``lines`` one element a line, which splits at scale.
     """
     if lines:
-        rows = _existing(spark.read.schema(ELEMENT[7:-1]).json, path, step)
+        rows = _existing(spark.read.schema(ELEMENT).json, path, step)
         return rows.select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("ord"), "*")
-    rows = _existing(spark.read.schema(f"elements array<{ELEMENT}>").option("multiLine", True).json, path, step)
+    rows = _existing(spark.read.schema(f"elements array<struct<{ELEMENT}>>").option("multiLine", True).json, path, step)
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode("elements").alias("ord", "e")).select("file_path", "ord", "e.*")
 
 
@@ -79,9 +79,9 @@ def geojson(spark: SparkSession, path: str, lines: bool = False, step: str = "ar
     ``lines`` the input has one feature a line.
     """
     if lines:
-        rows = _existing(spark.read.schema(FEATURE[7:-1]).json, path, step).select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("ord"), F.struct("type", "geometry", "properties").alias("f"))
+        rows = _existing(spark.read.schema(FEATURE).json, path, step).select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("ord"), F.struct("type", "geometry", "properties").alias("f"))
     else:
-        rows = _existing(spark.read.schema(f"features array<{FEATURE}>").option("multiLine", True).json, path, step).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode("features").alias("ord", "f"))
+        rows = _existing(spark.read.schema(f"features array<struct<{FEATURE}>>").option("multiLine", True).json, path, step).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode("features").alias("ord", "f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     rings = F.when(kind == "Polygon", F.from_json(text, "array<array<array<double>>>")).when(kind == "MultiPolygon", F.flatten(F.from_json(text, "array<array<array<array<double>>>>")))
     point = F.when(kind == "Point", F.from_json(text, "array<double>"))

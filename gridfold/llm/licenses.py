@@ -159,22 +159,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``detections`` is an array of ``(start, end, label, priority, weight)`` of the surviving matches, in word
     positions from 0. Null and empty texts have no words and no detections; repeated rows are scanned
-    one by one. The columns of ``docs`` stay as they are.
+    one by one. Other columns of ``docs`` stay as they are; columns of these three names are replaced.
     """
     columns = [x for x in docs.columns if x not in ("n_words", "words", "detections")]
     lowered = F.lower("text")
     stem = F.lit(False)
     for word in stems():
-        stem = stem | F.contains(F.col("_lower"), F.lit(word))
-    counted = docs.select(*columns, F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"), lowered.alias("_lower"))
+        stem = stem | F.contains(F.col("_gridfold_lower"), F.lit(word))
+    counted = docs.select(*columns, F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"), lowered.alias("_gridfold_lower"))
     named = counted.select(*columns, "n_words", F.when(stem, normalised(F.col("text"))).alias("words"))
     all_rules = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("keyword", "expression", "label", "priority", "weight"), rule, strict=True))) for rule in rules()))
     keywords = F.array(*map(F.lit, sorted({keyword for keyword, *_ in rules()})))
     met = F.filter(keywords, lambda k: F.contains(F.col("words"), F.concat(F.lit(" "), k)))
-    gated = F.filter(all_rules, lambda r: F.array_contains(F.col("_met"), r["keyword"]))
-    found = F.when(F.size("_met") > 0, F.flatten(F.transform(gated, lambda r: _matches(F.col("words"), r))))
-    kept = F.transform(_surviving(F.col("_found")), lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["label"].alias("label"), x["priority"].alias("priority"), x["weight"].alias("weight")))
-    return named.select("*", met.alias("_met")).select("*", found.alias("_found")).select(*columns, "n_words", "words", F.when(F.size("_found") > 0, kept).alias("detections"))
+    gated = F.filter(all_rules, lambda r: F.array_contains(F.col("_gridfold_met"), r["keyword"]))
+    found = F.when(F.size("_gridfold_met") > 0, F.flatten(F.transform(gated, lambda r: _matches(F.col("words"), r))))
+    kept = F.transform(_surviving(F.col("_gridfold_found")), lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["label"].alias("label"), x["priority"].alias("priority"), x["weight"].alias("weight")))
+    return named.select("*", met.alias("_gridfold_met")).select("*", found.alias("_gridfold_found")).select(*columns, "n_words", "words", F.when(F.size("_gridfold_found") > 0, kept).alias("detections"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

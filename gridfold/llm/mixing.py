@@ -95,9 +95,11 @@ def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, most_passes: fl
 
 def mixture(docs: DataFrame) -> DataFrame:
     """``docs`` as the mixture holds them: every row as often as :func:`mix` says, with its own columns."""
-    copies = mix(docs).groupBy("doc_id", "text_hash").agg(F.max("copies").alias("_copies"))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "_copies").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
+    copies = mix(docs).groupBy("doc_id", "text_hash").agg(F.max("copies").alias("_gridfold_copies"))
+    copies = copies.withColumnsRenamed({"doc_id": "_gridfold_id", "text_hash": "_gridfold_text"})
+    met = F.col("doc_id").eqNullSafe(F.col("_gridfold_id")) & (F.col("_gridfold_hash") == F.col("_gridfold_text"))
+    joined = docs.withColumn("_gridfold_hash", F.xxhash64("text")).join(copies.hint("shuffle_hash"), met)
+    return joined.where("_gridfold_copies > 0").withColumn("_gridfold_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_gridfold_copies"))).select(docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

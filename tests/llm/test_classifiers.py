@@ -1,0 +1,153 @@
+"""Quality rules, language network and quality network: counts by brute force, gradients, held-out accuracy, odd rows."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from oddities import LONG, TEXTS, empty, odd
+from pyspark.sql import functions as F
+
+from gridfold.llm import hashing, langid, quality_net, quality_rules, training
+
+SMALL = {"en": "the of and to in is that for with was on as it by this".split(), "de": "der die und das ist nicht mit auf für sich dem ein zu von".split(), "fr": "le de la et les des un une que qui dans pour sur être à".split()}
+
+
+def sentences(rng, lang, n):
+    own = SMALL[lang]
+    return " ".join(rng.choice(own) if rng.random() < 0.6 else "".join(rng.choice({"en": "theodnr", "de": "ßchüneit", "fr": "éaueoix"}[lang]) for _ in range(5)) for _ in range(n))
+
+
+def labelled(rng, n):
+    docs, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.7
+        words = sentences(rng, rng.choice(list(SMALL)), rng.randrange(12, 80)).split()
+        if not good:
+            words = [w + rng.choice(["$$$", "###", "&&&"]) for w in words] if rng.random() < 0.5 else [w.upper() + "!!" for w in words]
+        docs.append((i, " ".join(words), "en"))
+        labels.append((i, int(good), 0))
+    return docs, labels
+
+
+def base_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    counts = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(5)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered))
+
+
+def test_base_rules_by_brute_force(spark):
+    rng = random.Random(1)
+    texts = [t for _, t, *_ in TEXTS if t != LONG] + ["a b c d e " * 3, "é é é\x0bx #|<\n\n x\n x\n", "x" * 50_000, LONG[:4000]]
+    texts += ["".join(rng.choice(["a ", "b ", "é", "\n", "$", "word "]) for _ in range(rng.randrange(300))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for r in quality_rules.judge(docs.repartition(3), labels).collect():
+        want = base_counts(texts[r["doc_id"]])
+        assert tuple(r)[1:6] == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and r["kept"] == (not r["base_failed"])
+
+
+def test_quality_rules_on_held_out_rows(spark):
+    rng = random.Random(2)
+    docs, labels = labelled(rng, 500)
+    known = spark.createDataFrame(labels[:350], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), known).collect()}
+    right = sum(got[i]["kept"] == bool(q) for i, q, _ in labels[350:])
+    assert right >= 0.95 * 150 and all(0 <= r["quality"] <= 1 for r in got.values())
+
+
+def test_quality_network_on_held_out_rows(spark):
+    rng = random.Random(3)
+    docs, labels = labelled(rng, 600)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    flipped = spark.createDataFrame([(i, q if i % 3 != 1 else 1 - q, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_net.classify(frame, flipped, F.col("doc_id") % 3 != 1).collect()}
+    held = [(i, q) for i, q, _ in labels if i % 3 == 1]
+    assert sum(got[i]["predicted"] == q for i, q in held) >= 0.95 * len(held)  # labels of that fold were turned round
+
+
+@pytest.mark.parametrize("run", [lambda d, y: quality_rules.judge(d, y), lambda d, y: quality_net.classify(d, y)])
+def test_odd_rows(spark, run):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0), (8, 1, 1), (6, 5, 0)], "doc_id long, quality int, toxic int")
+    assert run(odd(spark), labels).count() == len(TEXTS)
+    assert run(empty(spark), labels).count() == 0 and run(odd(spark), labels.limit(0)).count() == len(TEXTS)
+
+
+def test_word_hashes_depend_on_words_alone():
+    data = b"ab cd\tab\nabcd  ab"
+    block, offsets = np.frombuffer(data + b"ab cd", np.uint8), np.array([0, len(data), len(data), len(data) + 5])
+    starts, ends, cuts = hashing.words(block, offsets)
+    own = [bytes(block[a:b]) for a, b in zip(starts, ends, strict=True)]
+    assert own == [b"ab", b"cd", b"ab", b"abcd", b"ab", b"ab", b"cd"] and cuts.tolist() == [0, 5, 5, 7]
+    hashes = hashing.span_hashes(block, starts, ends)
+    assert len({(w, int(h)) for w, h in zip(own, hashes, strict=True)}) == len(set(own)) == len(set(hashes.tolist()))
+
+
+def test_calibration():
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < training.sigmoid(z)).astype(float)
+    assert training.temperature(3 * z, y) == pytest.approx(3, rel=0.1)
+    slope, shift = training.platt(2 * z + 1, y, balance=False)
+    assert slope == pytest.approx(0.5, rel=0.1) and shift == pytest.approx(-0.5, abs=0.15)
+
+
+def test_gradients_through_time():
+    rng = np.random.default_rng(5)
+    data = np.frombuffer("der die das éa the of and".encode() * 9, np.uint8)
+    inputs, _, length = langid.windows_of(data, np.array([0, 70, len(data)]))
+    y = np.array([0, 0, *[1] * (len(length) - 2)])
+    net = {k: v.astype(np.float64) for k, v in langid.fresh_network(2, rng).items()}
+
+    def loss(n):
+        p = langid.position_probabilities(n, inputs)
+        own = np.stack([p[:, c, b] for b, c in enumerate(y)], axis=1)
+        return -(np.log(own) * (np.arange(langid.SPAN)[:, None] < length)).sum() / length.sum()
+
+    grad = langid.gradients(net, inputs, length, y)
+    for k in net:
+        at = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
+        step = 1e-2
+        up, down = ({**net, k: net[k].copy()} for _ in range(2))
+        up[k][at] += step
+        down[k][at] -= step
+        assert grad[k][at] == pytest.approx((loss(up) - loss(down)) / (2 * step), rel=0.05, abs=1e-5), k
+
+
+def test_language_on_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 30)
+    monkeypatch.setattr(langid.train, "__defaults__", (30, 5))
+    rng = random.Random(6)
+    rows = [(i, sentences(rng, lang, rng.randrange(5, 60)), lang if i % 5 else None) for i, lang in enumerate(rng.choice(list(SMALL)) for _ in range(300))]
+    truth = {i: next(k for k, v in SMALL.items() if sum(w in v for w in t.split()) == max(sum(w in u for w in t.split()) for u in SMALL.values())) for i, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, F.col("doc_id") % 5 != 0).collect()}
+    held = [i for i in truth if i % 5 == 0]
+    assert sum(got[i]["lang_pred"] == truth[i] for i in held) >= 0.95 * len(held)
+    for limit in (langid.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(langid, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(langid, "EPOCHS", 1)
+        monkeypatch.setattr(langid.train, "__defaults__", (1, 5))
+        found = {r["doc_id"]: r for r in langid.identify(odd(spark), F.lit(True)).collect()}
+        assert len(found) == 10 and {i for i, r in found.items() if r["lang_pred"] == "und"} == {3, 4, 5, 7} and found[3]["score"] == 0
+        assert langid.identify(odd(spark), F.lit(True)).count() == len(TEXTS)
+
+
+def test_language_filter_of_odd_rows(spark):
+    kept = langid.keep_identified(odd(spark), F.lit(True), least=0.0)
+    assert kept.columns == odd(spark).columns
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 6, 8, 8, 9]
+    assert langid.keep_identified(empty(spark), F.lit(True)).count() == 0
+    assert langid.identify(odd(spark), F.lit(False)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_one_text_may_fill_many_windows():
+    data = np.frombuffer(LONG[:1000].encode(), np.uint8)
+    net = langid.fresh_network(3, np.random.default_rng(7))
+    whole = langid.document_probabilities(net, data, np.array([0, 0, 1000]))
+    assert whole[0].sum() == 0 and whole[1].sum() == pytest.approx(1, abs=1e-5)

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfold.llm.common import hash_slot, table, text_blocks, text_or_empty
+from gridfold.llm.common import checkpointed, hash_slot, table, text_blocks, text_or_empty
 
 #: Labelled rows of each language and windows of each text that the fit may use.
 FIT_ROWS, FIT_WINDOWS = 300, 12
 SPAN, HIDDEN, EPOCHS, BATCH, RATE, SIDE = 64, 12, 14, 256, 0.012, 2048
+#: Chosen rows up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 #: Least score at which the filter keeps a document.
 LEAST_SCORE = 0.4
 UNDETERMINED = "und"
@@ -152,10 +154,11 @@ def fit(docs: DataFrame, allowed: Column, fit_rows: int = FIT_ROWS) -> tuple[lis
     """
     known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id"))
-    chosen = known.withColumn("_rank", rank).where(F.col("_rank") <= fit_rows).select("doc_id", F.col("lang").alias("_lang"))
+    chosen = checkpointed(known.withColumn("_rank", rank).where(F.col("_rank") <= fit_rows).select("doc_id", F.col("lang").alias("_lang")))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     places = F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1))
     cut = F.transform(places, lambda i: F.substring(F.col("text"), F.floor(i * F.length("text") / FIT_WINDOWS).cast("int") + 1, F.lit(SPAN)))
-    rows = docs.join(chosen, "doc_id").where(F.col("lang") == F.col("_lang")).select("doc_id", "lang", F.array_distinct(cut).alias("cuts"))
+    rows = docs.select("doc_id", "text", "lang").join(chosen, "doc_id").where(F.col("lang") == F.col("_lang")).select("doc_id", "lang", F.array_distinct(cut).alias("cuts"))
     got = rows.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "lang", "cuts").collect()
     languages = sorted({x["lang"] for x in got})
     pieces = [(c.encode()[:SPAN], languages.index(x["lang"])) for x in got for c in x["cuts"] if c]

@@ -3,8 +3,8 @@
 Texts and benchmark items become words: A-Z and other letters lower-cased, punctuation gone. In the template
 of a text numbers, units after numbers, and names (capitalised words in mid-sentence) are typed placeholders,
 so a question asked again with other numbers or names keeps its template. Every window of ``WINDOW`` template
-words of an item is in the table; of a text only windows that start at a multiple of ``WINDOW`` are looked
-up, which finds any shared passage of ``2 * WINDOW - 1`` words and divides the rows by ``WINDOW``. A match
+words of an item is in the table, and every window of a text is looked up by its hash, which finds any
+shared passage of ``WINDOW`` words wherever it stands. A match
 gives an alignment of text and item; it counts if enough of the item's words agree along it and
 every value of a placeholder in the item stands for one value in the text.
 """
@@ -49,6 +49,15 @@ def _array(words: Column) -> Column:
     return F.split(F.trim(words), " ")
 
 
+def _window_hash(words: Column, at: Column) -> Column:
+    return F.xxhash64(*(F.get(words, at + i) for i in range(WINDOW)))
+
+
+def _windows(words: str) -> Column:
+    """The window at every word as a struct; the last few, cut off at the end, have nulls."""
+    return F.arrays_zip(*(F.slice(words, i + 1, F.size(words)).alias(f"w{i}") for i in range(WINDOW)))
+
+
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """``(item_id, item_template, item_words)`` of every item of enough words."""
     items = benchmark.where("text is not null").select("item_id", word_string(F.col("text")).alias("w")).select("item_id", _array(template_string(F.col("w"))).alias("item_template"), _array(F.col("w")).alias("item_words"))
@@ -58,7 +67,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 def item_windows(items: DataFrame) -> DataFrame:
     """``(window, item_key, item_at, n)``: the hash of every window of every item, and the item's words."""
     places = F.sequence(F.lit(0), F.size("item_template") - WINDOW)
-    return items.select("*", F.explode(places).alias("item_at")).select(F.xxhash64(F.array_join(F.slice("item_template", F.col("item_at") + 1, WINDOW), " ")).alias("window"), "item_key", "item_at", F.size("item_template").alias("n"))
+    return items.select("*", F.explode(places).alias("item_at")).select(_window_hash(F.col("item_template"), F.col("item_at")).alias("window"), "item_key", "item_at", F.size("item_template").alias("n"))
 
 
 def _cuts(text: Column, places: Column) -> Column:
@@ -86,10 +95,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = windows.count() <= BROADCAST_WINDOWS
     near = F.broadcast if small else (lambda x: x)
     texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    template = texts.select("text_key", template_string(word_string(F.col("text"))).alias("t"))
+    template = texts.select("text_key", _array(template_string(word_string(F.col("text")))).alias("t"))
     # The outer form keeps Catalyst from adding a filter that would run the expressions twice; rows carry no texts.
-    pieces = template.select("text_key", F.posexplode_outer(F.regexp_extract_all("t", F.lit(rf"[^ ]+(?: [^ ]+){{{WINDOW - 1}}}"), F.lit(0))).alias("nth", "piece")).select("text_key", "nth", F.xxhash64("piece").alias("window"))
-    met = pieces.join(near(windows), "window").select("text_key", "item_key", (F.col("nth") * WINDOW - F.col("item_at")).alias("shift"), "n")
+    pieces = template.select("text_key", F.posexplode_outer(_windows("t")).alias("at", "w")).select("text_key", "at", F.xxhash64(*(f"w.w{i}" for i in range(WINDOW))).alias("window"))
+    met = pieces.join(near(windows), "window").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n")
     alignments = checkpointed(met.distinct().groupBy("text_key").agg(F.collect_list(F.struct("item_key", "shift", "n")).alias("places")))
     few = alignments.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_WINDOWS
     cut = texts.join(F.broadcast(alignments) if few else alignments, "text_key").select("doc_id", _cuts(F.col("text"), F.col("places")).alias("cuts"))

@@ -132,6 +132,20 @@ def test_slots_must_be_consistent(spark):
     assert [(r["doc_id"], r["substituted"]) for r in got] == [(1, True)]
 
 
+def test_leaks_of_dense_edits_at_every_offset(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(900) + 100}x" for _ in range(n)]
+    items, docs = [say(n) for n in (12, 13, 18, 25, 32, 40)], []
+    for own in items:
+        for every in (6, 7, 8):
+            edited = [f"other{i}" if i % every == every - 1 else w for i, w in enumerate(own)]
+            docs += [(len(docs) + offset, " ".join(say(offset) + edited + say(9))) for offset in range(5)]
+    named = [(i, " ".join(x)) for i, x in enumerate(items)]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(named, "item_id long, text string"))
+    want = brute_leaks(docs, named)
+    assert {(r["doc_id"], r["item_id"]): pytest.approx(r["share"]) for r in got.collect()} == {k: share for k, (share, _) in want.items()} and len(want) == len(docs)
+
+
 def test_decontamination_of_odd_rows(spark, monkeypatch):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short item"), (4, "the quick brown fox jumps over a lazy dog while rain falls on old stone walls")], "item_id long, text string")
     for most in (500_000, 0):

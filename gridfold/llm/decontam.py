@@ -5,25 +5,27 @@ of a text numbers, units after numbers, and names (capitalised words in mid-sent
 so a question asked again with other numbers or names keeps its template. Every window of ``WINDOW`` template
 words of an item is in the table, and every window of a text is looked up by its hash, which finds any
 shared passage of ``WINDOW`` words wherever it stands. A match
-gives an alignment of text and item; it counts if enough of the item's words agree along it and
-every value of a placeholder in the item stands for one value in the text.
+gives an alignment of text and item; it counts if enough of the item's words agree along it, or along it and
+those of neighbouring shifts, and every value of a placeholder in the item stands for one value in the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import checkpointed, table
 
 WINDOW, LEAST_SHARE, LEAST_WORDS = 5, 0.6, 12
+#: Words in a row that are a leak by themselves, word for word.
+LONG_RUN = 13
 #: Largest number of benchmark windows, and of alignments, that is broadcast; beyond it the joins shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Units that count as such after a number.
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "cl", "l", "s", "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes", "h", "hr", "hrs", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "mile", "miles", "foot", "feet", "inch", "inches", "gram", "grams", "liter", "liters", "litre", "litres", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "gbp", "kmh", "mph", "hz", "w", "kw", "v", "pa", "c", "f", "k"]
 #: Placeholders and the mark of a name: characters for private use, which no word holds after normalisation.
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
-MARK, POINT = "\ue000", "\ue004"
+MARK, POINT, JOIN = "\ue000", "\ue004", "\ue005"
 #: Characters between words: all of ASCII but letters and digits, and the punctuation of Latin-1 and beyond.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u0080-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u00D7\u00F7\u2000-\u206F\u3000-\u303F]+"
 
@@ -31,11 +33,13 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u0080-\u00A9\u00AB-\u00B4\u00B
 def word_string(text: Column) -> Column:
     """The words of a text, lower-cased, with one space on either side; names keep a mark in front.
 
-    A point or comma between digits stays in the number, as a mark of its own.
+    A point or comma between digits stays in the number, as a mark of its own; a unit that is glued to its
+    number is a word of its own.
     """
     numbers = F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", POINT)).otherwise(text)
     marked = F.regexp_replace(numbers, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}0-9,;] )", " " + MARK)
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(marked), BETWEEN, " ")), F.lit(" "))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(marked), BETWEEN, " ")), F.lit(" "))
+    return F.when(text.rlike("[0-9][A-Za-z]"), F.regexp_replace(words, f"(?<= )([0-9][0-9{POINT}]*)({'|'.join(UNITS)})(?= )", "$1 $2")).otherwise(words)
 
 
 def template_string(words: Column) -> Column:
@@ -59,8 +63,8 @@ def _windows(words: str) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, item_template, item_words)`` of every item of enough words."""
-    items = benchmark.where("text is not null").select("item_id", word_string(F.col("text")).alias("w")).select("item_id", _array(template_string(F.col("w"))).alias("item_template"), _array(F.col("w")).alias("item_words"))
+    """``(item_id, item_template, item_words, item_values)`` of every item of enough words."""
+    items = benchmark.where("text is not null").select("item_id", word_string(F.col("text")).alias("w")).select("item_id", _array(template_string(F.col("w"))).alias("item_template"), _array(F.col("w")).alias("item_words"), slot_values(F.col("w")).alias("item_values"))
     return items.where(F.size("item_template") >= LEAST_WORDS).distinct().withColumn("item_key", F.xxhash64("item_id", "item_words"))
 
 
@@ -70,23 +74,75 @@ def item_windows(items: DataFrame) -> DataFrame:
     return items.select("*", F.explode(places).alias("item_at")).select(_window_hash(F.col("item_template"), F.col("item_at")).alias("window"), "item_key", "item_at", F.size("item_template").alias("n"))
 
 
+def slot_values(words: Column) -> Column:
+    """For each word what it stands for in a placeholder: of neighbouring names, or numbers, all of them together.
+
+    So 'New York' in the place of 'Paris' is one value, whichever of its words is met.
+    """
+    names = F.regexp_replace(words, f"({MARK}[^ ]+) (?={MARK})", "$1" + JOIN)
+    numbers = F.regexp_replace(names, f"(?<= )([0-9][0-9{POINT}]*) (?=[0-9][0-9{POINT}]* )", "$1" + JOIN)
+    return F.flatten(F.transform(_array(numbers), lambda x: F.array_repeat(x, F.size(F.split(x, JOIN)))))
+
+
 def _cuts(text: Column, places: Column) -> Column:
-    """For each ``(item_key, shift, n)`` of ``places`` the template words and words of the text under the item.
+    """For each place of ``places`` the template words, words and slot values of the text under the item.
 
     The words are bound to a lambda's variable, so they are found once for each text, not for each place.
     """
-    both = lambda w: F.struct(_array(template_string(w)).alias("t"), _array(w).alias("w"))
+    both = lambda w: F.struct(_array(template_string(w)).alias("t"), _array(w).alias("w"), slot_values(w).alias("v"))
     cut = lambda c, p: F.slice(c, F.greatest(p["shift"], F.lit(0)) + 1, p["n"] + F.least(p["shift"], F.lit(0)))
-    one = lambda x: F.transform(places, lambda p: F.struct(p["item_key"].alias("item_key"), p["shift"].alias("shift"), cut(x["t"], p).alias("t"), cut(x["w"], p).alias("w")))
+    one = lambda x: F.transform(places, lambda p: F.struct(p["item_key"].alias("item_key"), p["shift"].alias("shift"), p["linked"].alias("linked"), *(cut(x[c], p).alias(c) for c in "twv")))
     return F.flatten(F.transform(F.transform(F.array(word_string(text)), both), one))
 
 
+def reach(n_words: Column) -> Column:
+    """How far the shifts of two alignments may lie apart that are joined: half the item's words."""
+    return F.greatest(F.lit(WINDOW), F.floor(n_words / 2))
+
+
+def found_once(aligned: DataFrame) -> DataFrame:
+    """``(text_key, item_key, share, substituted)`` of alignments that hold an item, or a long run of it, by themselves."""
+    exact = lambda p: F.replace(p["x"], F.lit(MARK), F.lit("")) == F.replace(p["y"], F.lit(MARK), F.lit(""))
+    run = F.array_join(F.transform("pairs", lambda p: F.when(exact(p), "1").otherwise("0")), "")
+    agrees = lambda at: F.coalesce(F.get("pairs", at)["a"] == F.get("pairs", at)["b"], F.lit(False))
+    values = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    slots = values(F.filter("pairs", lambda p: p["slot"] & (p["a"] == p["b"])))
+    beside = values(F.filter("pairs", lambda p, i: p["slot"] & (p["a"] == p["b"]) & (agrees(i - 1) | agrees(i + 1))))
+    consistent = lambda c: F.size(F.array_distinct(F.transform(c, lambda s: s["y"]))) == F.size(c)
+    share = F.size(F.filter("pairs", lambda p: p["a"] == p["b"])) / F.col("n_words")
+    told = aligned.select("text_key", "item_key", share.alias("share"), F.contains(run, F.lit("1" * LONG_RUN)).alias("long"), slots.alias("slots"), beside.alias("beside"))
+    whole, long = (F.col("share") >= LEAST_SHARE) & consistent("slots"), F.col("long") & consistent("beside")
+    return told.where(whole | long).select("text_key", "item_key", "share", F.exists(F.when(whole, F.col("slots")).otherwise(F.col("beside")), lambda s: s["x"] != s["y"]).alias("substituted"))
+
+
+def found_joined(aligned: DataFrame) -> DataFrame:
+    """The same for alignments joined with those of neighbouring shifts.
+
+    A position of the item counts once, with what it met in the longest run of agreeing words; a
+    placeholder that agrees all alone is no evidence and counts in none.
+    """
+    key = ["text_key", "item_key"]
+    linked = aligned.where("linked").dropDuplicates([*key, "shift"])
+    hits = linked.select(*key, "shift", F.posexplode("pairs").alias("at", "p")).where("p.a = p.b").select(*key, "shift", (F.col("at") - F.least("shift", F.lit(0))).alias("k"), F.col("p.slot"), F.col("p.u"), F.col("p.v"))
+    islands = hits.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy(*key, "shift").orderBy("k")))
+    runs = islands.withColumn("run", F.count("*").over(Window.partitionBy(*key, "shift", "island"))).where("run > 1 or not slot")
+    anchors = linked.select(*key, "n_words", F.col("shift").alias("anchor"))
+    off = F.abs(F.col("shift") - F.col("anchor"))
+    near = runs.join(anchors, key).where(off <= reach(F.col("n_words"))).groupBy(*key, "n_words", "anchor", "k")
+    best = near.agg(F.max_by(F.struct("slot", "u", "v"), F.struct("run", -off, "shift")).alias("hit"))
+    joined = best.groupBy(*key, "n_words", "anchor").agg(F.count("*").alias("agreed"), F.collect_set(F.when(F.col("hit.slot"), F.struct("hit.u", "hit.v"))).alias("slots")).withColumn("share", F.col("agreed") / F.col("n_words"))
+    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["v"]))) == F.size("slots")
+    return joined.where((F.col("share") >= LEAST_SHARE) & consistent).select(*key, "share", F.exists("slots", lambda s: s["u"] != s["v"]).alias("substituted"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, share, n_words, substituted)``: the benchmark items that documents hold.
 
-    ``share`` is the largest part of the item's words that agree in place along one alignment (at least 0.6),
-    ``n_words`` the words of the item, ``substituted`` whether a placeholder has another value than in the
-    item. Items of fewer than 12 words can't be told from chance and are not searched. Null and empty texts
+    ``share`` is the largest part of the item's words that agree in place (at least 0.6) along one alignment,
+    or along alignments of neighbouring shifts together, which inserted and lost words split; or an item is
+    held by ``LONG_RUN`` of its words in a row, word for word, whatever the share, unless the values of the
+    placeholders beside other agreeing words contradict each other. ``n_words`` is the words of the item,
+    ``substituted`` whether a placeholder has another value than in the item. Items of fewer than 12 words can't be told from chance and are not searched. Null and empty texts
     hold nothing; equal rows give one row; rows without ``doc_id`` appear with a null id. Empty tables give
     no rows.
     """
@@ -99,18 +155,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # The outer form keeps Catalyst from adding a filter that would run the expressions twice; rows carry no texts.
     pieces = template.select("text_key", F.posexplode_outer(_windows("t")).alias("at", "w")).select("text_key", "at", F.xxhash64(*(f"w.w{i}" for i in range(WINDOW))).alias("window"))
     met = pieces.join(near(windows), "window").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n")
-    alignments = checkpointed(met.distinct().groupBy("text_key").agg(F.collect_list(F.struct("item_key", "shift", "n")).alias("places")))
+    order = Window.partitionBy("text_key", "item_key").orderBy("shift")
+    apart = F.least(F.col("shift") - F.lag("shift").over(order), F.lead("shift").over(order) - F.col("shift"))
+    linked = met.distinct().withColumn("linked", F.coalesce(apart <= reach(F.col("n")), F.lit(False)))
+    alignments = checkpointed(linked.groupBy("text_key").agg(F.collect_list(F.struct("item_key", "shift", "n", "linked")).alias("places")))
     few = alignments.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_WINDOWS
-    cut = texts.join(F.broadcast(alignments) if few else alignments, "text_key").select("doc_id", _cuts(F.col("text"), F.col("places")).alias("cuts"))
-    placed = cut.select("doc_id", F.explode_outer("cuts").alias("c")).select("doc_id", "c.*").join(near(items), "item_key")
+    cut = texts.join(F.broadcast(alignments) if few else alignments, "text_key").select("doc_id", "text_key", _cuts(F.col("text"), F.col("places")).alias("cuts"))
+    placed = cut.select("doc_id", "text_key", F.explode_outer("cuts").alias("c")).select("doc_id", "text_key", "c.*").join(near(items), "item_key")
     own = lambda c: F.slice(F.col(c), 1 - F.least("shift", F.lit(0)), F.size("item_template"))
-    aligned = placed.select("doc_id", "item_id", F.size("item_template").alias("n_words"), F.arrays_zip(F.col("t").alias("a"), own("item_template").alias("b"), F.col("w").alias("x"), own("item_words").alias("y")).alias("pairs"))
-    agreed = aligned.withColumn("pairs", F.filter("pairs", lambda p: p["a"] == p["b"])).withColumn("share", F.size("pairs") / F.col("n_words")).where(F.col("share") >= LEAST_SHARE)
-    slots = F.array_distinct(F.transform(F.filter("pairs", lambda p: p["a"].isin(NUMBER, UNIT, NAME)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
-    slotted = agreed.select("doc_id", "item_id", "n_words", "share", slots.alias("slots"))
-    consistent = slotted.where(F.size(F.array_distinct(F.transform("slots", lambda s: s["y"]))) == F.size("slots"))
-    found = consistent.select("doc_id", "item_id", "n_words", "share", F.exists("slots", lambda s: s["x"] != s["y"]).alias("substituted"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_words").alias("n_words"), F.min("substituted").alias("substituted"))
+    zipped = F.arrays_zip(F.col("t").alias("a"), own("item_template").alias("b"), F.col("w").alias("x"), own("item_words").alias("y"), F.col("v").alias("u"), own("item_values").alias("v"))
+    fields = lambda p: [p[c].alias(c) for c in ("a", "b", "x", "y", "u", "v")]
+    pairs = F.transform(zipped, lambda p: F.struct(*fields(p), p["b"].isin(NUMBER, UNIT, NAME).alias("slot")))
+    aligned = checkpointed(placed.select("doc_id", "text_key", "item_key", "item_id", "shift", "linked", F.size("item_template").alias("n_words"), pairs.alias("pairs")))
+    found = found_once(aligned).union(found_joined(aligned)).groupBy("text_key", "item_key").agg(F.max("share").alias("share"), F.min("substituted").alias("substituted"))
+    holders = aligned.select("doc_id", "text_key", "item_key", "item_id", "n_words").distinct()
+    return holders.join(found, ["text_key", "item_key"]).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_words").alias("n_words"), F.min("substituted").alias("substituted"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -132,6 +132,35 @@ def test_slots_must_be_consistent(spark):
     assert [(r["doc_id"], r["substituted"]) for r in got] == [(1, True)]
 
 
+def found_in(spark, docs, items):
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]): r for r in got.collect()}
+
+
+def test_leaks_with_insertions_losses_and_halves(spark):
+    rng = random.Random(7)
+    say = lambda n: [f"w{rng.randrange(900) + 100}x" for _ in range(n)]
+    items = [say(n) for n in (16, 20, 24, 31, 40, 60)]
+    docs, want = [], {}
+    for i, own in enumerate(items):
+        half = len(own) // 2
+        for edited in (own[:half] + ["indeed"] + own[half:], own[: half - 1] + own[half:], own[:half] + say(3) + own[half:], *((own[:half], own[half:]) if half >= 20 else ())):
+            want[len(docs), i] = sum(w in own for w in edited) / len(own)
+            docs.append((len(docs), " ".join(say(rng.randrange(1, 9)) + edited + say(30))))
+    docs.append((len(docs), " ".join(w for own in items for w in own[: len(own) // 5])))
+    got = found_in(spark, docs, [(i, " ".join(x)) for i, x in enumerate(items)])
+    assert set(got) == set(want)
+    for k, share in want.items():
+        assert got[k]["share"] == pytest.approx(share) and not got[k]["substituted"]
+
+
+def test_leaks_with_values_of_other_lengths(spark):
+    item = [(1, "In the morning a train leaves from Paris for Rome with many people, runs 5 km in ten minutes and comes back to Paris late at night when all is still.")]
+    docs = [(1, item[0][1].replace("Paris", "New York")), (2, item[0][1].replace("5 km", "5km")), (3, item[0][1].replace("Paris", "New York", 1).replace("to Paris", "to Old Delhi"))]
+    got = found_in(spark, docs, item)
+    assert {d: r["substituted"] for (d, _), r in got.items() if r["share"] == 1} == {1: True, 2: False}
+
+
 def test_leaks_of_dense_edits_at_every_offset(spark):
     rng = random.Random(8)
     say = lambda n: [f"w{rng.randrange(900) + 100}x" for _ in range(n)]

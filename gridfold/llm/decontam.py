@@ -63,9 +63,9 @@ def _windows(words: str) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, item_template, item_words, item_values)`` of every item of enough words."""
+    """``(item_id, item_template, item_words, item_values)`` of every item of ``WINDOW`` words or more."""
     items = benchmark.where("text is not null").select("item_id", word_string(F.col("text")).alias("w")).select("item_id", _array(template_string(F.col("w"))).alias("item_template"), _array(F.col("w")).alias("item_words"), slot_values(F.col("w")).alias("item_values"))
-    return items.where(F.size("item_template") >= LEAST_WORDS).distinct().withColumn("item_key", F.xxhash64("item_id", "item_words"))
+    return items.where(F.size("item_template") >= WINDOW).distinct().withColumn("item_key", F.xxhash64("item_id", "item_words"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -95,6 +95,11 @@ def _cuts(text: Column, places: Column) -> Column:
     return F.flatten(F.transform(F.transform(F.array(word_string(text)), both), one))
 
 
+def least_share(n_words: Column) -> Column:
+    """The share from which an item counts: all of a short one."""
+    return F.when(n_words < LEAST_WORDS, 1.0).otherwise(LEAST_SHARE)
+
+
 def reach(n_words: Column) -> Column:
     """How far the shifts of two alignments may lie apart that are joined: half the item's words."""
     return F.greatest(F.lit(WINDOW), F.floor(n_words / 2))
@@ -110,8 +115,8 @@ def found_once(aligned: DataFrame) -> DataFrame:
     beside = values(F.filter("pairs", lambda p, i: p["slot"] & (p["a"] == p["b"]) & (agrees(i - 1) | agrees(i + 1))))
     consistent = lambda c: F.size(F.array_distinct(F.transform(c, lambda s: s["y"]))) == F.size(c)
     share = F.size(F.filter("pairs", lambda p: p["a"] == p["b"])) / F.col("n_words")
-    told = aligned.select("text_key", "item_key", share.alias("share"), F.contains(run, F.lit("1" * LONG_RUN)).alias("long"), slots.alias("slots"), beside.alias("beside"))
-    whole, long = (F.col("share") >= LEAST_SHARE) & consistent("slots"), F.col("long") & consistent("beside")
+    told = aligned.select("text_key", "item_key", share.alias("share"), "n_words", F.contains(run, F.lit("1" * LONG_RUN)).alias("long"), slots.alias("slots"), beside.alias("beside"))
+    whole, long = (F.col("share") >= least_share(F.col("n_words"))) & consistent("slots"), F.col("long") & consistent("beside")
     return told.where(whole | long).select("text_key", "item_key", "share", F.exists(F.when(whole, F.col("slots")).otherwise(F.col("beside")), lambda s: s["x"] != s["y"]).alias("substituted"))
 
 
@@ -132,7 +137,24 @@ def found_joined(aligned: DataFrame) -> DataFrame:
     best = near.agg(F.max_by(F.struct("slot", "u", "v"), F.struct("run", -off, "shift")).alias("hit"))
     joined = best.groupBy(*key, "n_words", "anchor").agg(F.count("*").alias("agreed"), F.collect_set(F.when(F.col("hit.slot"), F.struct("hit.u", "hit.v"))).alias("slots")).withColumn("share", F.col("agreed") / F.col("n_words"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["v"]))) == F.size("slots")
-    return joined.where((F.col("share") >= LEAST_SHARE) & consistent).select(*key, "share", F.exists("slots", lambda s: s["u"] != s["v"]).alias("substituted"))
+    return joined.where((F.col("share") >= least_share(F.col("n_words"))) & consistent).select(*key, "share", F.exists("slots", lambda s: s["u"] != s["v"]).alias("substituted"))
+
+
+def _plain(text: Column) -> Column:
+    return F.replace(word_string(text), F.lit(MARK), F.lit(""))
+
+
+def tiny_items(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, words, n_words)`` of the items of fewer than ``WINDOW`` words, at least one."""
+    named = benchmark.where("text is not null").select("item_id", _plain(F.col("text")).alias("words")).withColumn("n_words", F.size(_array(F.col("words"))))
+    return named.where((F.col("n_words") < WINDOW) & (F.trim("words") != "")).distinct()
+
+
+def tiny_leaks(docs: DataFrame, tiny: DataFrame) -> DataFrame:
+    """The rows of :func:`leaks` for ``tiny`` items: each is a whole line or a whole text."""
+    lines = docs.where("text is not null").select("doc_id", F.explode(F.array_append(F.split("text", r"[\r\n]+"), F.col("text"))).alias("line")).select("doc_id", _plain(F.col("line")).alias("words"))
+    met = lines.join(tiny, "words")
+    return met.select("doc_id", "item_id", F.lit(1.0).alias("share"), "n_words", F.lit(False).alias("substituted"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -142,8 +164,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     or along alignments of neighbouring shifts together, which inserted and lost words split; or an item is
     held by ``LONG_RUN`` of its words in a row, word for word, whatever the share, unless the values of the
     placeholders beside other agreeing words contradict each other. ``n_words`` is the words of the item,
-    ``substituted`` whether a placeholder has another value than in the item. Items of fewer than 12 words can't be told from chance and are not searched. Null and empty texts
-    hold nothing; equal rows give one row; rows without ``doc_id`` appear with a null id. Empty tables give
+    ``substituted`` whether a placeholder has another value than in the item. Items of 5 to 11 words must agree in all their words; items of fewer than 5 are held where they are
+    a whole line or a whole text, their words being equal. Null and empty texts and items hold nothing; equal rows give one row; rows without ``doc_id`` appear with a null id. Empty tables give
     no rows.
     """
     items = checkpointed(benchmark_items(benchmark))
@@ -169,7 +191,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     aligned = checkpointed(placed.select("doc_id", "text_key", "item_key", "item_id", "shift", "linked", F.size("item_template").alias("n_words"), pairs.alias("pairs")))
     found = found_once(aligned).union(found_joined(aligned)).groupBy("text_key", "item_key").agg(F.max("share").alias("share"), F.min("substituted").alias("substituted"))
     holders = aligned.select("doc_id", "text_key", "item_key", "item_id", "n_words").distinct()
-    return holders.join(found, ["text_key", "item_key"]).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_words").alias("n_words"), F.min("substituted").alias("substituted"))
+    long = holders.join(found, ["text_key", "item_key"]).select("doc_id", "item_id", "share", "n_words", "substituted")
+    tiny = checkpointed(tiny_items(benchmark))
+    if number := tiny.count():
+        long = long.unionByName(tiny_leaks(docs, F.broadcast(tiny) if number <= BROADCAST_WINDOWS else tiny))
+    return long.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_words").alias("n_words"), F.min("substituted").alias("substituted"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -175,6 +175,15 @@ def test_leaks_of_dense_edits_at_every_offset(spark):
     assert {(r["doc_id"], r["item_id"]): pytest.approx(r["share"]) for r in got.collect()} == {k: share for k, (share, _) in want.items()} and len(want) == len(docs)
 
 
+def test_leaks_of_short_items(spark):
+    items = [(1, "What is the capital city of France?"), (2, "Name the largest moon of Saturn."), (3, "Who wrote Hamlet?"), (4, "?!"), (5, "")]
+    docs = [
+        (1, "Some words before. What is the capital city of France? And words after it."), (2, items[0][1]), (3, "He asked what is the capital town of France, not more."), (4, "name the LARGEST moon of Saturn"),
+        (5, "A first line\n  Who wrote Hamlet?\nA last line"), (6, "who wrote hamlet"), (7, "It asks who wrote Hamlet in the end."), (8, ""), (None, "Who wrote Hamlet?"), (9, "?!"),
+    ]
+    assert {k: (r["share"], r["substituted"]) for k, r in found_in(spark, docs, items).items()} == dict.fromkeys([(1, 1), (2, 1), (4, 2), (5, 3), (6, 3), (None, 3)], (1.0, False))
+
+
 def test_decontamination_of_odd_rows(spark, monkeypatch):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short item"), (4, "the quick brown fox jumps over a lazy dog while rain falls on old stone walls")], "item_id long, text string")
     for most in (500_000, 0):

@@ -11,6 +11,9 @@ those of neighbouring shifts, and every value of a placeholder in the item stand
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +29,30 @@ UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "l
 #: Placeholders and the mark of a name: characters for private use, which no word holds after normalisation.
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 MARK, POINT, JOIN = "\ue000", "\ue004", "\ue005"
-#: Characters between words: all of ASCII but letters and digits, and the punctuation of Latin-1 and beyond.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u0080-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u00D7\u00F7\u2000-\u206F\u3000-\u303F]+"
+#: Characters between words: all but letters, digits and marks of any script.
+BETWEEN = rf"[^\p{{L}}\p{{Nd}}\p{{M}}{MARK}{POINT}]+"
+#: The same characters as a list that is faster to match, for texts that hold nothing outside ``PLAIN``.
+PLAIN, PLAIN_BETWEEN = r"\x00-\u024F\u2000-\u206F", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u0080-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u00D7\u00F7\u2000-\u206F]+"
+#: Decimal digits of other scripts, and the placeholders and marks, with what stands for them.
+DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+FOREIGN = "".join(DIGITS) + NUMBER + UNIT + NAME + MARK + POINT + JOIN
+NATIVE = "".join(str(unicodedata.decimal(c)) for c in DIGITS) + " " * 6
+
+
+def _words(text: Column, between: str) -> Column:
+    numbers = F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", POINT)).otherwise(text)
+    marked = F.regexp_replace(numbers, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}0-9,;] )", " " + MARK)
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(marked), between, " ")), F.lit(" "))
+    return F.when(text.rlike("[0-9][A-Za-z]"), F.regexp_replace(words, f"(?<= )([0-9][0-9{POINT}]*)({'|'.join(UNITS)})(?= )", "$1 $2")).otherwise(words)
 
 
 def word_string(text: Column) -> Column:
     """The words of a text, lower-cased, with one space on either side; names keep a mark in front.
 
     A point or comma between digits stays in the number, as a mark of its own; a unit that is glued to its
-    number is a word of its own.
+    number is a word of its own. Digits of other scripts become 0 to 9.
     """
-    numbers = F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", POINT)).otherwise(text)
-    marked = F.regexp_replace(numbers, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}0-9,;] )", " " + MARK)
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(marked), BETWEEN, " ")), F.lit(" "))
-    return F.when(text.rlike("[0-9][A-Za-z]"), F.regexp_replace(words, f"(?<= )([0-9][0-9{POINT}]*)({'|'.join(UNITS)})(?= )", "$1 $2")).otherwise(words)
+    return F.when(text.rlike(f"[^{PLAIN}]"), _words(F.translate(text, FOREIGN, NATIVE), BETWEEN)).otherwise(_words(text, PLAIN_BETWEEN))
 
 
 def template_string(words: Column) -> Column:

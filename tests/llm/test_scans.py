@@ -184,6 +184,18 @@ def test_leaks_of_short_items(spark):
     assert {k: (r["share"], r["substituted"]) for k, r in found_in(spark, docs, items).items()} == dict.fromkeys([(1, 1), (2, 1), (4, 2), (5, 3), (6, 3), (None, 3)], (1.0, False))
 
 
+def test_leaks_in_other_scripts_and_signs(spark):
+    item = "a ticket for the old night train costs €12 and a seat in it costs €5 more, so what do we pay?"
+    arabic = "يدفع أحمد مبلغ ١٢ دينارا لكل كتاب، ثم يبيع الكتاب إلى صديقه بمبلغ ٢٠ دينارا فكم يربح؟"
+    items = [(1, item), (2, arabic)]
+    docs = [
+        (1, item.replace("12", "40").replace("5", "٧")), (2, item.replace(" ", "　").replace(",", "，").replace("?", "？")), (3, "\ufeff" + item.replace(" and", "😀and").replace(" so", "→so")),
+        (4, arabic.replace("١٢", "٣٤")), (5, arabic.replace("،", " ,").replace("؟", "?").replace("١٢", "12")), (6, "\ue000".join(item.split(" "))),
+    ]
+    got = found_in(spark, docs, items)
+    assert {k: (r["share"], r["substituted"]) for k, r in got.items()} == {(1, 1): (1.0, True), (2, 1): (1.0, False), (3, 1): (1.0, False), (4, 2): (1.0, True), (5, 2): (1.0, False), (6, 1): (1.0, False)}
+
+
 def test_decontamination_of_odd_rows(spark, monkeypatch):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short item"), (4, "the quick brown fox jumps over a lazy dog while rain falls on old stone walls")], "item_id long, text string")
     for most in (500_000, 0):

@@ -184,7 +184,8 @@ def classify(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
     """``(doc_id, score, predicted)`` for every row of ``docs``; ``allowed`` marks label rows that may be learned.
 
     ``score`` is the probability of label 1 in a balanced sample. Null and empty texts are scored like any
-    other, with no tokens. Without enough labels of both kinds all texts score alike. ``fit_rows`` bounds
+    other, with no tokens. Without enough labels of both kinds all texts score alike. Texts of over
+    100,000 bytes are scored whole, but their labels never enter the fit. ``fit_rows`` bounds
     the labelled rows of either label in the fit; the word vectors come from all texts.
     """
     vectors, part = word_vectors(docs)

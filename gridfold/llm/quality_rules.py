@@ -145,6 +145,7 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     any text of fewer than 10 words or with over 20 % of its words in repeated windows. ``quality`` is the
     calibrated probability. Without enough labels of both kinds every text that passes the base rules
     is kept, or none if all labels are 0. ``fit_rows`` bounds the labelled rows of either label in the fit.
+    Texts of over 100,000 bytes are scored whole, but never enter the fit.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "quality", fit_rows)))  # 2 MB, set by BITS
     return text_or_empty(docs, "doc_id").mapInArrow(_scorer(model), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double")

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -17,7 +18,8 @@ def test_pack_balances_bytes_tokens_and_rows():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 2000, 4000)
     items = np.stack([size, size // rng.integers(4, 9, 4000) + 1, rng.integers(1, 4, 4000)], axis=1).astype(float)
-    placed = sharding.pack(items, 8)
+    placed, fitted = sharding.pack(items, 8)
+    assert fitted.mean() > 0.99
     for k in range(3):
         sums = np.bincount(placed, items[:, k], 8)
         assert sums.max() / sums.min() < (1.01 if k == 0 else 1.05)
@@ -42,7 +44,43 @@ def test_shards(spark):
     held = defaultdict(set)
     for i, t in rows:
         held[t].add(got[i]["shard"])
-    assert all(len(s) == 1 for t, s in held.items() if "hot" not in t) and len(held[texts[600]]) > 1  # over half a share: cut
+    assert all(len(s) == 1 for t, s in held.items() if "hot" not in t) and len(held[texts[600]]) > 1  # 45 % of all rows: cut
+
+
+def packed_by_brute_force(items, shards):
+    """The dot-product rule item by item, in exact fractions."""
+    total = [max(sum(x[k] for x in items), 1) for k in range(3)]
+    left = [[Fraction(1, shards)] * 3 for _ in range(shards)]
+    out = {}
+    share = [[Fraction(x[k], total[k]) for k in range(3)] for x in items]
+    for i in sorted(range(len(items)), key=lambda i: (-sum(share[i]), i)):
+        room = [s for s in range(shards) if left[s][0] >= share[i][0]]
+        dot = lambda s: sum(a * b for a, b in zip(left[s], share[i], strict=True))
+        best = max(room, key=lambda s: (dot(s), -s)) if room else max(range(shards), key=lambda s: (left[s][0], -s))
+        out[i] = best
+        left[best] = [a - b for a, b in zip(left[best], share[i], strict=True)]
+    return [out[i] for i in range(len(items))]
+
+
+def test_pack_follows_the_dot_product_rule():
+    rng = np.random.default_rng(4)
+    items = rng.integers(1, 10**6, (300, 3))
+    assert sharding.pack(items.astype(float), 8)[0].tolist() == packed_by_brute_force(items.tolist(), 8)
+
+
+@pytest.mark.parametrize(("copies", "spread"), [((100,), {1}), ((60, 60, 60, 110), {1}), ((80,) * 9, {1, 2, 3, 4, 5, 6, 7, 8})])
+def test_groups_up_to_a_share_stay_whole(spark, copies, spread):
+    rng = random.Random(5)
+    texts = [f"copy-of-group-{g:02d} " * 6 for g, n in enumerate(copies) for _ in range(n)]
+    texts += [" ".join(str(rng.random()) for _ in range(6)) for _ in range(1000 - len(texts))]
+    rows = list(enumerate(texts))
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    shard, held, sizes = {r["doc_id"]: r["shard"] for r in got}, defaultdict(set), defaultdict(int)
+    for i, t in rows:
+        held[t].add(shard[i])
+        sizes[shard[i]] += len(t) + 1
+    assert all(len(s) in spread for s in held.values()) and sum(len(s) > 1 for s in held.values()) <= 1
+    assert max(sizes.values()) < 1.02 * min(sizes.values())
 
 
 def test_shards_of_odd_rows(spark):

@@ -32,6 +32,8 @@ ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "
 NEXT = {NOTHING: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 FAR = 1 << 40
 NO_CONVERSATION = -(1 << 63)
+#: Characters of rendered text in an output batch.
+MOST_CHARS = 1 << 21
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -120,16 +122,27 @@ def settle_borders(pieces: list) -> dict[tuple[int, int], tuple[int, int | None,
     return fixed
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """Whole pieces of conversations: the id, and (turn, role code, role, text) in order."""
+def _codes(roles: pa.Array) -> list[int]:
+    return [ALIASES.get((role or "").strip().lower(), 0) for role in roles.to_pylist()]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Pieces of conversations: the id, and the slices of Arrow batches that hold its turns in order.
+
+    Texts stay in their Arrow buffers; a piece is at most what one range partition holds of a conversation.
+    """
     conv, held = None, []
     for batch in batches:
-        for c, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if c != conv:
+        ids = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if ids[a] != conv:
                 if held:
                     yield conv, held
-                conv, held = c, []
-            held.append((turn, ALIASES.get((role or "").strip().lower(), 0), role, text or ""))
+                conv, held = int(ids[a]), []
+            held.append(batch.slice(a, b - a))
     if held:
         yield conv, held
 
@@ -138,12 +151,12 @@ def _border_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     part, codes = TaskContext.get().partitionId(), []
     conv, kept = None, {}
     for batch in batches:
-        for c, role in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for c, code in zip(batch.column(0).to_pylist(), _codes(batch.column(2)), strict=True):
             if c != conv:
                 if conv is not None and not kept:
                     kept[conv] = least_costs(codes)
                 conv, codes = c, []
-            codes.append(ALIASES.get((role or "").strip().lower(), 0))
+            codes.append(code)
     if conv is not None:
         kept[conv] = least_costs(codes)
         yield pa.RecordBatch.from_pylist([{"part": part, "conv": k, "costs": v.ravel().tolist()} for k, v in kept.items()], schema=pa.schema([("part", pa.int64()), ("conv", pa.int64()), ("costs", pa.list_(pa.int64()))]))
@@ -155,7 +168,7 @@ OUT = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("piece", pa.int
 def _repairer(fixed: dict[tuple[int, int], tuple[int, int | None, bool]]) -> Callable:
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, size = TaskContext.get().partitionId(), [], 0
-        for conv, turns in _rows(batches):
+        for conv, slices in _pieces(batches):
             start, end, last = fixed.get((part, conv), (NOTHING, None, True))
             state, conv_id = start, None if conv == NO_CONVERSATION else conv
 
@@ -167,16 +180,23 @@ def _repairer(fixed: dict[tuple[int, int], tuple[int, int | None, bool]]) -> Cal
                 out.append({"conv_id": conv_id, "turn": turn, "piece": n, "given_role": given, "role": ROLES[role], "action": action, "cost": cost, "rendered": head + text})
                 size += len(text)
 
-            for (turn, code, given, text), (cost, role, merged, between) in zip(turns, repair([x[1] for x in turns], start, end), strict=True):
-                for r in between:
-                    put(turn, r, "insert", INSERT, "")
-                own = cost - INSERT * len(between)
-                put(turn, role, "+".join((["relabel"] if code != role else []) + (["merge"] if merged else [])) or "keep", own, text, given, merged)
+            codes = [_codes(x.column(2)) for x in slices]
+            steps = iter(repair([c for own in codes for c in own], start, end))
+            for x, own in zip(slices, codes, strict=True):
+                for turn, given, text, code in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3), own, strict=True):
+                    cost, role, merged, between = next(steps)
+                    for r in between:
+                        put(turn, r, "insert", INSERT, "")
+                    action = "+".join((["relabel"] if code != role else []) + (["merge"] if merged else [])) or "keep"
+                    put(turn, role, action, cost - INSERT * len(between), text.as_py() or "", given, merged)
+                    if size > MOST_CHARS:  # the last row stays: its piece number and its end may still count
+                        yield pa.RecordBatch.from_pylist(out[:-1], schema=OUT)
+                        out, size = out[-1:], 0
             if last:
                 for r in {SYSTEM: [USER, ASSISTANT], USER: [ASSISTANT]}.get(state, []):
-                    put(turns[-1][0], r, "insert", INSERT, "")
+                    put(turn, r, "insert", INSERT, "")
                 out[-1]["rendered"] += CLOSE
-            if size > 1 << 21:
+            if size > MOST_CHARS:
                 yield pa.RecordBatch.from_pylist(out, schema=OUT)
                 out, size = [], 0
         if out:
@@ -191,14 +211,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Sorted by ``conv_id``, ``turn``, ``piece`` the ``rendered`` strings of a conversation form its text.
     ``action`` is keep, relabel, merge, relabel+merge or insert; ``cost`` is what the action costs. A system
     turn is legal only at the start. Unknown and null roles take a new name at little cost. Null texts are
-    empty; null ``turn`` sorts first; equal turns go by role and text; rows without ``conv_id`` form one
+    empty; null ``turn`` sorts first; equal turns go by role and the text's hash; rows without ``conv_id`` form one
     conversation. An empty table gives no rows. Other columns are ignored.
     """
     rows = turns.select(F.coalesce("conv_id", F.lit(NO_CONVERSATION)).alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = checkpointed(rows.repartitionByRange("conv", "turn", "role", "text").sortWithinPartitions("conv", "turn", "role", "text"))
+    # The range partitioner samples whole keys to the driver: they hold a hash of the text, not the text.
+    order = ["conv", "turn", "role", F.xxhash64("text")]
+    rows = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     pieces = rows.mapInArrow(_border_costs, "part long, conv long, costs array<long>").collect()  # two rows a partition
     return rows.mapInArrow(_repairer(settle_borders(pieces)), "conv_id long, turn long, piece int, given_role string, role string, action string, cost long, rendered string")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired turns of all ``conversations`` by :func:`format_chats`."""
     return format_chats(table(spark, sf_dir, "conversations"))

@@ -222,3 +222,12 @@ def test_odd_chats(spark):
     assert {r["conv_id"] for r in got} == {None, 1, 2}
     assert [r["action"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["piece"])] == ["keep", "merge", "insert"]
     assert chat.format_chats(turns.limit(0)).count() == 0
+
+
+def test_long_texts_stay_out_of_the_range_key(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", chr(97 + t) * 1_000_000) for t in range(6)] + [(2, 0, "user", "a"), (2, 0, "user", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat.format_chats(turns).collect()
+    own = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["turn"], r["piece"]))
+    assert [len(r["rendered"]) > 1_000_000 for r in own] == [True] * 6 and "".join(r["rendered"] for r in own).count("d" * 1_000_000) == 1
+    assert sorted((r["turn"], r["piece"], r["action"]) for r in got if r["conv_id"] == 2) == [(0, 0, "keep"), (0, 1, "merge"), (0, 2, "insert")]

@@ -1,4 +1,4 @@
-"""Vectorised hashing of spans of a byte array: words, windows of words, and byte n-grams."""
+"""Vectorised hashing of spans of a byte array: words, windows of words, and character n-grams."""
 
 from __future__ import annotations
 
@@ -59,8 +59,16 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a block of texts, and the offsets of the texts among them."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
+    return points, begins[offsets]
+
+
 def ngram_slots(data: np.ndarray, size: int, bits: int) -> np.ndarray:
-    """Slots of all byte n-grams of a block; the last ``size - 1`` places have none."""
+    """Slots of all n-grams of code points (or bytes); the last ``size - 1`` places have none."""
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.int32)

@@ -1,6 +1,6 @@
 """Quality rules: base rules and a hashed n-gram logistic regression with calibrated probability.
 
-Byte n-grams and word n-grams of a text fall into hashed slots; a text's logit is the sum, over the n-gram
+Character n-grams (of code points) and word n-grams of a text fall into hashed slots; a text's logit is the sum, over the n-gram
 families, of the (smoothed) mean weight of its n-grams. The weights are fitted by AdaGrad on a bounded sample of
 labelled rows, the probability is calibrated on rows kept out of the fit, and the verdict compares it
 with a fixed threshold. Scoring and base rules share one pass over Arrow batches, with no shuffle.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gridfold.llm.common import table, text_blocks, text_or_empty
-from gridfold.llm.hashing import PRIME, mixed, ngram_slots, span_hashes, spread, window_hashes, words
+from gridfold.llm.hashing import PRIME, code_points, mixed, ngram_slots, span_hashes, spread, window_hashes, words
 from gridfold.llm.training import labelled_sample, platt, sigmoid
 
 #: Labelled rows of either label that the fit may use; one in five of them calibrates.
@@ -70,8 +70,9 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, cuts:
 
 def families(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each n-gram family: slots of all n-grams in a row, and where each text's own begin and end."""
+    points, at = code_points(data, offsets)
     for k, n in enumerate(CHARS):
-        yield ngram_slots(data, n, BITS) + (k << BITS), offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - n + 1)
+        yield ngram_slots(points, n, BITS) + (k << BITS), at[:-1], np.maximum(at[:-1], at[1:] - n + 1)
     for k, n in enumerate(WORDS, len(CHARS)):
         yield (window_hashes(hashes, n) >> np.uint64(64 - BITS)).astype(np.int32) + (k << BITS), cuts[:-1], np.maximum(cuts[:-1], cuts[1:] - n + 1)
 
@@ -152,4 +153,5 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document by :func:`judge`."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

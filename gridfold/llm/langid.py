@@ -38,8 +38,8 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     start = offsets[owner] + nth * SPAN
     length = np.minimum(offsets[owner + 1] - start, SPAN)
     at = start[None, :] + np.arange(SPAN)[:, None]
-    inputs = np.where(np.arange(SPAN)[:, None] < length[None, :], data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else PAD, PAD)
-    return inputs.astype(np.int16), owner, length
+    known = data.astype(np.int16)[np.minimum(at, max(len(data) - 1, 0))] if len(data) else np.zeros(at.shape, np.int16)
+    return np.where(np.arange(SPAN)[:, None] < length[None, :], known, np.int16(PAD)), owner, length
 
 
 def fresh_network(classes: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -231,5 +231,6 @@ def learnable(docs_key: str = "doc_id") -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by :func:`identify`; rows without ``doc_id`` are never learned from, so held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return identify(docs, learnable()).select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score")
+    return identify(docs, learnable()).select("doc_id", F.coalesce(~learnable(), F.lit(True)).alias("held_out"), "lang_pred", "score")

@@ -197,5 +197,6 @@ def classify(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by :func:`classify`; rows without ``doc_id`` have no label, so they are held out."""
     found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hash_slot("doc_id", 3) != 1)
-    return found.select("doc_id", (hash_slot("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(hash_slot("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", "predicted")

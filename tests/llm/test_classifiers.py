@@ -151,3 +151,96 @@ def test_one_text_may_fill_many_windows():
     net = langid.fresh_network(3, np.random.default_rng(7))
     whole = langid.document_probabilities(net, data, np.array([0, 0, 1000]))
     assert whole[0].sum() == 0 and whole[1].sum() == pytest.approx(1, abs=1e-5)
+
+
+def ngram_means(text, weights):
+    """The logit by n-grams of code points and of words, cut one by one."""
+    size, total = 1 << quality_rules.BITS, float(weights[-1])
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    slots = [[hashing.ngram_slots(np.array([ord(c) for c in text[i : i + n]], np.uint32), n, quality_rules.BITS)[0] for i in range(len(text) - n + 1)] for n in quality_rules.CHARS]
+    own = np.array([hashing.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] for w in words], np.uint64)
+    slots += [[int(hashing.window_hashes(own[i : i + n], n)[0] >> np.uint64(64 - quality_rules.BITS)) for i in range(len(words) - n + 1)] for n in quality_rules.WORDS]
+    for k, family in enumerate(slots):
+        total += sum(float(weights[k * size + s]) for s in family) / (len(family) + quality_rules.SMOOTH)
+    return total
+
+
+def test_logits_of_characters_and_words_by_brute_force():
+    rng = np.random.default_rng(9)
+    weights = rng.normal(size=(4 << quality_rules.BITS) + 1).astype(np.float32)
+    texts = ["", "é", "один два три", "日本語 の 文", "plain words\nand é 🙂 more", " ", "ab"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    starts, ends, cuts = hashing.words(data, offsets)
+    got = quality_rules.logits(weights, data, offsets, hashing.span_hashes(data, starts, ends), cuts)
+    assert got == pytest.approx([ngram_means(t, weights) for t in texts], abs=1e-4)
+    points, at = hashing.code_points(data, offsets)
+    assert [points[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[ord(c) for c in t] for t in texts]
+
+
+def hidden_states(net, side, inputs):
+    """States of the gated unit, one step and one unit at a time."""
+    x, u, c = (net[f"{k}{side}"].astype(float) for k in "xuc")
+    h, out, n = [0.0] * langid.HIDDEN, {}, langid.HIDDEN
+    for t in range(len(inputs)) if side == "f" else reversed(range(len(inputs))):
+        given = x[inputs[t]]
+        gate = [1 / (1 + np.exp(-(given[k] + sum(u[k, j] * h[j] for j in range(n))))) for k in range(2 * n)]
+        new = [np.tanh(given[2 * n + k] + sum(c[k, j] * gate[n + j] * h[j] for j in range(n))) for k in range(n)]
+        h = [(1 - gate[k]) * h[k] + gate[k] * new[k] for k in range(n)]
+        out[t] = h
+    return [out[t] for t in range(len(inputs))]
+
+
+def test_language_probabilities_by_brute_force():
+    net = langid.fresh_network(3, np.random.default_rng(11))
+    texts = ["", "der Weg", "é" * 40, "the quick brown fox jumps over the lazy dog and then it runs away from it"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = langid.document_probabilities(net, data, offsets)
+    for k, text in enumerate(texts):
+        raw, sums = text.encode(), np.zeros(3)
+        for a in range(0, len(raw), langid.SPAN):
+            window = [*raw[a : a + langid.SPAN], *[langid.PAD] * (langid.SPAN - len(raw[a : a + langid.SPAN]))]
+            both = zip(hidden_states(net, "f", window), hidden_states(net, "b", window), strict=True)
+            for t, (f, b) in enumerate(both):
+                score = np.exp(net["o"].astype(float) @ np.array([*f, *b]) + net["ob"][:, 0])
+                if a + t < len(raw):
+                    sums += score / score.sum()
+        assert got[k] == pytest.approx(sums / max(len(raw), 1), abs=1e-4)
+
+
+def token_strings(text):
+    kind = lambda c: "s" if c in " \t\n\x0b\x0c\r" else "a" if "a" <= c <= "z" or c > "\x7f" else "A" if "A" <= c <= "Z" else "0" if c.isdigit() else c
+    out = []
+    for i, c in enumerate(text):
+        if i and (kind(c) == kind(text[i - 1]) or (kind(c) == "a" and kind(text[i - 1]) == "A")):
+            out[-1] += c
+        else:
+            out.append(c)
+    return [x for x in out if kind(x[0]) != "s"]
+
+
+def test_word_vectors_and_pooling_by_brute_force(spark):
+    texts = ["Some words, and SOME numbers 123: words again", "", "ein Wort é", None, "a b a b c", "words and words"]
+    plus, minus = quality_net.index_dimensions()
+    slot = lambda w: int(hashing.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] >> np.uint64(64 - quality_net.BITS))
+    sums, count = np.zeros((1 << quality_net.BITS, quality_net.DIMS)), np.zeros(1 << quality_net.BITS)
+    cut = [[slot(w) for w in token_strings(t or "")] for t in texts]
+    for own in cut:
+        for i, s in enumerate(own):
+            count[s] += 1
+            for j in range(max(0, i - quality_net.REACH), min(len(own), i + quality_net.REACH + 1)):
+                if i != j:
+                    sums[s, plus[own[j]]] += 1
+                    sums[s, minus[own[j]]] -= 1
+    damped = np.sign(sums) * np.sqrt(np.abs(sums))
+    want = damped / np.maximum(np.sqrt((damped**2).sum(axis=1, keepdims=True)), 1e-9)
+    vectors, part = quality_net.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert np.abs(vectors - want).max() < 1e-5 and part == pytest.approx(count / count.sum())
+    rare = (1e-4 / (1e-4 + part)).astype(np.float32)
+    raw = [(t or "").encode() for t in texts]
+    got = quality_net.pooled(vectors, rare, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for row, own in zip(got, cut, strict=True):
+        n, shrink = len(own), quality_net.SHRINK
+        mean = sum((vectors[s] for s in own), np.zeros(quality_net.DIMS)) / (n + shrink)
+        rarely = sum((vectors[s] * rare[s] for s in own), np.zeros(quality_net.DIMS)) / (sum(float(rare[s]) for s in own) + shrink / 4)
+        alike = sum(float(vectors[a] @ vectors[b]) for a, b in zip(own, own[1:], strict=False)) / (n + shrink)
+        assert row == pytest.approx([*mean, *rarely, alike, np.log1p(n) / 5] if n else [0] * quality_net.WIDTH, abs=1e-4)

@@ -33,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set (local tests) a temporary folder is made and set.
+    Only on a local master, where none is set (tests), a temporary folder is made and set; on a cluster
+    executors could not read it, so there a missing setting raises ``ValueError``.
     """
     known = spark.conf.get("spark.checkpoint.dir", "")
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known and now.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridfold-checkpoint-"))
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known or now.get()

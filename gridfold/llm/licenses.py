@@ -1,127 +1,57 @@
 """Licence scan by ordered signature rules, in DataFrame expressions only.
 
-A text becomes its lower-case words with single spaces. Each rule has a keyword, a regular expression over
-words, a label, a priority and a weight. Only texts that hold a stem of some keyword are normalised, and
-only rules whose keyword occurs are matched. A match covers an interval of words; sorted by start and
-falling end, an interval is suppressed where one that contains it has the same or a better priority. All of
-it happens within the row: the scan needs no shuffle, and its work grows with the text.
+A text becomes its lower-case words with single spaces. Only texts that hold a stem of some keyword are
+normalised, and only rules whose keyword occurs are matched, each by its own literal pattern. A match covers
+an interval of words; sorted by start and falling end, an interval is suppressed where one that contains it
+has the same or a better priority, and of equal ones the earlier rule's stays. All of it happens within
+the row: the scan needs no shuffle, and its work grows with the text.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfold.llm.common import lower_ascii, table
+from gridfold.llm.license_rules import WRITTEN
 
 #: Phrases and their base labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-LICENCE = "(?:license|licence|licenses|licences)"
-#: Label stem, keyword, name as an expression over words, versions in words, SPDX stem in words.
-FAMILIES = [
-    ("apache", "apache", f"apache(?: software)?(?: foundation)?(?: {LICENCE})?", ["1 0", "1 1", "2 0"], "apache"),
-    ("gpl", "general public", f"(?:gnu )?general public {LICENCE}", ["1 0", "2 0", "3 0", "1", "2", "3"], "gpl"),
-    ("gpl", "gpl", "(?:gnu )?gpl", ["2 0", "3 0", "2", "3"], "gpl"),
-    ("lgpl", "lesser general", f"(?:gnu )?lesser general public {LICENCE}", ["2 1", "3 0", "3"], "lgpl"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", ["2 0", "2 1", "3 0", "3"], "lgpl"),
-    ("lgpl", "library general", f"(?:gnu )?library general public {LICENCE}", ["2 0", "2"], "lgpl"),
-    ("agpl", "affero", f"(?:gnu )?affero general public {LICENCE}", ["1 0", "3 0", "3"], "agpl"),
-    ("agpl", "agpl", "(?:gnu )?agpl", ["1 0", "3 0", "3"], "agpl"),
-    ("gfdl", "documentation", f"(?:gnu )?free documentation {LICENCE}", ["1 1", "1 2", "1 3"], "gfdl"),
-    ("mit", "mit", f"(?:the )?mit(?: x11)? {LICENCE}", [], "mit"),
-    ("x11", "x11", f"x11 {LICENCE}", [], "x11"),
-    ("isc", "isc", f"isc {LICENCE}", [], "isc"),
-    ("bsd", "bsd", f"(?:new |modified |revised |simplified |original )?bsd(?: style)?(?: {LICENCE})?", [], "bsd"),
-    ("bsd-2-clause", "bsd", f"(?:bsd (?:2|two) clause|(?:2|two) clause bsd)(?: {LICENCE})?", [], "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", f"(?:bsd (?:3|three) clause|(?:3|three) clause bsd)(?: {LICENCE})?", [], "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", f"(?:bsd (?:4|four) clause|(?:4|four) clause bsd)(?: {LICENCE})?", [], "bsd 4 clause"),
-    ("mpl", "mozilla", f"mozilla public {LICENCE}", ["1 0", "1 1", "2 0"], "mpl"),
-    ("mpl", "mpl", "mpl", ["1 1", "2 0"], "mpl"),
-    ("epl", "eclipse", f"eclipse public {LICENCE}", ["1 0", "2 0"], "epl"),
-    ("edl", "eclipse", f"eclipse distribution {LICENCE}", ["1 0"], "edl"),
-    ("cddl", "common development", f"common development and distribution {LICENCE}", ["1 0", "1 1"], "cddl"),
-    ("cpl", "common public", f"common public {LICENCE}", ["1 0"], "cpl"),
-    ("eupl", "european union", f"european union public {LICENCE}", ["1 0", "1 1", "1 2"], "eupl"),
-    ("osl", "open software", f"open software {LICENCE}", ["1 0", "2 0", "2 1", "3 0"], "osl"),
-    ("afl", "academic free", f"academic free {LICENCE}", ["1 2", "2 0", "2 1", "3 0"], "afl"),
-    ("artistic", "artistic", f"artistic {LICENCE}", ["1 0", "2 0"], "artistic"),
-    ("bsl", "boost", f"boost software {LICENCE}", ["1 0"], "bsl"),
-    ("busl", "business source", f"business source {LICENCE}", ["1 1"], "busl"),
-    ("zlib", "zlib", f"zlib(?: libpng)? {LICENCE}", [], "zlib"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", [], "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", ["2"], "wtfpl"),
-    ("ofl", "open font", f"(?:sil )?open font {LICENCE}", ["1 0", "1 1"], "ofl"),
-    ("odbl", "open database", f"open database {LICENCE}", ["1 0"], "odbl"),
-    ("odc-by", "open data commons", f"open data commons attribution {LICENCE}", ["1 0"], "odc by"),
-    ("pddl", "open data commons", f"open data commons public domain dedication(?: and {LICENCE})?", ["1 0"], "pddl"),
-    ("psf", "python software", f"python software foundation {LICENCE}", ["2"], "psf"),
-    ("php", "php", f"php {LICENCE}", ["3 0", "3 01"], "php"),
-    ("ruby", "ruby", f"ruby {LICENCE}", [], "ruby"),
-    ("postgresql", "postgresql", f"postgresql {LICENCE}", [], "postgresql"),
-    ("openssl", "openssl", f"openssl {LICENCE}", [], "openssl"),
-    ("ncsa", "ncsa", f"(?:university of illinois )?ncsa(?: open source)? {LICENCE}", [], "ncsa"),
-    ("ms-pl", "microsoft", f"microsoft public {LICENCE}", [], "ms pl"),
-    ("ms-rl", "microsoft", f"microsoft reciprocal {LICENCE}", [], "ms rl"),
-    ("cecill", "cecill", f"cecill(?: {LICENCE})?", ["1 0", "2 0", "2 1"], "cecill"),
-    ("vim", "vim", f"vim {LICENCE}", [], "vim"),
-    ("qpl", "public", f"q public {LICENCE}", ["1 0"], "qpl"),
-    ("sspl", "server side", f"server side public {LICENCE}", ["1"], "sspl"),
-    ("cc0", "cc0", "cc0", ["1 0"], "cc0"),
-    ("cc0", "creative commons", "creative commons zero", ["1 0"], "cc0"),
-    ("cc-by", "cc by", "cc by", ["1 0", "2 0", "2 5", "3 0", "4 0"], "cc by"),
-    *((f"cc-by-{x.replace(' ', '-')}", f"cc by {x}", f"cc by {x}", ["1 0", "2 0", "2 5", "3 0", "4 0"], f"cc by {x}") for x in ("sa", "nd", "nc", "nc sa", "nc nd")),
-    ("cc-by", "creative commons", f"creative commons attribution(?: {LICENCE})?", ["2 0", "2 5", "3 0", "4 0"], None),
-    ("cc-by-sa", "creative commons", f"creative commons attribution share ?alike(?: {LICENCE})?", ["2 0", "2 5", "3 0", "4 0"], None),
-    ("cc-by-nc", "creative commons", f"creative commons attribution non ?commercial(?: {LICENCE})?", ["2 0", "2 5", "3 0", "4 0"], None),
-    ("cc-by-nd", "creative commons", f"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: {LICENCE})?", ["2 0", "2 5", "3 0", "4 0"], None),
-    ("cc-by-nc-sa", "creative commons", f"creative commons attribution non ?commercial share ?alike(?: {LICENCE})?", ["2 0", "2 5", "3 0", "4 0"], None),
-    ("cc-by-nc-nd", "creative commons", f"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: {LICENCE})?", ["2 0", "2 5", "3 0", "4 0"], None),
-]
-#: Signatures that belong to no family: label, keyword, expression, priority, weight.
-OTHERS = [
-    ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 1, 1.0),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee", 1, 1.0),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 1, 1.0),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1, 1.0),
-    ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 2, 0.9),
-    ("public-domain", "public domain", "public domain", 4, 0.7),
-    ("reserved", "reserved", "all rights reserved", 3, 0.6),
-    ("reserved", "reserved", "some rights reserved", 3, 0.6),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", 3, 0.6),
-    ("copyright", "copyright", "copyright (?:c|holder|holders|owner|notice)", 4, 0.6),
-    ("proprietary", "proprietary", "proprietary and confidential", 2, 0.9),
-    ("no-copying", "prohibited", "unauthori[sz]ed copying of this file .{0,60}?strictly prohibited", 2, 0.9),
-]
-GRANT = "(?:licensed|released|distributed|published|available|provided|offered|covered|made available) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:an? )?"
-VERSION = "(?: license| licence)?(?: (?:version|v|ver))? "
-
-
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """All rules in order: keyword, expression over words, label, priority (1 is best), weight."""
-    found = []
-    for label, keyword, name, versions, spdx in FAMILIES:
-        for v in versions:
-            own = f"{label}-{v.replace(' ', '.') if ' ' in v else v + '.0'}"
-            end = f"{VERSION}v?{v}(?: (?:international|unported|generic))?(?: or later)?"
-            found.append((keyword, GRANT + name + end, own, 1, 1.0))
-            found.append((keyword, name + end, own, 2, 0.9))
-            if spdx:
-                found.append(("spdx", f"spdx license identifier {spdx} {v}(?: only| or later)?", own, 1, 1.0))
-        found.append((keyword, GRANT + name, label, 2, 0.9))
-        found.append((keyword, name, label, 4, 0.7))
-        if spdx and not versions:
-            found.append(("spdx", f"spdx license identifier {spdx}", label, 1, 1.0))
-    found += [(keyword, body, label, priority, weight) for label, keyword, body, priority, weight in OTHERS]
-    return list(dict.fromkeys(found))
+#: Characters for private use that mark the ends of a match; no word holds them after normalisation.
+BEGIN, END = "\x01", "\x02"
+PRIORITIES = 4
+#: Stems of keywords whose longest word is a common one.
+STEM = {"creative commons": "commons", "public domain": "domain", "is hereby granted": "hereby", "permission is hereby granted": "hereby", "without royalty": "royalty"}
+#: The version at the end of a match, before what may stand behind it.
+VERSION = r"v?([0-9](?: [0-9]{1,2})?)(?: (?:or|only|later|international|unported|generic|licen[cs]es?))*$"
 
 
 def stems() -> list[str]:
-    """Strings of which at least one occurs in any lower-cased text that has a detection."""
-    named = {keyword: body for keyword, body, *_ in rules() if body.endswith(LICENCE)}
-    words = {"licen" if k in named else max(k.split(), key=len) for k, *_ in rules()} | {max(p.split(), key=len) for p in BASE}
+    """Strings of which at least one occurs in any lower-cased text that has a detection.
+
+    Of a keyword whose rules all hold the word licence that word's stem counts, else its longest word.
+    """
+    certain: dict[str, bool] = {}
+    for _, keyword, body, *_ in WRITTEN:
+        needed = body
+        while (less := re.sub(r"\(\?:[^()]*\)\??", "", needed)) != needed:  # what stands in no group
+            needed = less
+        certain[keyword] = certain.get(keyword, True) and ("licen" in keyword or ("licen" in needed and "|" not in needed))
+    words = {"licen" if sure else STEM.get(keyword) or max(keyword.split(), key=len) for keyword, sure in certain.items()}
+    words = (words | {"licen", "reserved"}) - {"cc"}  # of the base phrases; "cc by" is looked for by itself
     return sorted(w for w in words if not any(o != w and o in w for o in words))
 
 
+def may_match(lowered: Column) -> Column:
+    """Whether a lower-cased text holds a stem; ``cc`` counts only where ``by`` is the next word."""
+    held = lowered.rlike(r"cc[^a-z0-9\u0080-￿]+by")
+    for word in stems():
+        held = held | F.contains(lowered, F.lit(word))
+    return held
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words with one space on either side of each."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
@@ -131,24 +61,63 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _matches(words: Column, rule: Column) -> Column:
-    """``(start, end, priority, label, weight)`` of every match of a rule, in words from 0, end included."""
-    bounded = F.concat(F.lit("(?<= )(?:"), rule["expression"], F.lit(")(?= )"))
-    gaps = F.transform(F.split(words, bounded, -1), lambda x: _spaces(x))
-    hits = F.transform(F.regexp_extract_all(words, bounded, F.lit(0)), lambda x: _spaces(x))
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    step = lambda a, x: F.struct((a["at"] + x["gap"] + x["hit"]).alias("at"), F.array_append(a["spans"], F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["hit"]).alias("end"))).alias("spans"))
-    spans = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")), start, step, lambda a: a["spans"])
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight")))
+def _marked(words: Column) -> Column:
+    """``(rule, text)`` of every rule that matches: its number, and the words with its matches between marks."""
+    by_keyword: dict[str, list[int]] = {}
+    for i, (_, keyword, *_) in enumerate(WRITTEN):
+        by_keyword.setdefault(keyword, []).append(i)
+    one = lambda i: F.struct(F.lit(i).alias("rule"), F.regexp_replace(words, f" (?:{WRITTEN[i][2]})(?= )", f"{BEGIN}$0{END}").alias("text"))
+    gated = [F.when(F.contains(words, F.lit(f" {keyword}")), F.array(*map(one, own))) for keyword, own in by_keyword.items()]
+    tried = F.flatten(F.filter(F.array(*gated), lambda x: x.isNotNull()))
+    return F.filter(tried, lambda x: F.contains(x["text"], F.lit(BEGIN)))
+
+
+def _spans(text: Column) -> Column:
+    """``(start, end, hit)`` of the marked matches of a rule, in words from 0, end included."""
+    spans = "array<struct<start:int,end:int,hit:string>>"
+
+    def step(a: Column, piece: Column) -> Column:
+        hit = F.substring_index(piece, END, 1)
+        n = _spaces(hit)
+        found = F.struct(a["at"].alias("start"), (a["at"] + n - 1).alias("end"), hit.alias("hit"))
+        return F.struct((a["at"] + _spaces(piece)).alias("at"), F.array_append(a["spans"], found).alias("spans"))
+
+    pieces = F.split(text, BEGIN)
+    start = F.struct(_spaces(F.element_at(pieces, 1)).alias("at"), F.array().cast(spans).alias("spans"))
+    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda a: a["spans"])
+
+
+def _detections(marked: Column) -> Column:
+    """All matches with the label, priority and weight of their rule."""
+    known = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight")) for label, _, _, priority, weight in WRITTEN))
+
+    def found(m: Column) -> Column:
+        rule = known[m["rule"]]
+        return F.transform(_spans(m["text"]), lambda s: F.struct(
+            s["start"].alias("start"), (-s["end"]).alias("back"), rule["priority"].alias("priority"), m["rule"].alias("rule"),
+            labelled(rule["label"], s["hit"]).alias("label"), rule["weight"].alias("weight"),
+        ))
+
+    return F.flatten(F.transform(marked, found))
+
+
+def labelled(label: Column, hit: Column) -> Column:
+    """The label of a match: one that ends in a dash takes the version in the match, as in ``gpl-2.0``."""
+    version = F.regexp_extract(hit, VERSION, 1)
+    dotted = F.when(F.contains(version, F.lit(" ")), F.replace(version, F.lit(" "), F.lit("."))).otherwise(F.concat(version, F.lit(".0")))
+    return F.when(F.endswith(label, F.lit("-")), F.concat(label, dotted)).otherwise(label)
 
 
 def _surviving(found: Column) -> Column:
-    """Detections not contained in one of the same or a better priority."""
-    start = F.struct(*(F.lit(-1).alias(f"m{p}") for p in range(1, 5)), F.array().cast("array<struct<start:int,back:int,priority:int,label:string,weight:double>>").alias("kept"))
+    """Detections not contained in one of the same or a better priority; of equal ones that of the first rule."""
+    kept = "array<struct<start:int,back:int,priority:int,rule:int,label:string,weight:double>>"
+    start = F.struct(*(F.lit(-1).alias(f"m{p}") for p in range(1, PRIORITIES + 1)), F.array().cast(kept).alias("kept"))
 
     def step(a: Column, x: Column) -> Column:
-        reach = F.when(x["priority"] == 1, a["m1"]).when(x["priority"] == 2, a["m2"]).when(x["priority"] == 3, a["m3"]).otherwise(a["m4"])
-        ends = [F.when(x["priority"] <= p, F.greatest(a[f"m{p}"], -x["back"])).otherwise(a[f"m{p}"]).alias(f"m{p}") for p in range(1, 5)]
+        reach = a[f"m{PRIORITIES}"]
+        for p in range(PRIORITIES - 1, 0, -1):
+            reach = F.when(x["priority"] == p, a[f"m{p}"]).otherwise(reach)
+        ends = [F.when(x["priority"] <= p, F.greatest(a[f"m{p}"], -x["back"])).otherwise(a[f"m{p}"]).alias(f"m{p}") for p in range(1, PRIORITIES + 1)]
         return F.struct(*ends, F.when(reach >= -x["back"], a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"))
 
     return F.aggregate(F.array_sort(found), start, step, lambda a: a["kept"])
@@ -162,25 +131,22 @@ def scan(docs: DataFrame) -> DataFrame:
     one by one. Other columns of ``docs`` stay as they are; columns of these three names are replaced.
     """
     columns = [x for x in docs.columns if x not in ("n_words", "words", "detections")]
-    lowered = F.lower("text")
-    stem = F.lit(False)
-    for word in stems():
-        stem = stem | F.contains(F.col("_gridfold_lower"), F.lit(word))
-    counted = docs.select(*columns, F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"), lowered.alias("_gridfold_lower"))
-    named = counted.select(*columns, "n_words", F.when(stem, normalised(F.col("text"))).alias("words"))
-    all_rules = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("keyword", "expression", "label", "priority", "weight"), rule, strict=True))) for rule in rules()))
-    keywords = F.array(*map(F.lit, sorted({keyword for keyword, *_ in rules()})))
-    met = F.filter(keywords, lambda k: F.contains(F.col("words"), F.concat(F.lit(" "), k)))
-    gated = F.filter(all_rules, lambda r: F.array_contains(F.col("_gridfold_met"), r["keyword"]))
-    found = F.when(F.size("_gridfold_met") > 0, F.flatten(F.transform(gated, lambda r: _matches(F.col("words"), r))))
-    kept = F.transform(_surviving(F.col("_gridfold_found")), lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["label"].alias("label"), x["priority"].alias("priority"), x["weight"].alias("weight")))
-    return named.select("*", met.alias("_gridfold_met")).select("*", found.alias("_gridfold_found")).select(*columns, "n_words", "words", F.when(F.size("_gridfold_found") > 0, kept).alias("detections"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    counted = docs.select(*columns, n_words.alias("n_words"), F.lower("text").alias("_gridfold_lower"))
+    named = counted.select(*columns, "n_words", F.when(may_match(F.col("_gridfold_lower")), normalised(F.col("text"))).alias("words"))
+    # Lambdas bind the words and the matches once for each text.
+    marked = F.transform(F.filter(F.array("words"), lambda w: w.isNotNull()), _marked)
+    met = F.filter(marked, lambda m: F.size(m) > 0)
+    kept = F.flatten(F.transform(met, lambda m: _surviving(_detections(m))))
+    told = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["label"].alias("label"), x["priority"].alias("priority"), x["weight"].alias("weight")))
+    return named.select(*columns, "n_words", "words", told.alias("_gridfold_found")).select(*columns, "n_words", "words", F.when(F.size("_gridfold_found") > 0, F.col("_gridfold_found")).alias("detections"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base places and all labels of every document, from the words and detections of :func:`scan`."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.col("words")
-    counts = {p: F.coalesce(F.regexp_count(words, F.lit(f"(?<= ){p}(?= )")), F.lit(0)).cast("long") for p in BASE}
+    counts = {p: F.coalesce(F.regexp_count(words, F.lit(f" {p}(?= )")), F.lit(0)).cast("long") for p in BASE}
     first = {p: F.when(words.contains(f" {p} "), _spaces(F.substring_index(words, f" {p} ", 1))) for p in BASE}
     last = {p: F.when(words.contains(f" {p} "), F.col("n_words") - _spaces(F.substring_index(words, f" {p} ", -1)) - len(p.split())) for p in BASE}
     base = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(words.contains(f" {p} "), F.lit(label)) for p, label in BASE.items())), lambda x: x.isNotNull())))

@@ -16,17 +16,22 @@ def words_of(text):
     return WORD.findall((text or "").translate(ASCII_LOWER))
 
 
+def own_label(label, hit):
+    """A label that ends in a dash takes the version of the match."""
+    v = re.search(licenses.VERSION, hit)
+    return label if not label.endswith("-") else label + (v.group(1).replace(" ", ".") if " " in v.group(1) else v.group(1) + ".0")
+
+
 def detections(text):
     """All rules on all words, then pairwise suppression."""
     joined = " " + " ".join(words_of(text)) + " "
     found = []
-    for _, body, label, priority, _ in licenses.rules():
+    for rule, (label, _, body, priority, _) in enumerate(licenses.WRITTEN):
         for m in re.finditer(f"(?<= )(?:{body})(?= )", joined):
             start = joined[: m.start()].count(" ") - 1
-            found.append((start, start + m.group().count(" "), label, priority))
-    found = sorted(found, key=lambda d: (d[0], -d[1], d[3], d[2]))
-    kept = [d for i, d in enumerate(found) if not any((e[0] <= d[0] and e[1] >= d[1] and e[3] <= d[3]) and (e[:2] != d[:2] or j < i or e[3] < d[3]) for j, e in enumerate(found) if j != i)]
-    return kept
+            found.append((start, start + m.group().count(" "), own_label(label, m.group()), priority, rule))
+    better = lambda e, d: e[3] < d[3] or (e[3] == d[3] and (e[:2] != d[:2] or e[4] < d[4]))
+    return [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e != d and better(e, d) for e in found)]
 
 
 def base(text):
@@ -58,11 +63,48 @@ def test_scan_by_brute_force(spark, tmp_path):
         assert 0 <= r["score"] <= 1
 
 
-def test_every_rule_has_its_keyword():
-    own = licenses.rules()
-    assert len(own) > 300
-    for keyword, body, *_ in own:
-        assert re.search(r"[a-z]", keyword) and re.compile(body)
+def example(parsed, rng, lazy):
+    """A string that a parsed expression matches, with branches and repeats drawn at random."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "ANY":
+            out += "x"
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value))
+        elif name == "BRANCH":
+            out += example(rng.choice(arg[1]), rng, lazy)
+        elif name == "SUBPATTERN":
+            out += example(arg[-1], rng, lazy)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            times = low if lazy else rng.randint(low, min(high, low + 3))
+            # Words of a gap are letters with single spaces.
+            out += "".join(example(inner, rng, lazy) for _ in range(times)) + (" " if name == "MIN_REPEAT" and times else "")
+        else:
+            raise AssertionError(name)
+    return out
+
+
+def test_every_rule_finds_its_own_examples(spark):
+    rng, rows = random.Random(3), []
+    for rule, (label, keyword, body, *_) in enumerate(licenses.WRITTEN):
+        for k in range(4):
+            text = " ".join(example(re._parser.parse(body), rng, k == 0).split())
+            if not re.fullmatch(body, text):
+                continue
+            assert f" {keyword}" in f" {text}", (keyword, text)
+            rows.append((len(rows), rule, own_label(label, text), text.title() if k % 2 else text))
+    assert len({r[1] for r in rows}) == len(licenses.WRITTEN) == len({r[2] for r in licenses.WRITTEN}) > 250
+    docs = spark.createDataFrame(rows, "doc_id long, rule int, label string, text string")
+    marked = docs.select("doc_id", "rule", licenses._marked(licenses.normalised(licenses.F.col("text")))["rule"].alias("met"), licenses.may_match(licenses.F.lower("text")).alias("stem"))
+    assert all(r["rule"] in r["met"] and r["stem"] for r in marked.collect())
+    for r in licenses.scan(docs).collect():
+        want = {d[:3] for d in detections(r["text"])}
+        assert {(d["start"], d["end"], d["label"]) for d in r["detections"]} == want, r["text"]
 
 
 def test_scan_keeps_columns_and_takes_empty_tables(spark):

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from gridfold.llm.common import checkpointed, lower_ascii, table
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
+#: Bytes of all bitmaps, with 64 for each row, up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -151,8 +153,9 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     apart that share a ``doc_id``; these count as one document. Rows without a ``doc_id`` take no part.
     Null, empty and short texts lose nothing; an empty table gives no rows.
     """
-    rows = line_rows(docs.select("doc_id", "text")).repartitionByRange("h1", "h2", F.desc("doc_id"), "text_hash", "pos").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "text_hash", "pos")
-    rows = checkpointed(rows)
+    order = ["h1", "h2", F.desc("doc_id"), "text_hash", "pos"]
+    # Range partitioning reads its input twice, to sample and to deal: of the hashes, not of the texts.
+    rows = checkpointed(checkpointed(line_rows(docs.select("doc_id", "text"))).repartitionByRange(*order).sortWithinPartitions(*order))
     ends = rows.mapInArrow(_ends, "part long, h1 long, h2 long, docs long, largest long, smallest long").collect()  # two rows a partition
     gone = rows.mapInArrow(_dropper(border_runs(ends)), "doc_id long, text_hash long, pos int")
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("places")).mapInArrow(_pack, "doc_id long, text_hash long, keep_bitmap binary")
@@ -179,9 +182,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``docs`` with ``keep_bitmap``, null where no line goes.
+
+    Bitmaps of up to ``BROADCAST_BYTES`` together are broadcast; beyond it the join shuffles the texts.
+    """
+    kept = checkpointed(bitmaps)
+    size = kept.agg(F.coalesce(F.sum(F.length("keep_bitmap") + 64), F.lit(0))).first()[0]
+    kept = F.broadcast(kept) if size <= BROADCAST_BYTES else kept.hint("shuffle_hash")
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(kept, ["doc_id", "text_hash"], "left")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and digest of what :func:`keep_bitmaps` leaves of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(keep_bitmaps(docs).hint("shuffle_hash"), ["doc_id", "text_hash"], "left")
+    joined = with_bitmaps(docs, keep_bitmaps(docs))
     return joined.select("doc_id", "text", "keep_bitmap").mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 

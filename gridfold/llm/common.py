@@ -52,11 +52,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``df`` of a few narrow columns, checkpointed, with a broadcast hint if it has at most ``most`` rows.
+
+    Beyond it the join shuffles.
+    """
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``unique``, which has one row for each ``key``, also where few keys hold most rows.
+
+    The keys of over one row in 1,000, so at most 1,000 of them, are joined by broadcast where their rows
+    lie; only the others meet by shuffle. Both sides are read more than once, so callers checkpoint them.
+    """
+    hot = rows.groupBy(key).count().where(F.col("count") * 1000 > rows.count()).select(key)
+    near = checkpointed(unique.join(F.broadcast(checkpointed(hot)), key))
+    others = rows.join(F.broadcast(near.select(key)), key, "left_anti").join(unique, key)
+    return rows.join(F.broadcast(near), key).unionByName(others)
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(col, UPPER, LOWER)
 
 
+def count_words(text: Column, between: str) -> Column:
+    """The number of words of a text; ``between`` lists the characters between words as in a character class.
+
+    Every word with what follows becomes one letter, which is cheaper than to extract the words to count them.
+    """
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{between}]+[{between}]*", "x")
+    return (F.length(marks) - F.length(F.rtrim(marks, F.lit("x")))).cast("long")
+
+
 def hash_slot(key: str, slots: int) -> Column:
     """Remainder of crc32 of the key as text, as the hold-out rules use it."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % slots

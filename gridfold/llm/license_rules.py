@@ -47,8 +47,7 @@ WRITTEN = [
     ("unlicense", "publish use compile", "anyone is free to copy modify publish use compile sell or distribute this software", 1, 1.0),
     ("wtfpl", "fuck", "you just do what the fuck you want to", 1, 1.0),
     ("wtfpl", "fuck", f"do what the fuck you want to public {L}", 1, 1.0),
-    ("beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer", 1, 1.0),
-    ("beerware", "beer", f"beer ware {L}", 2, 0.9),
+    ("beerware", "beer ware", f"beer ware {L}", 2, 0.9),
     ("json", "not evil", "the software shall be used for good not evil", 1, 1.0),
     ("curl", "is hereby granted", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", 1, 1.0),
     ("fsfap", "without royalty", "copying and distribution of this file with or without modification are permitted in any medium without royalty", 1, 1.0),
@@ -63,7 +62,7 @@ WRITTEN = [
     ("unicode", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of (?:the )?(?:unicode )?data files", 1, 1.0),
     ("ofl-1.1", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 1, 1.0),
     ("ofl-1.1", "reserved font name", "no modified version of the font software may use the reserved font names?", 1, 1.0),
-    ("vim", "vim", "there are no restrictions on distributing unmodified copies of vim", 1, 1.0),
+    ("vim", "unmodified copies", "there are no restrictions on distributing unmodified copies of vim", 1, 1.0),
     ("imagemagick", "imagemagick", f"imagemagick {L}", 2, 0.9),
     ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group", 1, 1.0),
     ("freetype", "freetype", f"freetype (?:project )?{L}", 2, 0.9),
@@ -83,7 +82,6 @@ WRITTEN = [
     ("apache-2.0", "apache", "apache 2", 3, 0.8),
     ("apache-2.0", "apache", "(?:http|https) www apache org licenses license 2 0", 1, 1.0),
     ("apache", "apache", f"apache (?:software )?(?:foundation )?{L}", 4, 0.7),
-    ("asl-", "asl", "asl v?[12] [01]", 3, 0.7),
     # GNU licences: notices, bodies, names.
     ("gpl", "general public", f"this program is free software you can redistribute it and or modify it under the terms of the gnu general public {L}", 1, 1.0),
     ("gpl", "general public", f"is free software you can redistribute it and or modify it under the terms of the gnu general public {L}", 1, 1.0),
@@ -133,7 +131,6 @@ WRITTEN = [
     ("mpl-", "mozilla public", f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?mozilla public {L}{V}", 1, 1.0),
     ("mpl-", "mozilla public", f"mozilla public {L}(?: mpl)?{V}", 2, 0.9),
     ("mpl", "mozilla public", f"mozilla public {L}", 3, 0.8),
-    ("mpl-", "mpl", "mpl(?: v| version)? v?[12] [01]", 2, 0.9),
     ("npl", "netscape public", f"netscape public {L}(?:{V})?", 2, 0.9),
     ("epl", "eclipse public", f"this program and the accompanying materials are made available under the terms of the eclipse public {L}", 1, 1.0),
     ("epl-", "eclipse public", f"eclipse public {L}{V}", 2, 0.9),
@@ -186,7 +183,6 @@ WRITTEN = [
     ("lppl", "latex project public", f"this work may be distributed and or modified under the conditions of the latex project public {L}", 1, 1.0),
     ("zpl", "zope public", f"zope public {L}(?:{V})?", 2, 0.9),
     ("sleepycat", "sleepycat", f"sleepycat {L}", 2, 0.9),
-    ("nasa", "nasa", f"nasa open source agreement(?:{V})?", 2, 0.9),
     ("ecl", "educational community", f"educational community {L}(?:{V})?", 2, 0.9),
     ("efl", "eiffel forum", f"eiffel forum {L}(?:{V})?", 2, 0.9),
     ("entessa", "entessa public", f"entessa public {L}", 2, 0.9),

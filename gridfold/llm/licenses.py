@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import lower_ascii, table
+from gridfold.llm.common import count_words, lower_ascii, table
 from gridfold.llm.license_rules import WRITTEN
 
 #: Phrases and their base labels.
@@ -131,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
     one by one. Other columns of ``docs`` stay as they are; columns of these three names are replaced.
     """
     columns = [x for x in docs.columns if x not in ("n_words", "words", "detections")]
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    n_words = count_words(F.col("text"), r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F")
     counted = docs.select(*columns, n_words.alias("n_words"), F.lower("text").alias("_gridfold_lower"))
     named = counted.select(*columns, "n_words", F.when(may_match(F.col("_gridfold_lower")), normalised(F.col("text"))).alias("words"))
     # Lambdas bind the words and the matches once for each text.

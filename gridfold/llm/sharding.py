@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfold.llm.common import checkpointed, table
+from gridfold.llm.common import checkpointed, count_words, table
 
 SHARDS, BUCKETS, CLASSES, RUN_ROWS = 8, 2048, 24, 10_000
 #: Pieces of a group that no shard can hold, for each shard.
 PIECES = 8
-WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"\x20\x09-\x0D"
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         (F.octet_length("text") + 1).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens"),
+        count_words(F.col("text"), BLANKS).alias("tokens"),
         F.xxhash64("text").alias("k1"),
         F.xxhash64(F.lit(1), "text").alias("k2"),
     )

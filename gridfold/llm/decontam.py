@@ -4,7 +4,7 @@ Texts and benchmark items become words: A-Z and other letters lower-cased, punct
 of a text numbers, units after numbers, and names (capitalised words in mid-sentence) are typed placeholders,
 so a question asked again with other numbers or names keeps its template. Every window of ``WINDOW`` template
 words of an item is in the table, and every window of a text is looked up by its hash, which finds any
-shared passage of ``WINDOW`` words wherever it stands. A match
+shared passage of ``WINDOW`` words wherever it stands, so also an item of which every fifth word is another. A match
 gives an alignment of text and item; it counts if enough of the item's words agree along it, or along it and
 those of neighbouring shifts, and every value of a placeholder in the item stands for one value in the text.
 """
@@ -17,9 +17,13 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import checkpointed, table
+from gridfold.llm.common import broadcast_if_small, checkpointed, table
 
-WINDOW, LEAST_SHARE, LEAST_WORDS = 5, 0.6, 12
+WINDOW, LEAST_SHARE, LEAST_WORDS = 4, 0.6, 12
+#: Words from which an item is looked for within texts; one of fewer must be a whole line or text.
+WITHIN = 5
+#: Alignments of a text that are cut from it in one row.
+PLACES = 1024
 #: Words in a row that are a leak by themselves, word for word.
 LONG_RUN = 13
 #: Largest number of benchmark windows, and of alignments, that is broadcast; beyond it the joins shuffle.
@@ -76,9 +80,10 @@ def _windows(words: str) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, item_template, item_words, item_values)`` of every item of ``WINDOW`` words or more."""
-    items = benchmark.where("text is not null").select("item_id", word_string(F.col("text")).alias("w")).select("item_id", _array(template_string(F.col("w"))).alias("item_template"), _array(F.col("w")).alias("item_words"), slot_values(F.col("w")).alias("item_values"))
-    return items.where(F.size("item_template") >= WINDOW).distinct().withColumn("item_key", F.xxhash64("item_id", "item_words"))
+    """``(item_id, item_template, item_words, item_values)`` of every item of ``WITHIN`` words or more."""
+    named = benchmark.where("text is not null").select("item_id", word_string(F.col("text")).alias("w"))
+    items = named.select("item_id", _array(template_string(F.col("w"))).alias("item_template"), _array(F.col("w")).alias("item_words"), slot_values(F.col("w")).alias("item_values"))
+    return items.where(F.size("item_template") >= WITHIN).distinct().withColumn("item_key", F.xxhash64("item_id", "item_words"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -115,7 +120,7 @@ def least_share(n_words: Column) -> Column:
 
 def reach(n_words: Column) -> Column:
     """How far the shifts of two alignments may lie apart that are joined: half the item's words."""
-    return F.greatest(F.lit(WINDOW), F.floor(n_words / 2))
+    return F.greatest(F.lit(WITHIN), F.floor(n_words / 2))
 
 
 def found_once(aligned: DataFrame) -> DataFrame:
@@ -141,14 +146,16 @@ def found_joined(aligned: DataFrame) -> DataFrame:
     """
     key = ["text_key", "item_key"]
     linked = aligned.where("linked").dropDuplicates([*key, "shift"])
-    hits = linked.select(*key, "shift", F.posexplode("pairs").alias("at", "p")).where("p.a = p.b").select(*key, "shift", (F.col("at") - F.least("shift", F.lit(0))).alias("k"), F.col("p.slot"), F.col("p.u"), F.col("p.v"))
+    agreed = linked.select(*key, "shift", F.posexplode("pairs").alias("at", "p")).where("p.a = p.b")
+    hits = agreed.select(*key, "shift", (F.col("at") - F.least("shift", F.lit(0))).alias("k"), "p.slot", "p.u", "p.v")
     islands = hits.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy(*key, "shift").orderBy("k")))
     runs = islands.withColumn("run", F.count("*").over(Window.partitionBy(*key, "shift", "island"))).where("run > 1 or not slot")
     anchors = linked.select(*key, "n_words", F.col("shift").alias("anchor"))
     off = F.abs(F.col("shift") - F.col("anchor"))
     near = runs.join(anchors, key).where(off <= reach(F.col("n_words"))).groupBy(*key, "n_words", "anchor", "k")
     best = near.agg(F.max_by(F.struct("slot", "u", "v"), F.struct("run", -off, "shift")).alias("hit"))
-    joined = best.groupBy(*key, "n_words", "anchor").agg(F.count("*").alias("agreed"), F.collect_set(F.when(F.col("hit.slot"), F.struct("hit.u", "hit.v"))).alias("slots")).withColumn("share", F.col("agreed") / F.col("n_words"))
+    slots = F.collect_set(F.when(F.col("hit.slot"), F.struct("hit.u", "hit.v")))
+    joined = best.groupBy(*key, "n_words", "anchor").agg((F.count("*") / F.col("n_words")).alias("share"), slots.alias("slots"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["v"]))) == F.size("slots")
     return joined.where((F.col("share") >= least_share(F.col("n_words"))) & consistent).select(*key, "share", F.exists("slots", lambda s: s["u"] != s["v"]).alias("substituted"))
 
@@ -158,64 +165,97 @@ def _plain(text: Column) -> Column:
 
 
 def tiny_items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, words, n_words)`` of the items of fewer than ``WINDOW`` words, at least one."""
+    """``(item_id, words, n_words)`` of the items of fewer than ``WITHIN`` words, at least one."""
     named = benchmark.where("text is not null").select("item_id", _plain(F.col("text")).alias("words")).withColumn("n_words", F.size(_array(F.col("words"))))
-    return named.where((F.col("n_words") < WINDOW) & (F.trim("words") != "")).distinct()
+    return named.where((F.col("n_words") < WITHIN) & (F.trim("words") != "")).distinct()
 
 
-def tiny_leaks(docs: DataFrame, tiny: DataFrame) -> DataFrame:
-    """The rows of :func:`leaks` for ``tiny`` items: each is a whole line or a whole text."""
-    lines = docs.where("text is not null").select("doc_id", F.explode(F.array_append(F.split("text", r"[\r\n]+"), F.col("text"))).alias("line")).select("doc_id", _plain(F.col("line")).alias("words"))
-    met = lines.join(tiny, "words")
-    return met.select("doc_id", "item_id", F.lit(1.0).alias("share"), "n_words", F.lit(False).alias("substituted"))
+def tiny_leaks(texts: DataFrame, tiny: DataFrame) -> DataFrame:
+    """The rows of :func:`text_leaks` for ``tiny`` items: each is a whole line or a whole text."""
+    lines = texts.select("text_key", F.explode(F.array_append(F.split("text", r"[\r\n]+"), F.col("text"))).alias("line"))
+    met = lines.select("text_key", _plain(F.col("line")).alias("words")).join(tiny, "words")
+    return met.select("text_key", "item_id", F.lit(1.0).alias("share"), "n_words", F.lit(False).alias("substituted"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, share, n_words, substituted)``: the benchmark items that documents hold.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``text`` and its hash of every row with a text, and ``doc_id``."""
+    return docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
-    ``share`` is the largest part of the item's words that agree in place (at least 0.6) along one alignment,
-    or along alignments of neighbouring shifts together, which inserted and lost words split; or an item is
-    held by ``LONG_RUN`` of its words in a row, word for word, whatever the share, unless the values of the
-    placeholders beside other agreeing words contradict each other. ``n_words`` is the words of the item,
-    ``substituted`` whether a placeholder has another value than in the item. Items of 5 to 11 words must agree in all their words; items of fewer than 5 are held where they are
-    a whole line or a whole text, their words being equal. Null and empty texts and items hold nothing; equal rows give one row; rows without ``doc_id`` appear with a null id. Empty tables give
-    no rows.
+
+def alignments(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(text_key, places)``: where items may lie in texts, at most about ``PLACES`` in a row; checkpointed.
+
+    A place has ``item_key``, ``shift``, ``n`` and whether another alignment of the item lies near (``linked``).
     """
-    items = checkpointed(benchmark_items(benchmark))
-    windows = checkpointed(item_windows(items))
-    small = windows.count() <= BROADCAST_WINDOWS
-    near = F.broadcast if small else (lambda x: x)
-    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     template = texts.select("text_key", _array(template_string(word_string(F.col("text")))).alias("t"))
     # The outer form keeps Catalyst from adding a filter that would run the expressions twice; rows carry no texts.
-    pieces = template.select("text_key", F.posexplode_outer(_windows("t")).alias("at", "w")).select("text_key", "at", F.xxhash64(*(f"w.w{i}" for i in range(WINDOW))).alias("window"))
-    met = pieces.join(near(windows), "window").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n")
+    pieces = template.select("text_key", F.posexplode_outer(_windows("t")).alias("at", "w"))
+    pieces = pieces.select("text_key", "at", F.xxhash64(*(f"w.w{i}" for i in range(WINDOW))).alias("window"))
+    met = pieces.join(windows, "window").select("text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n").distinct()
     order = Window.partitionBy("text_key", "item_key").orderBy("shift")
     apart = F.least(F.col("shift") - F.lag("shift").over(order), F.lead("shift").over(order) - F.col("shift"))
-    linked = met.distinct().withColumn("linked", F.coalesce(apart <= reach(F.col("n")), F.lit(False)))
-    alignments = checkpointed(linked.groupBy("text_key").agg(F.collect_list(F.struct("item_key", "shift", "n", "linked")).alias("places")))
-    few = alignments.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_WINDOWS
-    cut = texts.join(F.broadcast(alignments) if few else alignments, "text_key").select("doc_id", "text_key", _cuts(F.col("text"), F.col("places")).alias("cuts"))
-    placed = cut.select("doc_id", "text_key", F.explode_outer("cuts").alias("c")).select("doc_id", "text_key", "c.*").join(near(items), "item_key")
+    linked = checkpointed(met.withColumn("linked", F.coalesce(apart <= reach(F.col("n")), F.lit(False))))
+    many = linked.groupBy("text_key").agg(F.ceil(F.count("*") / PLACES).alias("rows"))
+    part = F.pmod(F.xxhash64("item_key", "shift"), F.col("rows"))
+    return checkpointed(linked.join(many, "text_key").groupBy("text_key", part.alias("part")).agg(F.collect_list(F.struct("item_key", "shift", "n", "linked")).alias("places")))
+
+
+def aligned_pairs(texts: DataFrame, places: DataFrame, items: DataFrame) -> DataFrame:
+    """``(text_key, item_key, item_id, shift, linked, n_words, pairs)``: the words that meet along each alignment."""
+    cut = texts.join(places, "text_key").select("text_key", _cuts(F.col("text"), F.col("places")).alias("cuts"))
+    placed = cut.select("text_key", F.explode_outer("cuts").alias("c")).select("text_key", "c.*").dropDuplicates(["text_key", "item_key", "shift"]).join(items, "item_key")
     own = lambda c: F.slice(F.col(c), 1 - F.least("shift", F.lit(0)), F.size("item_template"))
     zipped = F.arrays_zip(F.col("t").alias("a"), own("item_template").alias("b"), F.col("w").alias("x"), own("item_words").alias("y"), F.col("v").alias("u"), own("item_values").alias("v"))
     fields = lambda p: [p[c].alias(c) for c in ("a", "b", "x", "y", "u", "v")]
     pairs = F.transform(zipped, lambda p: F.struct(*fields(p), p["b"].isin(NUMBER, UNIT, NAME).alias("slot")))
-    aligned = checkpointed(placed.select("doc_id", "text_key", "item_key", "item_id", "shift", "linked", F.size("item_template").alias("n_words"), pairs.alias("pairs")))
-    found = found_once(aligned).union(found_joined(aligned)).groupBy("text_key", "item_key").agg(F.max("share").alias("share"), F.min("substituted").alias("substituted"))
-    holders = aligned.select("doc_id", "text_key", "item_key", "item_id", "n_words").distinct()
-    long = holders.join(found, ["text_key", "item_key"]).select("doc_id", "item_id", "share", "n_words", "substituted")
+    return placed.select("text_key", "item_key", "item_id", "shift", "linked", F.size("item_template").alias("n_words"), pairs.alias("pairs"))
+
+
+def text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of :func:`leaks` by ``text_key``, the hash of the text, in place of ``doc_id``; checkpointed."""
+    items = checkpointed(benchmark_items(benchmark))
+    windows = checkpointed(item_windows(items))
+    near = F.broadcast if windows.count() <= BROADCAST_WINDOWS else (lambda x: x)
+    texts = _keyed(docs)
+    places = alignments(texts, near(windows))
+    few = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_WINDOWS
+    aligned = checkpointed(aligned_pairs(texts, F.broadcast(places) if few else places, near(items)))
+    key = ["text_key", "item_key"]
+    found = found_once(aligned).union(found_joined(aligned)).groupBy(*key).agg(F.max("share").alias("share"), F.min("substituted").alias("substituted"))
+    long = aligned.select(*key, "item_id", "n_words").distinct().join(found, key).select("text_key", "item_id", "share", "n_words", "substituted")
     tiny = checkpointed(tiny_items(benchmark))
     if number := tiny.count():
-        long = long.unionByName(tiny_leaks(docs, F.broadcast(tiny) if number <= BROADCAST_WINDOWS else tiny))
-    return long.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_words").alias("n_words"), F.min("substituted").alias("substituted"))
+        long = long.unionByName(tiny_leaks(texts, F.broadcast(tiny) if number <= BROADCAST_WINDOWS else tiny))
+    merged = long.groupBy("text_key", "item_id").agg(F.max("share").alias("share"), F.max("n_words").alias("n_words"), F.min("substituted").alias("substituted"))
+    return checkpointed(merged)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, share, n_words, substituted)``: the benchmark items that documents hold.
+
+    ``share`` is the largest part of the item's words that agree in place (at least 0.6) along one alignment,
+    or along alignments of neighbouring shifts together, which inserted and lost words split; or an item is
+    held by ``LONG_RUN`` of its words in a row, word for word, whatever the share, unless the values of the
+    placeholders beside other agreeing words contradict each other. ``n_words`` is the words of the item,
+    ``substituted`` whether a placeholder has another value than in the item. Items of 5 to 11 words must agree
+    in all their words; items of fewer than 5 are held where they are a whole line or a whole text, their words
+    being equal. An item of which no ``WINDOW`` words in a row agree is not found. Null and empty texts and items
+    hold nothing; equal rows give one row; rows without ``doc_id`` appear with a null id. Empty tables give no rows.
+    """
+    found = broadcast_if_small(text_leaks(docs, benchmark))
+    met = _keyed(docs).select("doc_id", "text_key").join(found, "text_key")
+    return met.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_words").alias("n_words"), F.min("substituted").alias("substituted"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without ``doc_id`` stay."""
-    held = checkpointed(leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text holds a benchmark item, with or without ``doc_id``.
+
+    Up to a count of texts that go their hashes are broadcast, and no text is shuffled.
+    """
+    held = broadcast_if_small(text_leaks(docs, benchmark).select(F.col("text_key").alias("_gridfold_held")).distinct())
+    return docs.join(held, F.xxhash64("text") == F.col("_gridfold_held"), "left_anti").select(docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of ``benchmark`` that all ``documents`` hold, by :func:`leaks`."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -137,7 +137,7 @@ def brute_leaks(docs, items):
             y, b = canonical(item or "")
             if len(b) < decontam.LEAST_WORDS:
                 continue
-            for shift in range(-len(b) + 5, len(t)):
+            for shift in range(-len(b) + 4, len(t)):
                 pairs = [(t[shift + k], b[k], own[shift + k], y[k]) for k in range(len(b)) if 0 <= shift + k < len(t)]
                 agree = [p for p in pairs if p[0] == p[1]]
                 slots = {(p[2], p[3]) for p in agree if p[0] in "#%@"}
@@ -208,7 +208,7 @@ def test_leaks_of_dense_edits_at_every_offset(spark):
     say = lambda n: [f"w{rng.randrange(900) + 100}x" for _ in range(n)]
     items, docs = [say(n) for n in (12, 13, 18, 25, 32, 40)], []
     for own in items:
-        for every in (6, 7, 8):
+        for every in (5, 6, 7, 8, 9, 10, 12):
             edited = [f"other{i}" if i % every == every - 1 else w for i, w in enumerate(own)]
             docs += [(len(docs) + offset, " ".join(say(offset) + edited + say(9))) for offset in range(5)]
     named = [(i, " ".join(x)) for i, x in enumerate(items)]
@@ -243,6 +243,11 @@ def test_decontamination_of_odd_rows(spark, monkeypatch):
     for most in (500_000, 0):
         monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", most)
         assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(odd(spark), bench).collect()] == [(6, 4)]
+    item = bench.where("item_id = 4")
+    unnamed = odd(spark).withColumn("doc_id", decontam.F.when(decontam.F.col("doc_id") != 6, decontam.F.col("doc_id")))
+    assert decontam.decontaminate(unnamed, item).count() == len(TEXTS) - 1  # rows without doc_id are searched as well
+    monkeypatch.setattr(decontam, "PLACES", 2000)
+    assert decontam.leaks(odd(spark), bench).count() == 1
     kept = decontam.decontaminate(odd(spark), bench)
     assert kept.columns == odd(spark).columns and kept.count() == len(TEXTS) - 1
     assert decontam.decontaminate(empty(spark), bench).count() == 0 and decontam.decontaminate(odd(spark), bench.limit(0)).count() == len(TEXTS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import checkpointed
+from gridfold.llm.common import checkpointed, spread_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A node with very many larger neighbours is a hot key.
+        large = spread_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = checkpointed(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct())
         several = star.groupBy("u").count().where("count > 1").select("u")

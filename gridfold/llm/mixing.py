@@ -4,7 +4,8 @@ Source token shares ``p`` become weights ``p**a / sum(p**a)``. The exponent is t
 weights reach the target entropy, raised where a source would otherwise repeat more often than allowed; it
 is found by bisection, five halvings a job, on the table of sources, which stays in Spark. Each source's
 quota of tokens is then met by whole passes over its documents and one part pass: its documents are dealt
-into blocks, the blocks put into a seeded order, and documents taken in that order while they fit.
+into blocks by hash, the blocks put into a seeded order, and documents taken in that order while they fit. All
+blocks but one of each source are taken whole or not at all, so only the rows of that one are ranked.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridfold.llm.common import checkpointed, table
+from gridfold.llm.common import broadcast_if_small, checkpointed, count_words, table
 
 TARGET_ENTROPY, MOST_PASSES, BUDGET, SEED, BLOCK_ROWS = 0.95, 4.0, 1.0, 7, 5_000
 #: Halvings of [0, 1] in a job, and jobs.
 HALVINGS, ROUNDS = 5, 6
-WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"\x20\x09-\x0D"
 
 
 def _bisect(shares: DataFrame, enough: Callable[[Column, Column, Column, float], Column], low_is_good: bool) -> float:
@@ -67,40 +68,85 @@ def source_weights(sources: DataFrame, target_entropy: float = TARGET_ENTROPY, m
     return sources.select("*", F.lit(a).alias("exponent"), weight.alias("weight")).withColumn("quota", F.round(F.col("weight") * F.lit(budget * total)).cast("long"))
 
 
-def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, most_passes: float = MOST_PASSES, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
-    """``(doc_id, text_hash, source, n_tokens, weight, copies, block, block_rank)`` for every row of ``docs``.
+def _weighed(docs: DataFrame, seed: int) -> DataFrame:
+    """Of every row its source key, text hash, tokens and place; columns beside ``doc_id`` and ``source`` are not read."""
+    source_key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    tokens = count_words(F.col("text"), BLANKS)
+    rows = docs.select("doc_id", "source", source_key.alias("source_key"), F.xxhash64("text").alias("text_hash"), tokens.alias("n_tokens"))
+    return rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
 
-    ``copies`` says how often the mixture holds the row: once for each whole pass over its source, and once
-    more if the part pass takes it. ``block_rank`` is the place of its block in the seeded order, from 1.
-    A null ``source`` is a source of its own. Rows without words cost nothing and go with their block; a
-    source without words at all keeps one copy of each row. Equal rows have equal places and count one by
-    one. An empty table gives no rows.
+
+def _turn(seed: int, source_key: str = "source_key", block: str = "block") -> Column:
+    """What a source's blocks are ordered by."""
+    return F.struct(F.xxhash64(F.lit(seed), source_key, block).alias("turn"), F.col(block).alias("block"))
+
+
+def _planned(docs: DataFrame, target_entropy: float, most_passes: float, budget: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The weighed rows with their block, the plan of each block, and what the blocks that are cut hold.
+
+    A block's plan has its rank, the source's weight and whole ``passes``, and the ``room`` left when its turn
+    comes: it is taken whole, cut or left out. Equal rows of a cut block stand or fall together.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
-    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
-    rows = checkpointed(rows)
+    rows = checkpointed(_weighed(docs, seed))
     blocks = rows.count() // BLOCK_ROWS + 1
     rows = rows.withColumn("block", F.pmod("place", F.lit(blocks)))
     sums = checkpointed(rows.groupBy("source_key", "block").agg(F.sum("n_tokens").alias("tokens")))
     weights = source_weights(sums.groupBy("source_key").agg(F.sum("tokens").alias("total")), target_entropy, most_passes, budget)
-    weights = weights.select("source_key", "total", "weight", F.when(F.col("total") > 0, F.floor(F.col("quota") / F.greatest("total", F.lit(1)))).otherwise(1).cast("long").alias("passes"), F.when(F.col("total") > 0, F.col("quota") % F.greatest("total", F.lit(1))).otherwise(0).alias("rest"))
-    order = Window.partitionBy("source_key").orderBy(F.xxhash64(F.lit(seed), "source_key", "block"), "block")
-    ranked = sums.select("source_key", "block", "tokens", F.row_number().over(order).cast("long").alias("block_rank"), F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    plan = ranked.join(weights, "source_key").select("source_key", "block", "block_rank", "weight", "passes", (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("room"))
+    some, total = F.col("total") > 0, F.greatest("total", F.lit(1))
+    passes = F.when(some, F.floor(F.col("quota") / total)).otherwise(1).cast("long")
+    weights = weights.select("source_key", "weight", passes.alias("passes"), F.when(some, F.col("quota") % total).otherwise(0).alias("rest"))
+    order = Window.partitionBy("source_key").orderBy(_turn(seed))
+    ranked = sums.withColumns({"block_rank": F.row_number().over(order).cast("long"), "upto": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    plan = ranked.join(weights, "source_key").withColumn("room", F.col("rest") - (F.col("upto") - F.col("tokens")))
+    plan = checkpointed(plan.select("source_key", "block", "block_rank", "weight", "passes", "room", "tokens"))
+    cut = broadcast_if_small(plan.where((F.col("room") > 0) & (F.col("tokens") > F.col("room"))).select("source_key", "block", "room"))
+    same = rows.join(cut, ["source_key", "block"]).groupBy("source_key", "block", "room", "doc_id", "text_hash", "n_tokens").agg(F.count("*").alias("n"))
     inside = Window.partitionBy("source_key", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash"), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    running = rows.withColumn("sofar", F.sum("n_tokens").over(inside))
-    placed = running.join(plan, ["source_key", "block"])
-    return placed.select("doc_id", "text_hash", "source", "n_tokens", "weight", (F.col("passes") + F.when((F.col("room") > 0) & (F.col("sofar") <= F.col("room")), 1).otherwise(0)).alias("copies"), "block", "block_rank")
+    taken = same.withColumn("sofar", F.sum(F.col("n_tokens") * F.col("n")).over(inside)).where("sofar <= room")
+    return rows, plan, broadcast_if_small(taken.select(F.col("source_key").alias("_gridfold_taken_source"), F.col("doc_id").alias("_gridfold_taken_id"), F.col("text_hash").alias("_gridfold_taken_text"), F.lit(1).alias("taken")))
 
 
-def mixture(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mixture holds them: every row as often as :func:`mix` says, with its own columns."""
-    copies = mix(docs).groupBy("doc_id", "text_hash").agg(F.max("copies").alias("_gridfold_copies"))
-    copies = copies.withColumnsRenamed({"doc_id": "_gridfold_id", "text_hash": "_gridfold_text"})
-    met = F.col("doc_id").eqNullSafe(F.col("_gridfold_id")) & (F.col("_gridfold_hash") == F.col("_gridfold_text"))
-    joined = docs.withColumn("_gridfold_hash", F.xxhash64("text")).join(copies.hint("shuffle_hash"), met)
-    return joined.where("_gridfold_copies > 0").withColumn("_gridfold_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_gridfold_copies"))).select(docs.columns)
+def _with_taken(rows: DataFrame, taken: DataFrame, source_key: str, text_hash: str) -> DataFrame:
+    """``rows`` with ``taken`` 1 for those that a cut block takes, else null."""
+    met = (F.col(source_key) == F.col("_gridfold_taken_source")) & F.col("doc_id").eqNullSafe(F.col("_gridfold_taken_id")) & (F.col(text_hash) == F.col("_gridfold_taken_text"))
+    return rows.join(taken, met, "left").drop("_gridfold_taken_source", "_gridfold_taken_id", "_gridfold_taken_text")
+
+
+def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, most_passes: float = MOST_PASSES, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+    """``(doc_id, text_hash, source, n_tokens, weight, copies, block, block_rank)`` for every row of ``docs``.
+
+    ``copies`` says how often the mixture holds the row: once for each whole pass over its source, and once
+    more if the part pass takes it. ``block_rank`` is the place of its block in the seeded order, from 1.
+    A null ``source`` is a source of its own. Rows without words cost nothing and go with their block; a
+    source without words at all keeps one copy of each row. Equal rows (id, text and source) have equal copies.
+    An empty table gives no rows.
+    """
+    rows, plan, taken = _planned(docs, target_entropy, most_passes, budget, seed)
+    placed = _with_taken(rows.join(broadcast_if_small(plan), ["source_key", "block"]), taken, "source_key", "text_hash")
+    whole = (F.col("room") > 0) & (F.col("tokens") <= F.col("room"))
+    copies = F.col("passes") + F.when(whole, 1).otherwise(F.coalesce("taken", F.lit(0)))
+    return placed.select("doc_id", "text_hash", "source", "n_tokens", "weight", copies.alias("copies"), "block", "block_rank")
+
+
+def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` as the mixture holds them: every row as often as :func:`mix` says, with its own columns.
+
+    A row's block and turn follow from the row itself, so only one plan row for each source is joined, and
+    texts are not shuffled while that table is small.
+    """
+    rows, plan, taken = _planned(docs, TARGET_ENTROPY, MOST_PASSES, BUDGET, seed)
+    blocks = rows.count() // BLOCK_ROWS + 1
+    whole = F.when((F.col("room") > 0) & (F.col("tokens") <= F.col("room")), _turn(seed))
+    sources = plan.groupBy("source_key").agg(F.first("passes").alias("_gridfold_passes"), F.max(whole).alias("_gridfold_upto")).withColumnRenamed("source_key", "_gridfold_key")
+    placed = docs.withColumns({"_gridfold_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_gridfold_text": F.xxhash64("text")})
+    placed = placed.withColumn("_gridfold_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_gridfold_text"), F.lit(blocks)))
+    placed = placed.join(broadcast_if_small(sources), F.col("_gridfold_source") == F.col("_gridfold_key"))
+    placed = _with_taken(placed, taken.withColumnRenamed("taken", "_gridfold_taken"), "_gridfold_source", "_gridfold_text")
+    before = F.coalesce(_turn(seed, "_gridfold_source", "_gridfold_block") <= F.col("_gridfold_upto"), F.lit(False))
+    copies = F.col("_gridfold_passes") + F.when(before, 1).otherwise(F.coalesce("_gridfold_taken", F.lit(0)))
+    return placed.withColumn("_gridfold_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, copies and block of every row of ``documents`` by :func:`mix`."""
     return mix(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import LOWER_TABLE, checkpointed, table, text_blocks, text_or_empty
+from gridfold.llm.common import LOWER_TABLE, checkpointed, spread_join, table, text_blocks, text_or_empty
 from gridfold.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -46,24 +46,26 @@ def shingle_hashes(text: bytes) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
 
 
-def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One fingerprint for each document; ``hashes`` of all documents in a row, ``counts`` how many each has."""
-    prints = np.zeros(len(counts), np.uint64)
+def bit_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``documents x 64``: how many of a document's hashes have each bit; ``counts`` says how many hashes each has."""
+    ones = np.zeros((len(counts), 64), np.int64)
     has = np.flatnonzero(counts)
     if not len(has):
-        return prints
+        return ones
     first = np.cumsum(counts[has]) - counts[has]
     pieces = -(-counts[has] // 255)  # a byte lane holds sums up to 255
     owner = np.cumsum(pieces) - pieces
     cut = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(owner, pieces))
-    found = np.zeros(len(has), np.uint64)
     for bit in range(8):
         sums = np.add.reduceat((hashes >> np.uint64(bit)) & LANES, cut)
-        ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
-        over = (2 * ones > counts[has, None]).astype(np.uint64)
-        found |= (over << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(bit))).sum(axis=1, dtype=np.uint64)
-    prints[has] = found
-    return prints
+        ones[has, bit::8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
+    return ones
+
+
+def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One fingerprint for each document; ``hashes`` of all documents in a row, ``counts`` how many each has."""
+    over = 2 * bit_counts(hashes, counts) > counts[:, None]
+    return (over * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +109,8 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     high = distinct.select("fp", F.explode(ball).alias("mask")).select("fp", upper.bitwiseXOR(F.col("mask")).alias("key"))
     near = distinct.select("fp", F.explode(ball).alias("mask")).select("fp", lower.bitwiseXOR(F.col("mask")).alias("key"))
     at = distinct.select("fp", lower.alias("key"))
-    full = checkpointed(high.groupBy("key").count().where(f"count > {crowd}").withColumn("seg", F.lit(0)).union(near.groupBy("key").count().where(f"count > {crowd}").withColumn("seg", F.lit(1))).select("seg", "key"))
+    crowds = lambda rows, seg: rows.groupBy("key").count().where(F.col("count") > crowd).select(F.lit(seg).alias("seg"), "key")
+    full = checkpointed(crowds(high, 0).union(crowds(near, 1)))
     crowded = not full.isEmpty()
 
     def outside(rows: DataFrame, seg: int) -> DataFrame:
@@ -119,8 +122,10 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     found = matched(high, high, 0, "a < b").union(matched(near, at, 1, "a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded:
-        members = high.join(full.where("seg = 0"), "key", "left_semi").union(near.join(full.where("seg = 1"), "key", "left_semi")).select("fp").distinct()
-        centres = members.select("fp", F.explode(F.array(*map(F.lit, _flips(range(64), 2)))).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
+        within = [rows.join(full.where(f"seg = {seg}"), "key", "left_semi").select("fp") for seg, rows in enumerate((high, near))]
+        members = within[0].union(within[1]).distinct()
+        wide = F.array(*map(F.lit, _flips(range(64), 2)))
+        centres = members.select("fp", F.explode(wide).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
         least = centres.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
         found = found.union(centres.join(least, "key").where("a <> fp").select("a", F.col("fp").alias("b")))
     return found.distinct()
@@ -134,27 +139,16 @@ def components(docs: DataFrame) -> DataFrame:
     link like any other. An empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(classes.select("fp")))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest ``doc_id``.
-
-    Rows without a ``doc_id`` can't be told apart by id and all stay. Where several rows carry the id
-    that stays, one of them stays.
-    """
-    found = checkpointed(components(docs))
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi")
-    if not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    # All copies of a text share a fingerprint, and a large component shares a root: both may be hot keys.
+    placed = checkpointed(spread_join(named.select("root", "fp"), least, "root").select("fp", "component_id"))
+    return spread_join(prints, placed, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document by :func:`components`."""
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 """SimHash components and line dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import xxhash
 from oddities import TEXTS, empty, odd
 from pyspark.sql import functions as F
 
-from gridfold.llm import linededup, simhash
+from gridfold.llm import hashing, linededup, nearcopies, simhash
 from gridfold.llm.components import connected_components
 
 
@@ -83,10 +84,10 @@ def test_odd_rows(spark):
     assert len(got) == len(TEXTS)
     zero = {r["doc_id"] for r in got if r["fp"] == 0}
     assert zero == {3, 4, 5} and {r["component_id"] for r in got if r["fp"] == 0} == {3}
-    kept = simhash.deduplicate(odd(spark))
+    kept = nearcopies.drop_near_copies(odd(spark))
     assert kept.columns == odd(spark).columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 6, 7, 8]
-    assert simhash.components(empty(spark)).count() == 0 and simhash.deduplicate(empty(spark)).count() == 0
+    assert simhash.components(empty(spark)).count() == 0 and nearcopies.drop_near_copies(empty(spark)).count() == 0
 
 
 def test_majority_over_many_shingles():
@@ -116,7 +117,8 @@ def dropped(rows):
 
 
 @pytest.mark.parametrize("parts", [1, 7, 40])
-def test_line_dedup_by_brute_force(spark, parts, tmp_path):
+def test_line_dedup_by_brute_force(spark, parts, tmp_path, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", (64 << 20) * (parts > 1))
     rng = random.Random(parts)
     common = ["This line is long enough to count as boilerplate %d" % i for i in range(8)] + ["Éé " * 20, "short"]
     rows = []
@@ -144,3 +146,95 @@ def test_line_dedup_of_odd_rows(spark):
     assert linededup.kept_lines(line, bytes(got[0]["keep_bitmap"])) == []
     assert linededup.kept_lines("a\nb", None) == ["a", "b"]
     assert linededup.keep_bitmaps(odd(spark)).count() == 0 and linededup.keep_bitmaps(empty(spark)).count() == 0
+
+
+def shingle_set(text):
+    """Distinct shingles of five words, the whole of a shorter text."""
+    own = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def wide(texts):
+    """Bits and narrow places of each text by itself, with all counts taken one by one."""
+    out = []
+    for text in texts:
+        raw = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+        hashes, counts = nearcopies.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert counts[0] == len(hashes) == len(shingle_set(text))
+        bits, places = [], []
+        for k in range(nearcopies.FIELDS):
+            own = [int(h) for h in hashing.mixed(hashes * hashing.PRIME + np.uint64(2 * k + 1))]
+            ones = [sum(h >> b & 1 for h in own) for b in range(64)]
+            bits += [2 * n > len(own) for n in ones]
+            for s in range(2):
+                margin = [(abs(2 * n - len(own)), i) for i, n in enumerate(ones[32 * s : 32 * s + 32])]
+                places.append([i for _, i in sorted(margin)[: nearcopies.LOOSE]])
+        out.append((bits, places))
+    return out
+
+
+def near_classes(rows):
+    """The smallest id of each group, by comparing all pairs of texts that share a key of a segment."""
+    prints = wide([t for _, t in rows])
+    keys = [{(s, tuple(b ^ (i in flipped) for i, b in enumerate(bits[32 * s : 32 * s + 32]))) for s in range(10) for n in range(5) for flipped in itertools.combinations(places[s], n)} for bits, places in prints]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        differ = [a != b for a, b in zip(prints[i][0], prints[j][0], strict=True)]
+        if sum(differ) <= nearcopies.MOST_BITS and sum(differ[:64]) <= nearcopies.NEAR_FIRST and keys[i] & keys[j]:
+            root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+def edited(rng, words, base, part):
+    return " ".join(w if rng.random() > part else rng.choice(words) for w in base)
+
+
+def test_near_copies_by_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = ["one", "one two three four", "one two three four", "five words are one shingle", "a b " * 40]
+    for _ in range(14):
+        base = [rng.choice(words) for _ in range(rng.choice([20, 60, 200]))]
+        texts += [" ".join(base), " ".join(base).upper()] + [edited(rng, words, base, part) for part in (0.005, 0.01, 0.02, 0.05)]
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"] for r in got if r["stays"]} == set(near_classes(rows).values()) and len(got) == len(rows)
+
+
+def test_recall_of_near_copies(spark):
+    rng = random.Random(5)
+    words, rows, pairs = [f"w{i}" for i in range(3000)], [], []
+    while len(pairs) < 150:
+        base = [rng.choice(words) for _ in range(rng.randrange(40, 300))]
+        copy = edited(rng, words, base, rng.choice([0.01, 0.015, 0.02]))
+        a, b = shingle_set(" ".join(base)), shingle_set(copy)
+        if 0.8 <= len(a & b) / len(a | b) < 1:
+            pairs.append(len(rows))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, copy)]
+    stays = {r["doc_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["stays"]}
+    assert set(pairs) <= stays and sum(p + 1 not in stays for p in pairs) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("crowd", [2, 20])
+def test_crowds_of_near_copies(spark, crowd):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(150)]
+    rows = [(i, edited(rng, words, base, 0.006) + (f" {i}" if i % 3 else "")) for i in range(120)] + [(500 + i, edited(rng, words, words, 0.9)) for i in range(5)]
+    prints = nearcopies.text_or_empty(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").mapInArrow(nearcopies._fingerprint_batches, "doc_id long, " + ", ".join(f"{c} long" for c in [*nearcopies.BITS, *nearcopies.PLACES]))
+    classes = nearcopies.fingerprint_classes(prints)
+    every = {(r["a"], r["b"]) for r in nearcopies.links(classes, crowd=10_000).collect()}
+    edges = nearcopies.links(classes, crowd=crowd)
+    found = {(r["a"], r["b"]) for r in edges.collect()}
+    assert found <= every and len(found) < len(every)
+    groups = lambda e: sorted((r["node"], r["root"]) for r in connected_components(e).collect())
+    assert groups(edges) == groups(nearcopies.links(classes, crowd=10_000))

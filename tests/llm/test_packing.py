@@ -143,6 +143,18 @@ def test_mixture_meets_quotas(spark, monkeypatch):
         assert quota - 60 <= mixed[s] <= quota + 1 and max(r["copies"] for r in got if r["source"] == s) - min(r["copies"] for r in got if r["source"] == s) <= 1
 
 
+def test_mixture_is_what_the_plan_says(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 25)
+    rng = random.Random(9)
+    rows = [(i if i % 9 else None, "w " * rng.randrange(0, 30), rng.choice("aaaaaab") if i % 40 else None) for i in range(400)]
+    rows += [(5000, "same id and text " * 3, s) for s in "aab"] + [(5001, "repeated row " * 2, "b")] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as taken", "2 as passes").repartition(5)
+    count = lambda got: sorted((str(r["doc_id"]), str(r["text_hash"]), str(r["source"]), r["n"]) for r in got)
+    want = mixing.mix(docs).groupBy("doc_id", "text_hash", "source").agg(mixing.F.sum("copies").alias("n")).where("n > 0").collect()
+    got = mixing.mixture(docs).groupBy("doc_id", mixing.F.xxhash64("text").alias("text_hash"), "source").agg(mixing.F.count("*").alias("n")).collect()
+    assert count(got) == count(want) and len({r["copies"] for r in mixing.mix(docs).where("doc_id = 5000").collect()}) > 1
+
+
 def test_mixing_of_odd_rows(spark):
     assert mixing.mix(odd(spark)).count() == len(TEXTS)
     mixed = mixing.mixture(odd(spark))

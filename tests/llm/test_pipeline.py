@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from oddities import TEXTS, odd
 from test_classifiers import SMALL, sentences
-from test_dedup import classes, fingerprint
+from test_dedup import near_classes
 
 import corpus_pipeline
 from gridfold.llm import langid, mixing
@@ -46,8 +46,8 @@ def test_stages(spark, tmp_path):
     gone = Counter(r["doc_id"] for r in before) - Counter(r["doc_id"] for r in after)
     assert {3, 4, 5, 7} <= set(gone) and sum(gone.values()) <= 6
     before, after = out["near_dedup"]
-    prints = {r["doc_id"]: fingerprint(r["text"]) for r in before if r["doc_id"] is not None}
-    assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted(set(classes(prints).values()))
+    rows = [(r["doc_id"], r["text"]) for r in before if r["doc_id"] is not None]
+    assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted(set(near_classes(rows).values()))
     before, after = out["decontamination"]
     held = {r["doc_id"] for r in before if any(item.lower() in r["text"].lower() for _, item in items)}
     assert held and {r["doc_id"] for r in before} - {r["doc_id"] for r in after} == held

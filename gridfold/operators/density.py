@@ -64,6 +64,11 @@ def quantile_breaks(values: DataFrame, n: int = 4, value: str = "value") -> Data
     return wide.select("x.*").where("break_value is not null")
 
 
+def restored_metric(areas: DataFrame, baseline: DataFrame, name: str = "area_name", value: str = "value") -> DataFrame:
+    """``areas`` with the baseline metric's value in place of another, as after a register is cleared."""
+    return metric_on_areas(areas.drop("value", "class_index"), baseline, name, value)
+
+
 def value_range(values: DataFrame, value: str = "value") -> DataFrame:
     """One row: least and largest value, null as 0."""
     known = F.coalesce(F.col(value), F.lit(0))
@@ -72,6 +77,7 @@ def value_range(values: DataFrame, value: str = "value") -> DataFrame:
 
 def choropleth_classes(areas: DataFrame, n: int = 4, value: str = "value") -> DataFrame:
     """``areas`` with ``class_index`` 0 to n - 1: the number of inner breaks at or below the value."""
+    areas = areas.persist()  # one row an area: the size of the breaks, the breaks and the classes read it in turn
     inner = quantile_breaks(areas, n, value).agg(F.array_sort(F.collect_list("break_value")).alias("_breaks"))  # n - 1 values
     placed = areas.withColumn("_k", F.lit(1)).join(F.broadcast(inner.withColumn("_k", F.lit(1))), "_k")
     known = F.coalesce(F.col(value), F.lit(0))

@@ -16,6 +16,11 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("f")).select(key, "f.*").select(df.columns)
 
 
+def first_orders(df: DataFrame, key: str, order: str) -> DataFrame:
+    """``(key, order)``: the least order of each key, which names its first row; no other column is carried."""
+    return df.groupBy(key).agg(F.min(order).alias(order))
+
+
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key: the last by ``order``."""
     rest = [c for c in df.columns if c != key]

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfold.functions import text as T
-from gridfold.operators.filters import not_blank
-from gridfold.operators.lookup import building_index, postcode_index
+from gridfold.functions.geometry import feature
+from gridfold.operators.filters import not_blank, with_key
+from gridfold.operators.lookup import first_orders, postcode_index
 
 
 def parse_register(register: DataFrame) -> DataFrame:
@@ -27,14 +28,19 @@ def match_register(register: DataFrame, buildings: DataFrame, lookup: DataFrame,
     count, by ``ord``. ``kind`` is building, fallback, unplaced or no_postcode. ``require_postcode`` lets a
     building match only rows of its own postcode.
     """
-    rows = parse_register(register)
-    places = postcode_index(lookup).select("postcode", F.col("lsoa").alias("area"), F.col("centroid_lat").alias("pc_lat"), F.col("centroid_lon").alias("pc_lon"), F.lit(True).alias("pc_known"))
-    rows = rows.join(places, "postcode", "left")
-    found = building_index(buildings).select("match_key", F.col("ord").alias("building_ord"), T.normalise_postcode(F.col("addr_postcode")).alias("building_postcode"), F.lit(True).alias("building_known"))
-    rows = rows.join(found, "match_key", "left")
-    met = F.coalesce("building_known", F.lit(False)) & (F.col("match_key") != "")
+    # Rows without a postcode or key meet nothing; a key of their own spreads them over all tasks of a join.
+    apart = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("\0"), F.xxhash64("ord").cast("string")))
+    rows = parse_register(register).withColumns({"postcode_met": apart("postcode"), "key_met": apart("match_key")})
+    places = postcode_index(lookup).select(F.col("postcode").alias("postcode_met"), F.col("lsoa").alias("area"), F.col("centroid_lat").alias("pc_lat"), F.col("centroid_lon").alias("pc_lon"), F.lit(True).alias("pc_known"))
+    rows = rows.join(places, "postcode_met", "left")
+    found = first_orders(with_key(buildings, "match_key"), "match_key", "ord").select(F.col("match_key").alias("key_met"), F.col("ord").alias("building_ord"))
     if require_postcode:
-        met = met & (F.col("building_postcode") == F.col("postcode"))
+        own = buildings.select(F.col("match_key").alias("key_met"), F.col("ord").alias("building_ord"), T.normalise_postcode(F.col("addr_postcode")).alias("building_postcode"))
+        found = found.join(own, ["key_met", "building_ord"])
+    rows = rows.join(found, "key_met", "left")
+    met = F.col("building_ord").isNotNull()
+    if require_postcode:
+        met = met & F.coalesce(F.col("building_postcode") == F.col("postcode"), F.lit(False))
     kind = F.when(F.col("postcode") == "", "no_postcode").when(met, "building").when(F.coalesce("pc_known", F.lit(False)), "fallback").otherwise("unplaced")
     area = F.when(F.col("postcode") == "", F.lit("")).otherwise(F.coalesce("area", F.lit("")))
     return rows.select("ord", "id", "address", "licence_start", "licence_end", "sub_unit", "core", F.when(F.col("street") != "", F.col("street")).otherwise(F.col("match_street")).alias("street"), "postcode", "match_key", kind.alias("kind"), area.alias("lsoa"), "building_ord", "pc_lat", "pc_lon")
@@ -73,10 +79,27 @@ def area_counts(matched: DataFrame) -> DataFrame:
 def match_funnel(matched: DataFrame) -> DataFrame:
     """One row of counts: rows with an address, without postcode, without area; buildings, fallback groups, groups of several rows.
 
-    Groups are counted from their keys alone.
+    All counts come from one pass over groups of the rows.
     """
     key = F.when(F.col("kind") == "building", F.col("match_key")).when(F.col("match_key") != "", F.col("match_key")).otherwise(F.concat("postcode", F.lit("|"), "core"))
-    groups = matched.where("kind in ('building', 'fallback')").groupBy("kind", key.alias("group_key")).agg(F.count("*").alias("n"))
-    grouped = groups.agg(F.count_if(F.col("kind") == "building").alias("matched"), F.count_if(F.col("kind") == "fallback").alias("fallback"), F.count_if(F.col("n") > 1).alias("multi_household"))
-    rows = matched.agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "no_postcode").alias("no_postcode"), F.count_if((F.col("kind") != "no_postcode") & (F.col("lsoa") == "")).alias("no_lsoa"))
-    return rows.withColumn("k", F.lit(1)).join(grouped.withColumn("k", F.lit(1)), "k").select("total", "matched", "fallback", "no_postcode", "no_lsoa", "multi_household")
+    kind, placed = F.col("kind"), F.col("kind").isin("building", "fallback")
+    groups = matched.groupBy("kind", F.when(placed, key).alias("group_key")).agg(F.count("*").alias("n"), F.count_if(F.col("lsoa") == "").alias("without"))
+    total = lambda c, of: F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0))
+    return groups.agg(
+        total("n", F.lit(True)).alias("total"), F.count_if(kind == "building").alias("matched"), F.count_if(kind == "fallback").alias("fallback"),
+        total("n", kind == "no_postcode").alias("no_postcode"), total("without", kind != "no_postcode").alias("no_lsoa"), F.count_if(placed & (F.col("n") > 1)).alias("multi_household"),
+    )
+
+
+PROPERTIES = ("address", "street", "postcode", "lsoa", "hmo_id", "licence_start", "licence_end", "sub_units", "entry_count")
+
+
+def building_features(groups: DataFrame, buildings: DataFrame) -> DataFrame:
+    """``(match_key, feature)``: a GeoJSON polygon for each of :func:`building_groups`, absent properties left out."""
+    rings = buildings.select(F.col("ord").alias("building_ord"), "ring")
+    return groups.join(rings, "building_ord").select("match_key", feature("Polygon", F.array("ring"), **{p: F.col(p) for p in PROPERTIES}).alias("feature"))
+
+
+def fallback_features(groups: DataFrame) -> DataFrame:
+    """``(group_key, feature)``: a GeoJSON point at the postcode's centroid for each of :func:`fallback_groups`."""
+    return groups.select("group_key", feature("Point", F.array("pc_lon", "pc_lat"), **{p: F.col(p) for p in PROPERTIES}).alias("feature"))

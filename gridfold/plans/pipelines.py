@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.functions.text import tag, with_roles
+from gridfold.functions.text import point_label, tag, with_roles
 from gridfold.operators import density, filters, lookup, register, spatial
+from gridfold.sources.readers import require_columns, require_rows
 
 #: The box of the city, south, west, north, east.
 BOX = (51.71, -1.33, 51.80, -1.17)
 
 
-def area_density(elements: DataFrame, areas: DataFrame, tags: tuple[str, ...] = ("amenity",), box: tuple[float, float, float, float] = BOX, cell: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Placed points with name and kind, and areas with their number of points."""
+def area_density(elements: DataFrame, areas: DataFrame, tags: tuple[str, ...] = ("amenity",), box: tuple[float, float, float, float] = BOX, cell: float | None = None, label: Callable[[Column, Column], Column] = point_label) -> tuple[DataFrame, DataFrame]:
+    """Placed points with name, kind and ``label`` (of name and kind), and areas with their number of points."""
     nodes = filters.tagged_nodes(elements, tags, *box)
     points = nodes.select(F.col("ord").alias("point_id"), "lon", "lat", tag(F.col("tags"), "name").alias("name"), tag(F.col("tags"), tags[0]).alias("amenity"))
-    placed = spatial.points_in_areas(points, areas, cell)
+    placed = spatial.points_in_areas(points, areas, cell).withColumn("label", label(F.col("name"), F.col("amenity")))
     return placed, density.metric_on_areas(areas, density.point_counts(placed))
 
 
@@ -27,16 +30,19 @@ def build_lookup(elements: DataFrame, areas: DataFrame, box: tuple[float, float,
 
 
 def register_to_classes(rows: DataFrame, buildings: DataFrame, postcodes: DataFrame, areas: DataFrame, n: int = 4, order: str = "ord") -> dict[str, DataFrame]:
-    """All results of a register: matched rows, groups, counts, funnel, classes and legend.
+    """All results of a register: matched rows, groups and their features, counts, funnel, classes and legend.
 
-    ``matched`` feeds all others; callers that write several of them should persist it.
+    Raises ``ValueError`` for a register without rows or without an address column. ``matched`` feeds all others; callers that write several of them should persist it.
     """
-    matched = register.match_register(with_roles(rows, order).withColumnRenamed(order, "ord"), buildings, postcodes)
+    matched = register.match_register(with_roles(require_rows(rows), order).withColumnRenamed(order, "ord"), buildings, postcodes)
     on_areas = density.metric_on_areas(areas, register.area_counts(matched))
-    return {
+    groups, others = register.building_groups(matched), register.fallback_groups(matched)
+    features = {"building_features": register.building_features(groups, buildings)} if "ring" in buildings.columns else {}
+    return features | {
         "matched": matched,
-        "building_groups": register.building_groups(matched),
-        "fallback_groups": register.fallback_groups(matched),
+        "building_groups": groups,
+        "fallback_groups": others,
+        "fallback_features": register.fallback_features(others),
         "areas": density.choropleth_classes(on_areas, n),
         "legend": density.legend_ranges(density.quantile_breaks(on_areas, n)),
         "funnel": register.match_funnel(matched),
@@ -44,5 +50,5 @@ def register_to_classes(rows: DataFrame, buildings: DataFrame, postcodes: DataFr
 
 
 def preaggregate(rows: DataFrame, order: str = "ord", label: str = "HMO count") -> DataFrame:
-    """Register rows by normalised ``neighbourhood``, sorted by it."""
-    return density.name_counts(rows, "neighbourhood", order, label)
+    """Register rows by normalised ``neighbourhood``, sorted by it; raises ``ValueError`` without that column."""
+    return density.name_counts(require_columns(rows, "neighbourhood"), "neighbourhood", order, label)

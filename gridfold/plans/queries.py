@@ -131,9 +131,10 @@ def lookup_coverage(spark: SparkSession, d: str) -> DataFrame:
     return lookup.lookup_coverage(_lookup(spark, d))
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    places = _lookup(spark, d).withColumn("ord", F.lit(0))
-    return register.match_register(V.register(spark, d), _buildings(spark, d), places)
+def _matched(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    made = _buildings(spark, d) if made is None else made
+    places = lookup.postcode_lookup(made, V.areas(spark, d)).withColumn("ord", F.lit(0))
+    return register.match_register(V.register(spark, d), made, places)
 
 
 def register_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +180,15 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     return made.select("ord", G.feature("Polygon", F.array("ring"), **properties).alias("feature"))
 
 
+def building_features(spark: SparkSession, d: str) -> DataFrame:
+    made = _buildings(spark, d)
+    return register.building_features(register.building_groups(_matched(spark, d, made)), made)
+
+
+def fallback_features(spark: SparkSession, d: str) -> DataFrame:
+    return register.fallback_features(register.fallback_groups(_matched(spark, d)))
+
+
 def register_roles(spark: SparkSession, d: str) -> DataFrame:
     rows = V.register(spark, d).select("ord", F.col("id").alias("Register ID"), F.col("address").alias(" Full Address "), F.col("licence_start").alias("Start date"), F.col("licence_end").alias("Gender"), F.lit("x").alias("Notes"))
     return T.with_roles(rows, "ord")
@@ -189,6 +199,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         points_in_areas, points_left_areas, area_point_counts, area_rank, quantile_breaks, event_value_breaks, value_range, choropleth_classes, legend_ranges,
         normalised_name_counts, strip_sub_unit, extract_postcode, normalise_postcode, housenumber, street_for_match, match_key, tag_bbox_filter, ways_filter,
         ring_centroid, areas_envelope_prefix, building_index, postcode_index, postcode_lookup, lookup_coverage, register_rows, register_area_counts,
-        building_groups, fallback_groups, match_funnel, metric_join, point_labels, feature_details, geojson_features, register_roles,
+        building_groups, fallback_groups, match_funnel, metric_join, point_labels, feature_details, geojson_features, building_features, fallback_features, register_roles,
     ]
     return {f.__name__: f for f in listed}

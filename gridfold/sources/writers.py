@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def write_geojson_lines(features: DataFrame, path: str, column: str = "feature") -> None:
-    """One feature a line, written by all tasks side by side."""
-    features.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` and what observes the number of rows that pass."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def write_geojson_lines(features: DataFrame, path: str, column: str = "feature") -> int:
+    """One feature a line, written by all tasks side by side; the number of features, counted in the same pass."""
+    rows, seen = _counted(features.select(F.col(column).alias("value")))
+    rows.write.mode("overwrite").text(path)
+    return seen.get["rows"]
 
 
 def feature_collection(features: DataFrame, order: str = "ord", column: str = "feature") -> DataFrame:
@@ -17,9 +25,11 @@ def feature_collection(features: DataFrame, order: str = "ord", column: str = "f
     return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")).alias("document"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header and CRLF line ends; the order of ``df`` is kept."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+def write_csv(df: DataFrame, path: str) -> int:
+    """CSV with a header and CRLF line ends; the order of ``df`` is kept. The number of rows, counted in the same pass."""
+    rows, seen = _counted(df)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    return seen.get["rows"]
 
 
 def stage(df: DataFrame, path: str, *tags: str) -> None:

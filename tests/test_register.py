@@ -1,10 +1,12 @@
 """Register matching end to end, and files, writers and the watched folder."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridfold.functions.geometry import feature
-from gridfold.operators import register
+from gridfold.operators import density, register
 from gridfold.plans import pipelines
 from gridfold.sources import readers, writers
 from gridfold.streaming.register_drop import watch_registers
@@ -40,8 +42,28 @@ def test_register_to_classes(spark):
 
 def test_empty_register(spark):
     rows, made, places, areas = frames(spark)
-    got = pipelines.register_to_classes(rows.limit(0), made, places, areas)
-    assert got["funnel"].first()[:] == (0, 0, 0, 0, 0, 0) and got["building_groups"].count() == 0
+    with pytest.raises(ValueError, match="empty"):
+        pipelines.register_to_classes(rows.limit(0), made, places, areas)
+    matched = register.match_register(pipelines.with_roles(rows.limit(0), "ord"), made, places)
+    assert register.match_funnel(matched).first()[:] == (0, 0, 0, 0, 0, 0) and register.building_groups(matched).count() == 0
+
+
+def test_features_of_a_register(spark):
+    rows, made, places, areas = frames(spark)
+    ringed = made.withColumn("ring", F.expr("array(array(0D, 0D), array(1D, 0D), array(1D, 1D), array(0D, 0D))"))
+    got = pipelines.register_to_classes(rows, ringed, places, areas)
+    polygon, point = (json.loads(got[k].first()["feature"]) for k in ("building_features", "fallback_features"))
+    assert polygon["geometry"] == {"type": "Polygon", "coordinates": [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]} and polygon["properties"]["entry_count"] == 4
+    assert point["geometry"] == {"type": "Point", "coordinates": [-1.5, 51.5]} and point["properties"]["hmo_id"] == "A4, A5" and "licence_start" in point["properties"]
+    back = density.restored_metric(got["areas"], spark.createDataFrame([("South", 7)], "area_name string, value long"))
+    assert {r["area_name"]: r["value"] for r in back.collect()} == {"North": 0, "South": 7}
+
+
+def test_funnel_reads_each_table_once(spark):
+    rows, made, places, _ = frames(spark)
+    matched = register.match_register(pipelines.with_roles(rows, "ord"), made, places)
+    plan = register.match_funnel(matched)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3
 
 
 def test_csv_source(spark, tmp_path):
@@ -71,7 +93,7 @@ def test_geojson_and_elements(spark, tmp_path):
 
 def test_writers(spark, tmp_path):
     made = spark.createDataFrame([(1, "a", None), (0, "b", "c")], "ord long, name string, extra string").withColumn("feature", feature("Point", F.array(F.lit(1.0), F.lit(2.0)), name=F.col("name"), extra=F.col("extra")))
-    writers.write_geojson_lines(made, str(tmp_path / "lines"))
+    assert writers.write_geojson_lines(made, str(tmp_path / "lines")) == 2
     back = readers.geojson(spark, str(tmp_path / "lines"), lines=True).collect()
     assert sorted((r["properties"]["name"], r["lon"]) for r in back) == [("a", 1.0), ("b", 1.0)] and "extra" not in next(r for r in back if r["properties"]["name"] == "a")["properties"]
     document = writers.feature_collection(made).first()[0]

@@ -11,6 +11,8 @@ from gridfold.operators.filters import not_blank
 
 #: Distinct values up to which the running sum of the quantiles takes one partition.
 ONE_PARTITION_VALUES = 100_000
+#: Buckets of many distinct values, near equal in their number.
+VALUE_BUCKETS = 512
 
 
 def point_counts(placed: DataFrame) -> DataFrame:
@@ -45,20 +47,21 @@ def quantile_breaks(values: DataFrame, n: int = 4, value: str = "value") -> Data
     """``(class_index, break_value)`` for 1 to n - 1: the value at place ``floor(i / n * count)`` of the ascending order.
 
     Null values count as 0; an empty table has no breaks. Only distinct values are ordered; of many they
-    are range-partitioned and their running sums carried over by each partition's total.
+    are dealt to buckets of near equal size by rank, whose running sums are carried over by the totals.
     """
     counts = values.groupBy(F.coalesce(F.col(value), F.lit(0)).alias("v")).agg(F.count("*").alias("c"))
     size = counts.agg(F.count("*").alias("d"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     if size["d"] <= ONE_PARTITION_VALUES:
         upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     else:
-        # Every value is in one bucket of a fixed grid over the range, so sums of buckets give the carried totals.
-        low, high = counts.agg(F.min("v"), F.max("v")).first()
-        width = (float(high) - float(low)) / 4096 or 1.0
-        bucketed = counts.withColumn("b", F.least(F.floor((F.col("v") - F.lit(float(low))) / width), F.lit(4095)))
-        carried = bucketed.groupBy("b").agg(F.sum("c").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        # Borders at ranks of the distinct values, so that no outlier crowds a bucket; sums of buckets are carried over.
+        borders = counts.agg(F.percentile_approx("v", [k / VALUE_BUCKETS for k in range(1, VALUE_BUCKETS)])).first()[0]
+        reached = F.filter(F.array(*map(F.lit, sorted(set(borders)))), lambda b: b <= F.col("v"))
+        bucketed = counts.withColumn("b", F.size(reached))
+        earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = bucketed.groupBy("b").agg(F.sum("c").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(earlier), F.lit(0)))
         inside = F.sum("c").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        upto = bucketed.withColumn("own", inside).join(F.broadcast(carried.select("b", "before")), "b").withColumn("upto", F.col("own") + F.col("before"))  # 4,096 rows at most
+        upto = bucketed.withColumn("own", inside).join(F.broadcast(carried.select("b", "before")), "b").withColumn("upto", F.col("own") + F.col("before"))  # a row for each bucket
     picks = [F.min(F.when(F.col("upto") > int((i / n) * size["n"]), F.col("v"))).alias(f"b{i}") for i in range(1, n)]
     wide = upto.agg(*picks).select(F.explode(F.array(*(F.struct(F.lit(i).alias("class_index"), F.col(f"b{i}").alias("break_value")) for i in range(1, n)))).alias("x")) if n > 1 else upto.select(F.struct(F.lit(0).alias("class_index"), F.col("v").alias("break_value")).alias("x")).limit(0)
     return wide.select("x.*").where("break_value is not null")

@@ -1,8 +1,10 @@
 """Point-in-area joins over a grid of cells.
 
 Areas are dealt to the cells that their envelope covers, points to their own; the join is an equi-join on
-the cell, which Spark shuffles or broadcasts by size and splits where a cell is crowded. Containment is
-strict: a point on a border lies in no area. Of several areas the first in ``area_ord`` wins.
+the cell, which Spark shuffles or broadcasts by size and splits where a cell is crowded. Cells double in side
+from level to level, and an area goes to the finest level at which it covers few of them; points are dealt to
+the levels in use. Containment is strict: a point on a border lies in no area. Of several areas the first in
+``area_ord`` wins.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gridfold.functions.geometry import envelope, rings_edges, strictly_inside
 
-MOST_CELLS = 10_000
+#: Cell sides that an area may be long or wide at its level, so that it covers at most 33 x 33 cells.
+MOST_SIDES = 32
 
 
 def area_edges(areas: DataFrame) -> DataFrame:
@@ -30,21 +33,25 @@ def points_in_areas(points: DataFrame, areas: DataFrame, cell: float | None = No
     """``points`` in an area with its ``area_ord`` and ``area_name``, one row for each point.
 
     ``points`` have a unique ``point_id``, ``lon`` and ``lat``; points without finite coordinates match nothing.
-    ``assume_disjoint`` saves the last shuffle where areas can't overlap. Raises ``ValueError`` if an area
-    covers more than 10,000 cells.
+    ``assume_disjoint`` saves the last shuffle where areas can't overlap. ``cell`` is the side of the finest
+    cells, the mean side of the areas if not given; a large area among small ones takes coarser cells.
     """
     areas = area_edges(areas)
     size = float(cell) if cell else mean_side(areas)
-    span = lambda k: F.floor(F.col(f"box.max{k}") / size) - F.floor(F.col(f"box.min{k}") / size) + 1
-    most = areas.agg(F.max(span("x") * span("y"))).first()[0]
-    if most is not None and most > MOST_CELLS:
-        raise ValueError(f"an area covers {most} cells of size {size}; choose a coarser cell")
-    cells = areas.select("area_ord", "area_name", "edges", "box", F.explode(F.sequence(F.floor(F.col("box.minx") / size), F.floor(F.col("box.maxx") / size))).alias("cx"))
-    cells = cells.select("area_ord", "area_name", "edges", "box", "cx", F.explode(F.sequence(F.floor(F.col("box.miny") / size), F.floor(F.col("box.maxy") / size))).alias("cy"))
-    dealt = points.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
+    side = F.greatest(F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(side / (size * MOST_SIDES)))).cast("int")
+    areas = areas.withColumn("level", F.coalesce(level, F.lit(0)))
+    # One number for each doubling of the side, so a few at most.
+    levels = areas.agg(F.collect_set("level")).first()[0] or [0]
+    at = lambda c: F.floor(F.col(c) / (F.lit(size) * F.pow(F.lit(2.0), F.col("level"))))
+    shape = ["area_ord", "area_name", "edges", "box", "level"]
+    cells = areas.select(*shape, F.explode(F.sequence(at("box.minx"), at("box.maxx"))).alias("cx"))
+    cells = cells.select(*shape, "cx", F.explode(F.sequence(at("box.miny"), at("box.maxy"))).alias("cy"))
+    levelled = points.withColumn("level", F.explode(F.lit(levels)) if len(levels) > 1 else F.lit(levels[0]))
+    dealt = levelled.withColumns({"cx": at("lon"), "cy": at("lat")})
     x, y = F.col("lon"), F.col("lat")
     in_box = (x >= F.col("box.minx")) & (x <= F.col("box.maxx")) & (y >= F.col("box.miny")) & (y <= F.col("box.maxy"))
-    met = dealt.join(cells, ["cx", "cy"]).where(in_box & strictly_inside(F.col("edges"), x, y))
+    met = dealt.join(cells, ["level", "cx", "cy"]).where(in_box & strictly_inside(F.col("edges"), x, y))
     if assume_disjoint:
         return met.select(*points.columns, "area_ord", "area_name")
     rest = [c for c in points.columns if c != point_id]

@@ -26,6 +26,16 @@ def test_breaks(spark, n, size, monkeypatch):
         assert got == expected_breaks(values, n)
 
 
+def test_breaks_of_outliers(spark, monkeypatch):
+    """One value far from all others, infinite ones and ties, in both ways to sum."""
+    values = [x / 7 for x in range(900)] * 2 + [1e300, -1e300, math.inf, -math.inf, 0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "value double")
+    for most in (100_000, 3):
+        monkeypatch.setattr(density, "ONE_PARTITION_VALUES", most)
+        got = [r["break_value"] for r in density.quantile_breaks(rows, 7).orderBy("class_index").collect()]
+        assert got == expected_breaks(values, 7)
+
+
 def test_classes_and_legend(spark):
     rows = spark.createDataFrame([(f"a{i}", v) for i, v in enumerate([2, 3, 12, 13, 24, 30, 49, None])], "area_name string, value long")
     got = {r["area_name"]: r["class_index"] for r in density.choropleth_classes(rows).collect()}

@@ -26,7 +26,7 @@ def inside(rings, x, y):
     return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges) % 2 == 1
 
 
-@pytest.mark.parametrize("cell", [None, 0.3, 1.0, 7.0])
+@pytest.mark.parametrize("cell", [None, 0.001, 0.3, 1.0, 7.0])
 def test_grid_join_is_the_brute_force_join(spark, cell):
     rng = random.Random(4)
     pts = [(i, rng.randrange(-4, 20) / 4, rng.randrange(-4, 20) / 4) for i in range(400)]
@@ -38,9 +38,20 @@ def test_grid_join_is_the_brute_force_join(spark, cell):
     assert {k: v for k, v in left.items() if v} == expected and len(left) == 403
 
 
-def test_too_fine_a_cell_is_refused(spark):
-    with pytest.raises(ValueError, match="coarser"):
-        spatial.points_in_areas(spark.createDataFrame([(1, 1.0, 1.0)], "point_id long, lon double, lat double"), areas(spark), 0.001)
+def test_large_areas_among_small_ones(spark):
+    """Areas of sides from 0.01 to 300 with fine cells: each takes the cells of its own level."""
+    rng = random.Random(7)
+    made = []
+    for i in range(40):
+        x, y, side = rng.uniform(-5, 5), rng.uniform(-5, 5), rng.choice([0.01, 0.5, 3.0, 40.0, 300.0])
+        made.append((i, f"a{i}", [[[x, y], [x + side, y], [x + side, y + side], [x + side / 2, y + side / 4], [x, y]]]))
+    pts = [(i, rng.uniform(-8, 60), rng.uniform(-8, 60)) for i in range(200)] + [(200 + i, r[0][0][0] + 0.004, r[0][0][1] + 0.0015) for i, _, r in made]
+    expected = {i: name for i, x, y in pts for name in [next((n for _, n, r in made if inside(r, x, y)), None)] if name}
+    shapes = spark.createDataFrame(made, "area_ord long, area_name string, rings array<array<array<double>>>")
+    points = spark.createDataFrame(pts, "point_id long, lon double, lat double")
+    for cell in (None, 0.001, 0.5):
+        got = spatial.points_in_areas(points, shapes, cell)
+        assert {r["point_id"]: r["area_name"] for r in got.collect()} == expected
 
 
 def test_no_areas(spark):

@@ -1,7 +1,7 @@
 """Readers for registers, map responses, GeoJSON, lookups and metrics.
 
-Rows of CSV files get ``ord``: a struct that sorts by file, block and place within it. JSON readers number
-rows by their position, within ``file_path`` where several files are read.
+Rows of CSV files and of JSON files with one value a line get ``ord``: a struct that sorts by file, block and
+place within it. Whole JSON documents number their values by position, within ``file_path`` where several are read.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def map_elements(spark: SparkSession, path: str, lines: bool = False, step: str
     """
     if lines:
         rows = _existing(spark.read.schema(ELEMENT).json, path, step)
-        return rows.select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("ord"), "*")
+        return rows.select(F.col("_metadata.file_path").alias("file_path"), row_order().alias("ord"), "*")
     rows = _existing(spark.read.schema(f"elements array<struct<{ELEMENT}>>").option("multiLine", True).json, path, step)
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode("elements").alias("ord", "e")).select("file_path", "ord", "e.*")
 
@@ -79,7 +79,7 @@ def geojson(spark: SparkSession, path: str, lines: bool = False, step: str = "ar
     ``lines`` the input has one feature a line.
     """
     if lines:
-        rows = _existing(spark.read.schema(FEATURE).json, path, step).select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("ord"), F.struct("type", "geometry", "properties").alias("f"))
+        rows = _existing(spark.read.schema(FEATURE).json, path, step).select(F.col("_metadata.file_path").alias("file_path"), row_order().alias("ord"), F.struct("type", "geometry", "properties").alias("f"))
     else:
         rows = _existing(spark.read.schema(f"features array<struct<{FEATURE}>>").option("multiLine", True).json, path, step).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode("features").alias("ord", "f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")

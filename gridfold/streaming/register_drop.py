@@ -1,7 +1,14 @@
-"""A watched folder of register files; each file that arrives replaces the results of the one before."""
+"""A watched folder of register files; each file that arrives replaces the results of the one before.
+
+A set of results is written to a folder of its own under ``out``; a row appended to ``out/switch`` then makes it
+the latest in one step, so a reader of :func:`latest_results` never meets results of two registers. Older
+folders stay until the owner of ``out`` removes them.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,28 +17,80 @@ from gridfold.functions.text import with_roles
 from gridfold.operators import density, register
 from gridfold.sources.readers import CSV_GLOB
 
-RESULTS = ("building_groups", "fallback_groups", "areas", "funnel")
+RESULTS = ("building_groups", "fallback_groups", "areas", "legend", "funnel")
+SWITCH = "version long, cause string, folder string"
+
+
+def _switches(spark: SparkSession, out: str) -> DataFrame:
+    """The sets that were made the latest, one row each; an empty table where ``out`` is new."""
+    spark.createDataFrame([], SWITCH).write.mode("append").parquet(f"{out}/switch")
+    return spark.read.schema(SWITCH).parquet(f"{out}/switch")
+
+
+def publish(spark: SparkSession, out: str, results: dict[str, DataFrame], cause: str) -> None:
+    """Write a set of results and make it the latest; what was published for the same ``cause`` isn't again."""
+    known = _switches(spark, out)
+    if not known.where(F.col("cause") == cause).isEmpty():
+        return
+    version, folder = known.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1, f"{out}/set-{uuid.uuid4().hex}"
+    for name, rows in results.items():
+        rows.write.parquet(f"{folder}/{name}")
+    spark.createDataFrame([(version, cause, folder)], SWITCH).coalesce(1).write.mode("append").parquet(f"{out}/switch")
+
+
+def latest_results(spark: SparkSession, out: str, names: tuple[str, ...] = RESULTS) -> dict[str, DataFrame]:
+    """The tables ``names`` of the latest set under ``out``; raises ``FileNotFoundError`` where there is none."""
+    last = spark.read.schema(SWITCH).parquet(f"{out}/switch").orderBy(F.desc("version")).first()
+    if last is None:
+        raise FileNotFoundError(f"{out} has no results yet")
+    return {n: spark.read.parquet(f"{last['folder']}/{n}") for n in names}
+
+
+def results_of(matched: DataFrame, areas: DataFrame, n: int = 4) -> dict[str, DataFrame]:
+    """The tables of ``RESULTS`` of matched register rows."""
+    on_areas = density.metric_on_areas(areas, register.area_counts(matched))
+    return {
+        "building_groups": register.building_groups(matched),
+        "fallback_groups": register.fallback_groups(matched),
+        "areas": density.choropleth_classes(on_areas, n),
+        "legend": density.legend_ranges(density.quantile_breaks(on_areas, n)),
+        "funnel": register.match_funnel(matched),
+    }
+
+
+def clear_register(spark: SparkSession, out: str, areas: DataFrame, baseline: DataFrame, n: int = 4) -> None:
+    """Make results without any register the latest: no groups, an empty funnel, and areas by the ``baseline`` metric."""
+    last = latest_results(spark, out)
+    restored = density.restored_metric(areas, baseline)
+    results = {
+        "building_groups": last["building_groups"].limit(0),
+        "fallback_groups": last["fallback_groups"].limit(0),
+        "areas": density.choropleth_classes(restored, n),
+        "legend": density.legend_ranges(density.quantile_breaks(restored, n)),
+        "funnel": last["funnel"].select(*(F.lit(0).cast(t).alias(c) for c, t in last["funnel"].dtypes)),
+    }
+    publish(spark, out, results, f"clear {uuid.uuid4().hex}")
 
 
 def watch_registers(spark: SparkSession, folder: str, columns: list[str], buildings: DataFrame, postcodes: DataFrame, areas: DataFrame, out: str, checkpoint: str, n: int = 4) -> StreamingQuery:
     """Start a query that turns each new register into results under ``out``, and returns it.
 
-    ``columns`` are the headers of the files; their roles are found as for a single file. Files are taken one
-    at a time in the order of their modification. A file's results overwrite the last ones, so a batch
-    that runs twice leaves the same outputs; only file names and offsets lie in ``checkpoint``, no register rows.
+    ``columns`` are the headers of the files; their roles are found as for a single file, and quoted fields may
+    hold line breaks. Files are taken one at a time in the order of their modification; one without rows
+    changes nothing. A batch that runs twice is published once; only file names and offsets lie in ``checkpoint``.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.readStream.schema(schema).option("header", True).option("escape", '"').option("maxFilesPerTrigger", 1).option("pathGlobFilter", CSV_GLOB).csv(folder)
+    options = spark.readStream.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    files = options.option("maxFilesPerTrigger", 1).option("pathGlobFilter", CSV_GLOB).csv(folder)
+    rows = files.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
 
-    def replace(batch: DataFrame, _: int) -> None:
+    def replace(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
+        # A batch is one file, which line breaks in quotes keep whole, so ids rise in the order of its rows.
         ordered = with_roles(batch.withColumn("ord", F.monotonically_increasing_id()), "ord").persist()
         matched = register.match_register(ordered, buildings, postcodes).persist()
-        on_areas = density.metric_on_areas(areas, register.area_counts(matched))
-        results = {"building_groups": register.building_groups(matched), "fallback_groups": register.fallback_groups(matched), "areas": density.choropleth_classes(on_areas, n), "funnel": register.match_funnel(matched)}
-        for name in RESULTS:
-            results[name].write.mode("overwrite").parquet(f"{out}/{name}")
+        publish(batch.sparkSession, out, results_of(matched, areas, n), f"{checkpoint} {number}")
         matched.unpersist()
         ordered.unpersist()
 

@@ -9,7 +9,7 @@ from gridfold.functions.geometry import feature
 from gridfold.operators import density, register
 from gridfold.plans import pipelines
 from gridfold.sources import readers, writers
-from gridfold.streaming.register_drop import watch_registers
+from gridfold.streaming.register_drop import clear_register, latest_results, publish, watch_registers
 
 REGISTER = [
     ("A1", "Flat 1, 5 High St, OX1 1AA"), ("A2", "Flat 2, 5 High St, OX1 1AA"), ("", "5 High St, OX1 1AA"), ("A4", "9 Nowhere, ox1  1aa"),
@@ -105,16 +105,52 @@ def test_writers(spark, tmp_path):
     assert [r[1:] for r in readers.postcode_lookup_csv(spark, str(tmp_path / "pc.csv")).collect()] == [("OX1 1AA", "N", 1.5, 0.0)]
 
 
+def test_order_of_lines(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text("".join(f'{{"type":"node","id":{i}}}\n' for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.map_elements(spark, str(tmp_path / "e.jsonl"), lines=True)
+        assert rows.rdd.getNumPartitions() > 3
+        assert [r["id"] for r in rows.orderBy("ord").collect()] == list(range(500))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_metric_file_and_staging(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('neighbourhood,value,value_label\n"a, b",3,HMO count\nc,,x\n')
+    assert [r[:] for r in readers.area_metric_csv(spark, str(tmp_path / "m.csv")).collect()] == [("a, b", 3.0, "HMO count"), ("c", None, "x")]
+    rows = spark.createDataFrame([(1, {"addr:street": "High", "x": "y"})], "id long, tags map<string,string>")
+    writers.stage(rows, str(tmp_path / "staged"), "addr:street")
+    assert spark.read.parquet(str(tmp_path / "staged")).where("tag_addr_street = 'High'").first()["tags"]["x"] == "y"
+
+
 def test_watched_folder(spark, tmp_path):
     import os
 
     rows, made, places, areas = frames(spark)
+    out = str(tmp_path / "out")
     (tmp_path / "in").mkdir()
     for k, name in enumerate(("one.csv", "two.CSV", "skip.txt")):
         path = tmp_path / "in" / name
-        path.write_text("Register ID,Address\n" + "".join(f'{i},"{a}"\n' for i, a in REGISTER[: 3 if k == 0 else 9]))
+        path.write_text("Register ID,Address\n" + "".join(f'{i},"{a}"\n' for i, a in REGISTER[: 3 if k == 0 else 8]) + ('A9,"5 High St,\nOX9 9ZZ"\n' if k else ""))
         os.utime(path, (1_700_000_000 + k * 10,) * 2)
-    query = watch_registers(spark, str(tmp_path / "in"), ["Register ID", "Address"], made, places, areas, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query = watch_registers(spark, str(tmp_path / "in"), ["Register ID", "Address"], made, places, areas, out, str(tmp_path / "cp"))
     query.processAllAvailable()
     query.stop()
-    assert spark.read.parquet(str(tmp_path / "out/funnel")).first()["total"] == 8
+    latest = latest_results(spark, out)
+    assert latest["funnel"].first()["total"] == 8 and latest["legend"].count() == 4
+    group = {r["match_key"]: r for r in latest["building_groups"].collect()}["5 high st"]
+    assert (group["hmo_id"], group["entry_count"]) == ("A1, A2, A9", 4)
+    publish(spark, out, {"funnel": latest["funnel"].limit(0)}, f"{tmp_path / 'cp'} 1")  # the batch again
+    assert latest_results(spark, out)["funnel"].count() == 1
+    clear_register(spark, out, areas, spark.createDataFrame([("South", 7)], "area_name string, value long"))
+    cleared = latest_results(spark, out)
+    assert cleared["building_groups"].count() == 0 and cleared["funnel"].first()["total"] == 0
+    assert {r["area_name"]: r["value"] for r in cleared["areas"].collect()} == {"North": 0, "South": 7}
+
+
+def test_no_results_yet(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="no results"):
+        publish(spark, str(tmp_path / "out"), {}, "x")
+        spark.createDataFrame([], "version long, cause string, folder string").write.mode("overwrite").parquet(str(tmp_path / "out/switch"))
+        latest_results(spark, str(tmp_path / "out"))

@@ -12,10 +12,17 @@ from gridfold.llm.quality_net import op4_quality_classifier
 from gridfold.llm.quality_rules import op1_quality_rules
 from gridfold.llm.sharding import op3_sharding
 from gridfold.llm.simhash import op8_simhash
+from gridfold.llm.turnrepair import op13_turn_repair
+
+
+QUERIES = (
+    op1_quality_rules, op2_language_id, op3_sharding, op4_quality_classifier, op5_licenses, op6_chat_format, op7_mixing, op8_simhash,
+    op9_decontamination, op10_line_dedup, op13_turn_repair,
+)
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_language_id": op2_language_id, "op3_sharding": op3_sharding, "op4_quality_classifier": op4_quality_classifier, "op5_licenses": op5_licenses, "op6_chat_format": op6_chat_format, "op7_mixing": op7_mixing, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_line_dedup": op10_line_dedup}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

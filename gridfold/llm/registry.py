@@ -12,12 +12,13 @@ from gridfold.llm.quality_net import op4_quality_classifier
 from gridfold.llm.quality_rules import op1_quality_rules
 from gridfold.llm.sharding import op3_sharding
 from gridfold.llm.simhash import op8_simhash
+from gridfold.llm.spelling import op11_spelling_variants
 from gridfold.llm.turnrepair import op13_turn_repair
 
 
 QUERIES = (
     op1_quality_rules, op2_language_id, op3_sharding, op4_quality_classifier, op5_licenses, op6_chat_format, op7_mixing, op8_simhash,
-    op9_decontamination, op10_line_dedup, op13_turn_repair,
+    op9_decontamination, op10_line_dedup, op11_spelling_variants, op13_turn_repair,
 )
 
 

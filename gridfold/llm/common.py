@@ -8,6 +8,7 @@ single longer text forms a block of its own.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for results that joins use again round by round.
+
+    A checkpoint keeps the estimated size of its plan, which such rounds multiply without end until planning
+    stalls; a table has the size of its files. The order of rows and partitions is lost.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """``df`` of a few narrow columns, checkpointed, with a broadcast hint if it has at most ``most`` rows.
 

@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from gridfold.llm.common import LOWER_TABLE, broadcast_if_small, checkpointed, text_blocks, text_or_empty
 from gridfold.llm.components import connected_components
-from gridfold.llm.hashing import PRIME, mixed, span_hashes, window_hashes, words
+from gridfold.llm.hashing import PRIME, mixed
+from gridfold.llm.setlinks import shingle_sets
 from gridfold.llm.simhash import bit_counts
 
-SHINGLE, FIELDS, SEGMENT, LOOSE = 5, 5, 32, 4
+FIELDS, SEGMENT, LOOSE = 5, 32, 4
 SEGMENTS = FIELDS * 64 // SEGMENT
 #: Differing bits up to which two fingerprints link: those expected at 0.8 and one standard deviation.
 MOST_BITS = 55
@@ -38,31 +39,6 @@ BITS = [f"b{i}" for i in range(FIELDS)]
 PLACES = [f"p{i}" for i in range(PACKED)]
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of a block of lower-cased texts, text by text, and how many each has.
-
-    A text of one to four words has one shingle, the whole of it; a text without words has none.
-    """
-    starts, ends, cuts = words(data, offsets)
-    own = span_hashes(data, starts, ends)
-    n = np.diff(cuts)
-    windows = window_hashes(own, SHINGLE)
-    owner = np.repeat(np.arange(len(n)), n)[: len(windows)]
-    inside = np.arange(len(windows)) + SHINGLE <= cuts[owner + 1]
-    owner, windows = owner[inside], windows[inside]
-    few = np.flatnonzero((n > 0) & (n < SHINGLE))
-    short = np.zeros(len(few), np.uint64)
-    for k in range(SHINGLE - 1):
-        has = n[few] > k
-        short[has] = short[has] * PRIME + own[cuts[few[has]] + k]
-    owner, windows = np.concatenate([owner, few]), np.concatenate([windows, mixed(short)])
-    order = np.lexsort((windows, owner))
-    owner, windows = owner[order], windows[order]
-    fresh = np.ones(len(owner), bool)
-    fresh[1:] = (owner[1:] != owner[:-1]) | (windows[1:] != windows[:-1])
-    return windows[fresh], np.bincount(owner[fresh], minlength=len(n))
-
-
 def wide_fingerprints(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``texts x FIELDS`` words of bits, and ``texts x PACKED`` words with five bits for each narrow place."""
     bits, margins = np.zeros((len(counts), FIELDS), np.uint64), np.zeros((len(counts), FIELDS * 64), np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridfold.llm.chat import op6_chat_format
+from gridfold.llm.chosenpath import op12_minhash_dedup
 from gridfold.llm.decontam import op9_decontamination
 from gridfold.llm.langid import op2_language_id
 from gridfold.llm.licenses import op5_licenses
@@ -18,7 +19,7 @@ from gridfold.llm.turnrepair import op13_turn_repair
 
 QUERIES = (
     op1_quality_rules, op2_language_id, op3_sharding, op4_quality_classifier, op5_licenses, op6_chat_format, op7_mixing, op8_simhash,
-    op9_decontamination, op10_line_dedup, op11_spelling_variants, op13_turn_repair,
+    op9_decontamination, op10_line_dedup, op11_spelling_variants, op12_minhash_dedup, op13_turn_repair,
 )
 
 

@@ -10,7 +10,7 @@ import xxhash
 from oddities import TEXTS, empty, odd
 from pyspark.sql import functions as F
 
-from gridfold.llm import hashing, linededup, nearcopies, simhash
+from gridfold.llm import hashing, linededup, nearcopies, setlinks, simhash
 from gridfold.llm.components import connected_components
 
 
@@ -159,7 +159,7 @@ def wide(texts):
     out = []
     for text in texts:
         raw = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
-        hashes, counts = nearcopies.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        hashes, counts = setlinks.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         assert counts[0] == len(hashes) == len(shingle_set(text))
         bits, places = [], []
         for k in range(nearcopies.FIELDS):

@@ -4,10 +4,7 @@ A text's distinct five-word shingles set 320 bits by majority, cut into ten segm
 Jaccard similarity s agree in a bit with probability ``1 - acos(2s / (1 + s)) / pi``: at 0.8 they differ in
 48 of 320 bits, nearly always in bits that one of the two decided by a narrow majority. Of each segment the
 ball over its ``LOOSE`` narrowest bits is enumerated, 16 keys; texts that share a key and differ in at most
-``NEAR_FIRST`` of their first 64 bits are compared on all 320 and link up to ``MOST_BITS``.
-
-A key of more than ``CROWD`` fingerprints is not paired up. Pivots are drawn from it by hash, its members are
-compared with them, and those that link to one leave; this goes on until the rest can be paired up.
+``MOST_BITS`` are compared on their whole sets of shingles, and link from 80 % similarity on.
 """
 
 from __future__ import annotations
@@ -19,20 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import LOWER_TABLE, broadcast_if_small, checkpointed, text_blocks, text_or_empty
-from gridfold.llm.components import connected_components
+from gridfold.llm.common import LOWER_TABLE, broadcast_if_small, spread_join, text_blocks, text_or_empty, written
+from gridfold.llm.components import merged_components
 from gridfold.llm.hashing import PRIME, mixed
-from gridfold.llm.setlinks import shingle_sets
+from gridfold.llm.setlinks import confirmed, set_keys, shingle_sets
 from gridfold.llm.simhash import bit_counts
 
 FIELDS, SEGMENT, LOOSE = 5, 32, 4
 SEGMENTS = FIELDS * 64 // SEGMENT
-#: Differing bits up to which two fingerprints link: those expected at 0.8 and one standard deviation.
-MOST_BITS = 55
-#: Differing bits of the first 64 up to which all are compared; at 0.8 all but 1 in 4,000 pairs lie within.
-NEAR_FIRST = 20
-#: Members from which a key takes the way that pairs nobody up, and the pivots of a round.
-CROWD, PIVOTS, SALTS = 128, 16, 16
+#: Similarity in percent, and differing bits up to which sets are compared: those expected at 0.8 and 2.5 deviations.
+PERCENT, MOST_BITS = 80, 64
 #: Long columns that hold the places of the narrowest bits, three segments in each.
 PACKED = -(-SEGMENTS // 3)
 BITS = [f"b{i}" for i in range(FIELDS)]
@@ -69,26 +62,31 @@ def segment_keys(bits: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+PRINTS = "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"{c} long" for c in [*BITS, *PLACES])
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(np.zeros((0, FIELDS), np.uint64), np.zeros((0, PACKED), np.uint64))]
-        for _, _, data, offsets in text_blocks(batch.column("text")):
-            found.append(wide_fingerprints(*shingle_sets(LOWER_TABLE[data], offsets)))
-        columns = np.concatenate([np.concatenate(x) for x in zip(*found, strict=True)], axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], ["doc_id", *BITS, *PLACES])
+        ids = batch.column("doc_id")
+        for first, last, data, offsets in text_blocks(batch.column("text")):
+            hashes, counts = shingle_sets(LOWER_TABLE[data], offsets)
+            wide = np.concatenate(wide_fingerprints(hashes, counts), axis=1).view(np.int64)
+            columns = [counts.astype(np.int64), *set_keys(hashes, counts), *(np.ascontiguousarray(c) for c in wide.T)]
+            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), *map(pa.array, columns)], ["doc_id", "n", "k1", "k2", *BITS, *PLACES])
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = np.stack([c.to_numpy() for c in batch.columns], axis=1).view(np.uint64)
-        for rows in np.array_split(columns, -(-len(columns) // 1024) or 1):
-            keys = segment_keys(rows[:, :FIELDS], rows[:, FIELDS:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rows[:, 0].view(np.int64), keys.shape[1]))], ["key", "b0"])
+        cls, columns = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
+        for rows in np.array_split(np.arange(len(columns)), -(-len(columns) // 1024) or 1):
+            keys = segment_keys(columns[rows, :FIELDS], columns[rows, FIELDS:])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(cls[rows], keys.shape[1]))], ["key", "cls"])
 
 
-def fingerprint_classes(prints: DataFrame) -> DataFrame:
-    """One row for each first word of the fingerprints, with the smallest ``doc_id`` as ``least``."""
-    return prints.groupBy("b0").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in [*BITS[1:], *PLACES]))
+def set_classes(prints: DataFrame) -> DataFrame:
+    """One row for each different shingle set, with a number ``cls`` and the smallest ``doc_id`` as ``least``; written."""
+    first = [F.first(c).alias(c) for c in ("n", *BITS, *PLACES)]
+    return written(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *first).withColumn("cls", F.monotonically_increasing_id()))
 
 
 def distance(left: str, right: str, fields: list[str] = BITS) -> Column:
@@ -96,71 +94,70 @@ def distance(left: str, right: str, fields: list[str] = BITS) -> Column:
     return sum((F.bit_count(F.col(f"{c}{left}").bitwiseXOR(F.col(f"{c}{right}"))) for c in fields), F.lit(0))
 
 
-def _suffixed(rows: DataFrame, suffix: str, *keep: str) -> DataFrame:
-    return rows.select(*keep, *(F.col(c).alias(f"{c}{suffix}") for c in BITS))
+def _suffixed(rows: DataFrame, suffix: str, *columns: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{c}{suffix}") for c in columns))
 
 
-def _verified(keyed: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """``(a, b)`` of all fingerprints that share a key and link."""
-    left, right = keyed.select("key", F.col("b0").alias("b0_l")), keyed.select("key", F.col("b0").alias("b0_r"))
-    near = distance("_l", "_r", ["b0"]) <= NEAR_FIRST
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("b0_l") < F.col("b0_r")) & near).select("b0_l", "b0_r").distinct()
-    known = broadcast_if_small(classes.select(*BITS))
-    both = met.join(_suffixed(known, "_x"), F.col("b0_l") == F.col("b0_x")).join(_suffixed(known, "_y"), F.col("b0_r") == F.col("b0_y"))
-    return both.where(distance("_x", "_y") <= most).select(F.col("b0_l").alias("a"), F.col("b0_r").alias("b"))
+def _candidates(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs of classes ``(a, b)`` that differ in at most ``MOST_BITS`` bits; written."""
+    known = broadcast_if_small(classes.select("cls", *BITS))
+    both = met.distinct().join(_suffixed(known, "_l", "cls", *BITS), F.col("a") == F.col("cls_l")).join(_suffixed(known, "_r", "cls", *BITS), F.col("b") == F.col("cls_r"))
+    return written(both.where(distance("_l", "_r") <= MOST_BITS).select("a", "b"))
 
 
-def links(classes: DataFrame, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
-    """``(a, b)`` of fingerprint classes that share a key and differ in at most ``most`` bits.
+def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, root)`` of all classes with a link: a Jaccard similarity of ``PERCENT`` or more that a shared key has brought together.
 
-    In keys of more than ``crowd`` members a member that links to a pivot is not compared further; all others are.
+    In every key the members are first compared with one of them, the one of least hash; of what is in one component
+    by then no pair needs comparing. Where a key holds several components, every pair across them is compared, however
+    many members it has.
     """
-    keyed = classes.select(*BITS, *PLACES).mapInArrow(_key_batches, "key long, b0 long")
-    full = checkpointed(keyed.groupBy("key").count().where(F.col("count") > crowd).select("key"))
-    if full.isEmpty():
-        return _verified(keyed, classes, most)
-    found = _verified(keyed.join(full, "key", "left_anti"), classes, most)
-    members = checkpointed(keyed.join(full, "key", "left_semi").join(broadcast_if_small(classes.select(*BITS)), "b0").select("key", *BITS))
-    while True:
-        draw = F.xxhash64("key", "b0")
-        drawn = members.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by("b0", draw).alias("b0"))
-        pivots = drawn.join(members, ["key", "b0"]).select("key", *BITS)
-        salted = _suffixed(pivots, "_p", "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = members.withColumn("salt", F.pmod(F.xxhash64("b0"), F.lit(SALTS)).cast("int")).withColumns({f"{c}_m": F.col(c) for c in BITS})
-        # A pivot meets itself here, so every round takes members out of every crowded key.
-        met = checkpointed(dealt.join(salted, ["key", "salt"]).where(distance("_m", "_p") <= most).select("key", "b0_m", "b0_p").distinct())
-        found = found.union(met.where("b0_m <> b0_p").select(F.least("b0_m", "b0_p").alias("a"), F.greatest("b0_m", "b0_p").alias("b")))
-        members = checkpointed(members.join(met.select("key", F.col("b0_m").alias("b0")).distinct(), ["key", "b0"], "left_anti"))
-        sizes = checkpointed(members.groupBy("key").count())
-        full = sizes.where(F.col("count") > crowd).select("key")
-        rest = members.join(full, "key", "left_anti").select("key", "b0")
-        found = found.union(_verified(rest, classes, most))
-        if full.isEmpty():
-            return found.distinct()
-        members = checkpointed(members.join(full, "key", "left_semi"))
-
-
-def near_copies(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """``(doc_id, b0, stays)`` for every row of ``docs``; checkpointed.
-
-    ``b0`` names the row's fingerprint class; ``stays`` marks the rows with the smallest ``doc_id`` of their group of
+    roots = classes.sparkSession.createDataFrame([], "node long, root long")
+    keyed = classes.where("n > 0").select("cls", *BITS, *PLACES).mapInArrow(_key_batches, "key long, cls long")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min_by("cls", F.xxhash64("cls")).alias("pivot"))
+    sizes = written(sizes.where("members > 1"))
+    several = sizes.where("members > 2").select("key", "pivot")
+    inside = written(keyed.join(broadcast_if_small(several.select("key")), "key", "left_semi"))
+    members = written(spread_join(inside, several, "key"))
+    twos = sizes.where("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    pairs = _candidates(twos.union(members.where("cls <> pivot").select("cls", "pivot")), classes)
+    if pairs.isEmpty():
+        return roots
+    roots = merged_components(roots, confirmed(pairs, classes, docs, PERCENT))
+    known = written(members.join(broadcast_if_small(roots.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    tops = known.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.when(F.col("cls") == F.col("pivot"), F.col("root"))).alias("top"))
+    open_ = written(spread_join(known, written(tops.where("least < most").select("key", "top")), "key"))
+    open_ = written(open_.join(broadcast_if_small(classes.select("cls", *BITS)), "cls"))
+    # Of two members in different components at least one is not in the pivot's.
+    outside = _suffixed(open_.where("root <> top"), "_l", "key", "cls", "root", *BITS)
+    every = _suffixed(open_, "_r", "key", "cls", "root", *BITS)
+    met = outside.join(every, (F.col("key_l") == F.col("key_r")) & (F.col("root_l") != F.col("root_r")) & (distance("_l", "_r") <= MOST_BITS))
+    further = written(met.select(F.least("cls_l", "cls_r").alias("a"), F.greatest("cls_l", "cls_r").alias("b")).distinct())
+    return roots if further.isEmpty() else merged_components(roots, confirmed(further, classes, docs, PERCENT))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n, stays)`` for every row of ``docs``; written.
+
+    ``n`` is the number of distinct shingles; ``stays`` marks the rows with the smallest ``doc_id`` of their group of
     linked classes, and rows without ``doc_id``. Texts without words form one class. An empty table gives no rows.
     """
-    prints = checkpointed(text_or_empty(docs, "doc_id").mapInArrow(_fingerprint_batches, "doc_id long, " + ", ".join(f"{c} long" for c in [*BITS, *PLACES])))
-    classes = checkpointed(fingerprint_classes(prints))
-    roots = connected_components(links(classes, most))
-    named = classes.select("b0", "least").join(roots.withColumnRenamed("node", "b0"), "b0", "left").withColumn("root", F.coalesce("root", "b0"))
-    least = checkpointed(named.groupBy("root").agg(F.min("least").alias("doc_id")).where("doc_id is not null").select("doc_id", F.lit(True).alias("stays")))
-    return checkpointed(prints.select("doc_id", "b0").join(least, "doc_id", "left").select("doc_id", "b0", (F.col("doc_id").isNull() | F.coalesce("stays", F.lit(False))).alias("stays")))
+    prints = written(text_or_empty(docs, "doc_id").mapInArrow(_fingerprint_batches, PRINTS))
+    classes = set_classes(prints)
+    roots = class_roots(classes, docs)
+    named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = written(named.groupBy("root").agg(F.min("least").alias("doc_id")).where("doc_id is not null").select("doc_id", F.lit(True).alias("stays")))
+    found = prints.select("doc_id", "n").join(least, "doc_id", "left")
+    return written(found.select("doc_id", "n", (F.col("doc_id").isNull() | F.coalesce("stays", F.lit(False))).alias("stays")))
 
 
-def drop_near_copies(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest ``doc_id``.
 
     Rows without a ``doc_id`` can't be told apart by id and all stay. Where several rows carry the id that
     stays, one of them stays. Up to a count of ids that go, they are broadcast, and texts are not shuffled.
     """
-    told = near_copies(docs, most)
+    told = near_copies(docs)
     gone = told.where(~F.col("stays")).select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
     twice = told.where("stays and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridfold.functions.text import with_roles
+from gridfold.functions.text import ROLES, present, register_roles
 from gridfold.operators import density, register
-from gridfold.sources.readers import CSV_GLOB
+from gridfold.sources.readers import CELL, CSV_GLOB
 
-RESULTS = ("building_groups", "fallback_groups", "areas", "legend", "funnel")
+RESULTS = ("building_groups", "fallback_groups", "fallback_features", "areas", "legend", "funnel")
 SWITCH = "version long, cause string, folder string"
 
 
@@ -46,12 +46,15 @@ def latest_results(spark: SparkSession, out: str, names: tuple[str, ...] = RESUL
     return {n: spark.read.parquet(f"{last['folder']}/{n}") for n in names}
 
 
-def results_of(matched: DataFrame, areas: DataFrame, n: int = 4) -> dict[str, DataFrame]:
-    """The tables of ``RESULTS`` of matched register rows."""
+def results_of(matched: DataFrame, areas: DataFrame, n: int = 4, buildings: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of ``RESULTS`` of matched register rows, and ``building_features`` where ``buildings`` have rings."""
     on_areas = density.metric_on_areas(areas, register.area_counts(matched))
-    return {
-        "building_groups": register.building_groups(matched),
-        "fallback_groups": register.fallback_groups(matched),
+    groups, others = register.building_groups(matched), register.fallback_groups(matched)
+    features = {"building_features": register.building_features(groups, buildings)} if buildings is not None and "ring" in buildings.columns else {}
+    return features | {
+        "building_groups": groups,
+        "fallback_groups": others,
+        "fallback_features": register.fallback_features(others),
         "areas": density.choropleth_classes(on_areas, n),
         "legend": density.legend_ranges(density.quantile_breaks(on_areas, n)),
         "funnel": register.match_funnel(matched),
@@ -65,6 +68,7 @@ def clear_register(spark: SparkSession, out: str, areas: DataFrame, baseline: Da
     results = {
         "building_groups": last["building_groups"].limit(0),
         "fallback_groups": last["fallback_groups"].limit(0),
+        "fallback_features": last["fallback_features"].limit(0),
         "areas": density.choropleth_classes(restored, n),
         "legend": density.legend_ranges(density.quantile_breaks(restored, n)),
         "funnel": last["funnel"].select(*(F.lit(0).cast(t).alias(c) for c, t in last["funnel"].dtypes)),
@@ -72,26 +76,43 @@ def clear_register(spark: SparkSession, out: str, areas: DataFrame, baseline: Da
     publish(spark, out, results, f"clear {uuid.uuid4().hex}")
 
 
-def watch_registers(spark: SparkSession, folder: str, columns: list[str], buildings: DataFrame, postcodes: DataFrame, areas: DataFrame, out: str, checkpoint: str, n: int = 4) -> StreamingQuery:
+def file_rows(batch: DataFrame) -> DataFrame:
+    """``ord`` and the role columns of a batch that is one file, whose first row holds the headers.
+
+    Raises ``ValueError`` naming the file where no header is an address's. A file without rows gives none.
+    """
+    cells = [c for c in batch.columns if c != "file"]
+    # Line breaks in quotes keep a file in one task, so ids rise in the order of its rows.
+    placed = batch.withColumn("ord", F.monotonically_increasing_id())
+    head = placed.orderBy("ord").first()
+    names = [(head[c] or "").removeprefix("\ufeff") for c in cells]
+    found = {r: cells[names.index(h)] for r, h in register_roles(names).items()}
+    if "address" not in found:
+        raise ValueError(f"{head['file']} has no address column; found: {', '.join(n for n in names if n)}")
+    roles = [(present(F.col(found[r])) if r in found else F.lit("")).alias(r) for r in ROLES]
+    return placed.where(F.col("ord") > head["ord"]).select("ord", *roles)
+
+
+def watch_registers(spark: SparkSession, folder: str, buildings: DataFrame, postcodes: DataFrame, areas: DataFrame, out: str, checkpoint: str, n: int = 4, most_columns: int = 64) -> StreamingQuery:
     """Start a query that turns each new register into results under ``out``, and returns it.
 
-    ``columns`` are the headers of the files; their roles are found as for a single file, and quoted fields may
+    Every file has headers of its own, in any order; columns beyond ``most_columns`` are left aside, and quoted fields may
     hold line breaks. Files are taken one at a time in the order of their modification; one without rows
     changes nothing. A batch that runs twice is published once; only file names and offsets lie in ``checkpoint``.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    options = spark.readStream.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-    files = options.option("maxFilesPerTrigger", 1).option("pathGlobFilter", CSV_GLOB).csv(folder)
-    rows = files.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
+    cells = [CELL.format(i) for i in range(most_columns)]
+    options = spark.readStream.schema(", ".join(f"`{c}` string" for c in cells)).option("quote", '"').option("escape", '"').option("multiLine", True)
+    files = options.option("maxFilesPerTrigger", 1).option("pathGlobFilter", CSV_GLOB).csv(folder).select(*cells, F.col("_metadata.file_path").alias("file"))
 
     def replace(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        # A batch is one file, which line breaks in quotes keep whole, so ids rise in the order of its rows.
-        ordered = with_roles(batch.withColumn("ord", F.monotonically_increasing_id()), "ord").persist()
-        matched = register.match_register(ordered, buildings, postcodes).persist()
-        publish(batch.sparkSession, out, results_of(matched, areas, n), f"{checkpoint} {number}")
-        matched.unpersist()
-        ordered.unpersist()
-
-    return rows.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).start()
+        held = batch.persist()
+        rows = None if held.isEmpty() else file_rows(held).persist()
+        if rows is not None and not rows.isEmpty():
+            matched = register.match_register(rows, buildings, postcodes).persist()
+            publish(batch.sparkSession, out, results_of(matched, areas, n, buildings), f"{checkpoint} {number}")
+            matched.unpersist()
+        if rows is not None:
+            rows.unpersist()
+        held.unpersist()
+
+    return files.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).start()

@@ -132,9 +132,12 @@ def test_watched_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, name in enumerate(("one.csv", "two.CSV", "skip.txt")):
         path = tmp_path / "in" / name
-        path.write_text("Register ID,Address\n" + "".join(f'{i},"{a}"\n' for i, a in REGISTER[: 3 if k == 0 else 8]) + ('A9,"5 High St,\nOX9 9ZZ"\n' if k else ""))
+        if k:
+            path.write_text("Notes,Property Address,Ref\n" + "".join(f'x,"{a}",{i}\n' for i, a in REGISTER[:8]) + 'y,"5 High St,\nOX9 9ZZ",A9\n')
+        else:
+            path.write_text("Register ID,Address\n" + "".join(f'{i},"{a}"\n' for i, a in REGISTER[:3]))
         os.utime(path, (1_700_000_000 + k * 10,) * 2)
-    query = watch_registers(spark, str(tmp_path / "in"), ["Register ID", "Address"], made, places, areas, out, str(tmp_path / "cp"))
+    query = watch_registers(spark, str(tmp_path / "in"), made, places, areas, out, str(tmp_path / "cp"))
     query.processAllAvailable()
     query.stop()
     latest = latest_results(spark, out)
@@ -154,3 +157,38 @@ def test_no_results_yet(spark, tmp_path):
         publish(spark, str(tmp_path / "out"), {}, "x")
         spark.createDataFrame([], "version long, cause string, folder string").write.mode("overwrite").parquet(str(tmp_path / "out/switch"))
         latest_results(spark, str(tmp_path / "out"))
+
+
+def test_headers_by_file(spark, tmp_path):
+    """Files that name and order their columns in their own way, small ones in one task and a split one."""
+    for name, text in {
+        "a.csv": "\ufeffRegister ID,Address,Start\nA1,9 Low Rd,2020\n",
+        "b.csv": '\n"Full address",Ref,End,"Notes, etc"\n"5 High St, ""X""",B1,2030,n\n\n6 High St,B2\n',
+        "c.CSV": "street,property address\nLow,7 Low Rd\n",
+        "d.csv": "id,address\n",
+        "e.csv": "id,address\n" + "".join(f"E{i},{i} Long Lane\n" for i in range(400)),
+    }.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for lines in (True, False):
+            rows = readers.register_roles_csv(spark, str(tmp_path), multi_line=lines)
+            got = [r[1:] for r in rows.orderBy("ord").collect()]
+            assert got[:4] == [("A1", "9 Low Rd", "", "2020", ""), ("B1", '5 High St, "X"', "", "", "2030"), ("B2", "6 High St", "", "", ""), ("", "7 Low Rd", "Low", "", "")]
+            assert got[4:] == [(f"E{i}", f"{i} Long Lane", "", "", "") for i in range(400)]
+            named = readers.register_csv(spark, str(tmp_path), multi_line=lines)
+            assert named.columns == ["ord", "Register ID", "Address", "Start", "Full address", "Ref", "End", "Notes, etc", "street", "property address", "id", "address"] or len(named.columns) == 11
+            assert named.where("Ref = 'B1'").first()["Full address"] == '5 High St, "X"'
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "f.csv").write_text("id,place\n1,x\n")
+    with pytest.raises(ValueError, match="f.csv has no address column; found: id, place"):
+        readers.register_roles_csv(spark, str(tmp_path))
+    (tmp_path / "f.csv").write_text('id,"two\nlines",address\n1,2,3\n')
+    with pytest.raises(ValueError, match="f.csv: the header is longer"):
+        readers.register_csv(spark, str(tmp_path))
+
+
+def test_numbers_read_from_the_left(spark, tmp_path):
+    (tmp_path / "pc.csv").write_text("lsoa,postcode,centroid_lon,centroid_lat\nN,OX1 1AA, 1.5x,-2e1z\nM,OX1 1AB,.5,x1\n")
+    assert [r[1:] for r in readers.postcode_lookup_csv(spark, str(tmp_path / "pc.csv")).orderBy("ord").collect()] == [("OX1 1AA", "N", -20.0, 1.5), ("OX1 1AB", "M", 0.0, 0.5)]

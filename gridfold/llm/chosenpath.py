@@ -5,14 +5,14 @@ a path chosen by some of them: documents that agree in the first chosen token me
 ``SMALL`` members branches on, eight ways at a time, by which tokens its members agree in. Similar sets agree often
 and stay together, sets that share only a passage fall apart.
 
-In every node the members are first compared with one pivot, the member of least hash, which most nodes of a group of
-copies have in common. What is linked by then needs no more comparing: a node whose members are in one component is
-done, in a small node only members of different components are compared, and a crowded one branches. So a group
-of n near copies costs about n comparisons. Comparing starts with two bits of each minwise token and the sizes
-(at 85 % similarity all but 1 pair in 10^6 passes) and ends on the full sets.
-
-At exactly 85 % two sets miss each other in all trees about once in 10^6 times where nodes are small, 10^4 where they branch three
-times over. A crowd that is left then is joined exactly, by the rarest 15 % of its members' tokens.
+In every node the members are first compared with one pivot: in a crowd the member nearest to what most members
+agree in, as the original is among its copies, else the one of least hash. What is linked by then needs no more comparing: a node
+whose members are in one component is done, in a small node only members of different components are compared, and a
+crowded one branches. So a group of n near copies costs about n comparisons. Comparing starts with two bits of each minwise
+token and the sizes (at 85 % similarity all but 1 pair in 10^6 passes) and ends on the full sets.
+
+At exactly 85 % two sets miss each other in all trees about once in 10^5 times, more rarely the more alike they are. A crowd whose members
+are much alike without being one component, or that has branched and is still a crowd, is joined exactly, by rare tokens.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfold.llm.common import LOWER_TABLE, spread_join, table, text_blocks, text_or_empty, written
+from gridfold.llm.common import LOWER_TABLE, broadcast_if_small, spread_join, table, text_blocks, text_or_empty, written
 from gridfold.llm.components import merged_components
 from gridfold.llm.hashing import mixed
 from gridfold.llm.setlinks import confirmed, set_keys, sets_of, shingle_sets
 
 PERCENT = 85
-TOKENS, TREES, SMALL = 64, 8, 64
+TOKENS, TREES, SMALL = 64, 6, 64
 #: Tokens a step looks at in a row, ways to choose each, and the most steps below the first node.
-LEVELS, WAYS, STEPS = 3, 2, 3
+LEVELS, WAYS, STEPS = 3, 2, 2
+#: Mean number of bits of 64 by which members of a crowd differ from most, up to which branching can't part them.
+ALIKE = 10
 #: Differing bits of 128 up to which a pair is compared; expected are 10 at 85 %, with a deviation of 4.
 MOST_BITS = 28
 MULTIPLIERS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -115,12 +117,29 @@ def maybe(left: str, right: str) -> Column:
     return (bits <= MOST_BITS) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
+def _centres(crowds: DataFrame) -> DataFrame:
+    """By crowded node: the columns of the member nearest to the majority in each bit, and the mean distance; written."""
+    ones = [F.sum(F.shiftrightunsigned("x1", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)]
+    signed = lambda i: (1 << i) - (1 << 64 if i == 63 else 0)
+    most = sum((F.when(2 * F.col(f"s{i}") > F.col("n"), F.lit(signed(i))).otherwise(F.lit(0)) for i in range(64)), F.lit(0))
+    majority = written(crowds.groupBy("node").agg(F.count("*").alias("n"), *ones).select("node", most.alias("most")))
+    apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("most")))
+    order = apart * (1 << 56) + F.shiftrightunsigned(F.xxhash64("cls"), 8)
+    pivot = [F.min_by(c, order).alias(f"p_{c}") for c in ("cls", "n", *BITS)]
+    return written(spread_join(crowds, majority, "node").groupBy("node").agg(F.avg(apart).alias("apart"), *pivot))
+
+
 def shared_nodes(rows: DataFrame) -> DataFrame:
-    """``rows`` in nodes of several members, with the number of members and the pivot's columns; written."""
+    """``rows`` in nodes of several members, with the number of members, the pivot's columns and, in crowds, how far members lie ``apart``; written."""
     kept, order = written(rows), F.xxhash64("cls")
     pivot = [F.min_by(c, order).alias(f"p_{c}") for c in ("cls", "n", *BITS)]
     nodes = written(kept.groupBy("node").agg(F.count("*").alias("members"), *pivot).where("members > 1"))
-    return written(spread_join(kept, nodes, "node"))
+    small = spread_join(kept, nodes.where(F.col("members") <= SMALL), "node").withColumn("apart", F.lit(None).cast("double"))
+    sizes = nodes.where(F.col("members") > SMALL).select("node", "members")
+    if sizes.isEmpty():
+        return written(small)
+    crowds = written(kept.join(broadcast_if_small(sizes), "node"))
+    return written(small.unionByName(spread_join(crowds, _centres(crowds), "node")))
 
 
 def _with_pivots(shared: DataFrame) -> DataFrame:
@@ -144,18 +163,29 @@ def _within(members: DataFrame, key: str) -> DataFrame:
 
 
 def _by_rare_tokens(crowds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of crowds that no step has split: any two that are similar enough share one of their rarest tokens.
+    """Pairs across components of crowds, exactly: what is similar enough shares a rare token early enough.
 
-    Of a set of n, as many tokens as another may lack and one more, in the order of frequency among the crowds.
+    Tokens are ordered by their frequency among the crowds. A set of n meets larger ones by its first
+    ``n - ceil(170 n / 185) + 1`` tokens, smaller ones by its first ``n - ceil(85 n / 100) + 1``; and at their first common
+    token enough tokens must lie ahead in both. Copies that differ from an original differ in rare tokens, which come first.
     """
-    members = written(crowds.select("cls", "root", "n", *BITS).distinct())
+    members = written(crowds.select("cls", "root", "n").distinct())
     sets = sets_of(classes.join(members.select("cls"), "cls", "left_semi").select("cls", "k1", "k2", "least"), docs)
     rows = written(sets.select("cls", F.explode("members").alias("token")))
     counts = written(rows.groupBy("token").agg(F.count("*").alias("held")))
     ranked = spread_join(rows, counts, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("sorted"))
-    lacking = F.size("sorted") - F.ceil(F.size("sorted") * F.lit(PERCENT) / 100).cast("int") + 1
-    rare = ranked.select("cls", F.explode(F.slice("sorted", F.lit(1), lacking)).alias("at")).select("cls", F.col("at.token").alias("token"))
-    return _within(rare.join(members, "cls"), "token")
+    least = lambda share: F.ceil(F.size("sorted") * share[0] / share[1]).cast("int")
+    early = F.slice("sorted", F.lit(1), F.size("sorted") - least((PERCENT, 100)) + 1)
+    index = F.size("sorted") - least((2 * PERCENT, 100 + PERCENT)) + 1
+    placed = ranked.select("cls", index.alias("index"), F.posexplode(early).alias("place", "at")).select("cls", "index", "place", F.col("at.token").alias("token"))
+    placed = written(placed.join(members, "cls"))
+    side = lambda df, tag: df.select("token", *(F.col(c).alias(f"{tag}{c}") for c in ("cls", "root", "n", "place")))
+    ahead = 1 + F.least(F.col("l_n") - F.col("l_place") - 1, F.col("r_n") - F.col("r_place") - 1)
+    enough = (100 + PERCENT) * ahead >= PERCENT * (F.col("l_n") + F.col("r_n"))
+    smaller = (F.col("l_n") < F.col("r_n")) | ((F.col("l_n") == F.col("r_n")) & (F.col("l_cls") < F.col("r_cls")))
+    fits = smaller & (F.col("l_root") != F.col("r_root")) & (100 * F.col("l_n") >= PERCENT * F.col("r_n")) & enough
+    met = side(placed.where("place < index"), "l_").join(side(placed, "r_"), "token").where(fits)
+    return met.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b"))
 
 
 def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -175,16 +205,16 @@ def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if shared is None:
             return roots
         open_ = _unsettled(shared, roots)
-        small = open_.where(F.col("members") <= SMALL)
-        crowds, shared = open_.where(F.col("members") > SMALL), None
-        wanted = _within(small, "node")
-        if not crowds.isEmpty():
-            if depth < STEPS:
-                told = crowds.select("node", "tree", "cls", "n", *BITS).join(classes.select("cls", "tokens"), "cls")
-                shared = shared_nodes(told.mapInArrow(_branches(depth), NODES))
-                wanted, depth = wanted.union(_with_pivots(shared)), depth + 1
-            else:
-                wanted = wanted.union(_by_rare_tokens(crowds, classes, docs))
+        crowds = open_.where(F.col("members") > SMALL)
+        wanted, shared = _within(open_.where(F.col("members") <= SMALL), "node"), None
+        parting = (F.col("apart") > ALIKE) & F.lit(depth < STEPS)
+        tight, loose = written(crowds.where(~parting)), written(crowds.where(parting))
+        if not tight.isEmpty():
+            wanted = wanted.union(_by_rare_tokens(tight, classes, docs))
+        if not loose.isEmpty():
+            told = loose.select("node", "tree", "cls", "n", *BITS).join(classes.select("cls", "tokens"), "cls")
+            shared = shared_nodes(told.mapInArrow(_branches(depth), NODES))
+            wanted, depth = wanted.union(_with_pivots(shared)), depth + 1
         pairs = written(wanted.distinct())
         if shared is None and pairs.isEmpty():
             return roots

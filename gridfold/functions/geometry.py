@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,19 +57,82 @@ def envelope(edges: Column) -> Column:
     return F.struct(low("x").alias("minx"), low("y").alias("miny"), high("x").alias("maxx"), high("y").alias("maxy"))
 
 
-def _crosses(e: Column, x: Column, y: Column) -> Column:
-    return ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+#: Factor that splits a double into two halves of 26 bits, and the relative error of a determinant of doubles.
+SPLITTER, DETERMINANT_ERROR = 134217729.0, 4e-16
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _product_parts(p: Column) -> Column:
+    """Two doubles whose sum is ``sign * a * b`` without any error, for a struct of the three."""
+    high = lambda v: v * SPLITTER - (v * SPLITTER - v)
+    halves = F.struct((p["a"] * p["b"]).alias("p"), high(p["a"]).alias("ah"), high(p["b"]).alias("bh"), p["a"].alias("a"), p["b"].alias("b"), p["sign"].alias("sign"))
+
+    def parts(h: Column) -> Column:
+        al, bl = h["a"] - h["ah"], h["b"] - h["bh"]
+        error = ((h["ah"] * h["bh"] - h["p"]) + h["ah"] * bl + al * h["bh"]) + al * bl
+        return F.array(h["p"] * h["sign"], error * h["sign"])
+
+    return _let(halves, parts)
+
+
+def _sign_of_sum(terms: Column) -> Column:
+    """Sign of the exact sum of doubles: each term is added to an expansion, whose parts do not overlap."""
+    none = F.array().cast("array<double>")
+
+    def add(parts: Column, term: Column) -> Column:
+        def carry(s: Column, part: Column) -> Column:
+            total = s["q"] + part
+            back = total - s["q"]
+            lost = (s["q"] - (total - back)) + (part - back)
+            return F.struct(total.alias("q"), F.concat(s["parts"], F.array(lost)).alias("parts"))
+
+        summed = F.aggregate(parts, F.struct(term.alias("q"), none.alias("parts")), carry)
+        return F.concat(summed["parts"], F.array(summed["q"]))
+
+    parts = F.filter(F.aggregate(terms, none, add), lambda v: v != 0)
+    return F.coalesce(F.signum(F.try_element_at(parts, F.lit(-1))), F.lit(0.0))
+
+
+def side_of(e: Column, x: Column, y: Column) -> Column:
+    """1, -1 or 0: the point lies left of the edge, right of it, or on its line, decided exactly.
+
+    The determinant of doubles decides where it is larger than its error; else the six products of
+    coordinates are summed without error. Coordinates lie between 1e-100 and 1e100 or are zero.
+    """
+    products = [(e["x2"], y, 1.0), (e["x2"], e["y1"], -1.0), (e["x1"], y, -1.0), (x, e["y2"], -1.0), (x, e["y1"], 1.0), (e["x1"], e["y2"], 1.0)]
+    listed = F.array(*(F.struct(a.alias("a"), b.alias("b"), F.lit(sign).alias("sign")) for a, b, sign in products))
+    exact = _sign_of_sum(F.flatten(F.transform(listed, _product_parts)))
+    terms = F.struct(((e["x2"] - e["x1"]) * (y - e["y1"])).alias("l"), ((x - e["x1"]) * (e["y2"] - e["y1"])).alias("r"))
+    sure = lambda t: F.abs(t["l"] - t["r"]) > (F.abs(t["l"]) + F.abs(t["r"])) * DETERMINANT_ERROR
+    return _let(terms, lambda t: F.when(sure(t), F.signum(t["l"] - t["r"])).otherwise(exact))
+
+
+def _relation(e: Column, x: Column, y: Column) -> Column:
+    """2: the point lies on the edge; 1: the edge crosses the ray from it to the right; else 0."""
+    upward, straddles = e["y2"] > e["y1"], (e["y1"] > y) != (e["y2"] > y)
+    near = _let(side_of(e, x, y), lambda side: F.when(side == 0, 2).when(straddles & ((side > 0) == upward), 1).otherwise(0))
+    outside = (y < F.least(e["y1"], e["y2"])) | (y > F.greatest(e["y1"], e["y2"])) | (x > F.greatest(e["x1"], e["x2"]))
+    return F.when(outside, 0).when(x < F.least(e["x1"], e["x2"]), straddles.cast("int")).otherwise(near)
 
 
 def _on_edge(e: Column, x: Column, y: Column) -> Column:
-    flat = (e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"])
-    return flat & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    return _relation(e, x, y) == 2
+
+
+def inside_given(edges: Column, x: Column, y: Column, odd: Column) -> Column:
+    """Whether a point is on none of the edges and inside by the even-odd rule, ``odd`` telling of edges not in the array."""
+    seen = F.transform(edges, lambda e: _relation(e, x, y))
+    crossings = F.aggregate(seen, F.lit(0), lambda s, r: F.when((s == 2) | (r == 2), 2).otherwise(s.bitwiseXOR(r)))
+    return F.when(crossings == 2, F.lit(False)).otherwise((crossings == 1) != odd)
 
 
 def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies inside by the even-odd rule and on no edge."""
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(_crosses(e, x, y), F.lit(False)))) % 2 == 1
-    return odd & ~F.exists(edges, lambda e: _on_edge(e, x, y))
+    """Whether a point lies inside by the even-odd rule and on no edge, exactly for the coordinates as they are."""
+    return inside_given(edges, x, y, F.lit(False))
 
 
 def meets_box(edges: Column, west: float, south: float, east: float, north: float) -> Column:

@@ -15,8 +15,12 @@ union all select area_ord, area_name, x0 + 1, y0, x0 + 1, y0 + 1 from area_base
 union all select area_ord, area_name, x0 + 1, y0 + 1, x0 + cast(0.5 as double), y0 + cast(0.25 as double) from area_base
 union all select area_ord, area_name, x0 + cast(0.5 as double), y0 + cast(0.25 as double), x0, y0 + 1 from area_base
 union all select area_ord, area_name, x0, y0 + 1, x0, y0 from area_base"""
-CROSSING = "sum(case when (y1 > {y}) <> (y2 > {y}) and {x} < (x2 - x1) * ({y} - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1"
-ON_EDGE = "max(case when (x2 - x1) * ({y} - y1) = (y2 - y1) * ({x} - x1) and {x} between least(x1, x2) and greatest(x1, x2) and {y} between least(y1, y2) and greatest(y1, y2) then 1 else 0 end)"
+#: Side of the edge on which a point lies, exactly: corners are quarters, and coordinates are whole multiples of 2 to the -62.
+UNIT = "cast(4611686018427387904 as hugeint)"
+SIDE = """(cast((x2 - x1) * 4 as hugeint) * (cast({y} * 4611686018427387904.0 as hugeint) - cast(y1 * 4 as hugeint) * ({unit} // 4))
+  - (cast({x} * 4611686018427387904.0 as hugeint) - cast(x1 * 4 as hugeint) * ({unit} // 4)) * cast((y2 - y1) * 4 as hugeint))""".replace("{unit}", UNIT)
+CROSSING = f"sum(case when (y1 > {{y}}) <> (y2 > {{y}}) and {SIDE} <> 0 and ({SIDE} > 0) = (y2 > y1) then 1 else 0 end) % 2 = 1"
+ON_EDGE = f"max(case when {SIDE} = 0 and {{x}} between least(x1, x2) and greatest(x1, x2) and {{y}} between least(y1, y2) and greatest(y1, y2) then 1 else 0 end)"
 INSIDE = "having " + CROSSING + " and " + ON_EDGE + " = 0"
 
 
@@ -73,7 +77,7 @@ IN_BOX = """select area_ord, area_name from area_edges where area_name like 'NAT
   or max(case when coalesce((x1 - 1.3) * (x2 - 1.3) <= 0 and y1 + (y2 - y1) * (1.3 - x1) / nullif(x2 - x1, 0) between 0.9 and 3.1, false)
     or coalesce((x1 - 2.9) * (x2 - 2.9) <= 0 and y1 + (y2 - y1) * (2.9 - x1) / nullif(x2 - x1, 0) between 0.9 and 3.1, false)
     or coalesce((y1 - 0.9) * (y2 - 0.9) <= 0 and x1 + (x2 - x1) * (0.9 - y1) / nullif(y2 - y1, 0) between 1.3 and 2.9, false)
-    or coalesce((y1 - 3.1) * (y2 - 3.1) <= 0 and x1 + (x2 - x1) * (3.1 - y1) / nullif(y2 - y1, 0) between 1.3 and 2.9, false) then 1 else 0 end) = 1""".format(inside=CROSSING.format(x="1.3", y="0.9"), edge=ON_EDGE.format(x="1.3", y="0.9"))
+    or coalesce((y1 - 3.1) * (y2 - 3.1) <= 0 and x1 + (x2 - x1) * (3.1 - y1) / nullif(y2 - y1, 0) between 1.3 and 2.9, false) then 1 else 0 end) = 1""".format(inside=CROSSING.format(x="cast(1.3 as double)", y="cast(0.9 as double)"), edge=ON_EDGE.format(x="cast(1.3 as double)", y="cast(0.9 as double)"))
 DETAILS = "concat_ws(chr(10), nullif(address, ''), 'Units: ' || nullif(sub_units, ''), entry_count || ' separate HMO entries at this address', 'ID: ' || nullif(hmo_id, ''), 'Start: ' || nullif(licence_start, ''), 'End: ' || nullif(licence_end, ''))"
 PLAIN = "case when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) else cast({c} as varchar) end"
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ def areas(spark):
 
 
 def inside(rings, x, y):
+    """By the even-odd rule and off all edges, in rational numbers."""
+    x, y = Fraction(x), Fraction(y)
+    rings = [[tuple(map(Fraction, p)) for p in r] for r in rings]
     edges = [(*a, *b) for r in rings for a, b in zip(r, r[1:], strict=False)]
     for x1, y1, x2, y2 in edges:
         if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
@@ -54,6 +58,76 @@ def test_large_areas_among_small_ones(spark):
         assert {r["point_id"]: r["area_name"] for r in got.collect()} == expected
 
 
+def star(n, seed, cx=0.0, cy=0.0):
+    """A closed ring of n jagged edges around a centre."""
+    rng = random.Random(seed)
+    ring = [[cx + r * math.cos(2 * math.pi * i / n), cy + r * math.sin(2 * math.pi * i / n)] for i in range(n) for r in [rng.uniform(2.0, 3.0)]]
+    return [*ring, ring[0]]
+
+
+def test_areas_of_many_edges_are_clipped_to_cells(spark):
+    ring, hole = star(6000, 1), star(700, 2)
+    hole = [[x / 4, y / 4] for x, y in hole]
+    shapes = spark.createDataFrame([(1, "star", [ring, hole]), (2, "other", [star(40, 3, 2.0, 2.0)])], "area_ord long, area_name string, rings array<array<array<double>>>")
+    rng = random.Random(5)
+    pts = [(rng.uniform(-3.2, 3.2), rng.uniform(-3.2, 3.2)) for _ in range(500)] + [tuple(rng.choice(ring)) for _ in range(30)]
+    pts += [(ring[i][0], rng.uniform(-3, 3)) for i in range(0, 600, 20)] + [(rng.uniform(-3, 3), ring[i][1]) for i in range(0, 600, 20)]
+    numbered = [(i, x, y) for i, (x, y) in enumerate(pts)]
+    kinds = [("star", [ring, hole]), ("other", [star(40, 3, 2.0, 2.0)])]
+    expected = {i: name for i, x, y in numbered for name in [next((n for n, r in kinds if inside(r, x, y)), None)] if name}
+    points = spark.createDataFrame(numbered, "point_id long, lon double, lat double")
+    for cell in (None, 0.5):
+        got = spatial.points_in_areas(points, shapes, cell)
+        assert {r["point_id"]: r["area_name"] for r in got.collect()} == expected
+    held = spatial.covering(spatial.levelled(spatial.area_edges(shapes), 5.0)).select(F.explode("shapes").alias("s")).where("s.area_ord = 1")
+    most, every, turns = held.agg(F.max(F.size("s.edges")), F.sum(F.size("s.edges")), F.sum(F.size("s.turns"))).first()
+    assert most < 150 and every < 6700 * 20 and turns < 6700 * 20  # an edge here spans a dozen cells; not 6,700 edges in each of 9,000 cells
+
+
+def test_crowded_cells_are_salted(spark):
+    rng = random.Random(6)
+    pts = [(i, rng.uniform(0.0, 1.0), rng.uniform(0.0, 1.0)) for i in range(4000)] + [(4000 + i, rng.uniform(-4, 4), rng.uniform(-4, 4)) for i in range(200)]
+    points = spark.createDataFrame(pts, "point_id long, lon double, lat double")
+    plain = {tuple(r) for r in spatial.points_in_areas(points, areas(spark), 2.0).collect()}
+    salted = spatial.points_in_areas(points, areas(spark), 2.0, broadcast_parts=0)
+    assert {tuple(r) for r in salted.collect()} == plain and plain
+    left, right = spatial._salted(points.withColumns({"_cx": F.floor("lon"), "_cy": F.floor("lat")}), spark.createDataFrame([(0, 0), (3, 3)], "_cx long, _cy long"), "point_id")
+    shares = [r["count"] for r in left.where("_cx = 0 and _cy = 0").groupBy("_salt").count().collect()]
+    assert len(shares) == spatial.SALTS and max(shares) < 3 * 4000 / spatial.SALTS
+    assert {(r["_cx"], r["count"]) for r in right.groupBy("_cx").count().collect()} == {(0, spatial.SALTS), (3, 1)}
+
+
+def test_exact_at_the_border(spark):
+    """Points one unit in the last place around edges, against rational arithmetic."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(3000):
+        scale = 10.0 ** rng.randint(-3, 3)
+        x1, y1, x2, y2 = (rng.uniform(-1, 1) * scale for _ in range(4))
+        t = rng.choice([0.0, 1.0, 0.5, rng.random()])
+        x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+        for _ in range(rng.randint(0, 2)):
+            x = math.nextafter(x, rng.choice([-1e9, 1e9]))
+        rows.append((i, x1, y1, x2, y2, x, y))
+    def sign(r):
+        x1, y1, x2, y2, x, y = map(Fraction, r[1:])
+        d = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+        return (d > 0) - (d < 0)
+    df = spark.createDataFrame(rows, "i long, x1 double, y1 double, x2 double, y2 double, x double, y double")
+    got = df.select("i", G.side_of({c: F.col(c) for c in ("x1", "y1", "x2", "y2")}, F.col("x"), F.col("y")).alias("s"))
+    assert {r["i"]: r["s"] for r in got.collect()} == {r[0]: sign(r) for r in rows}
+    triangle = [[0.1, 0.1], [0.7, 0.3], [0.2, 0.9], [0.1, 0.1]]
+    pts = []
+    for (ax, ay), (bx, by) in zip(triangle, triangle[1:], strict=False):
+        for k in range(60):
+            x, y = ax + (bx - ax) * k / 59, ay + (by - ay) * k / 59
+            pts += [(x, y), (math.nextafter(x, 9), y), (math.nextafter(x, -9), y), (x, math.nextafter(y, 9))]
+    shape = spark.createDataFrame([(1, "t", [triangle])], "area_ord long, area_name string, rings array<array<array<double>>>")
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "point_id long, lon double, lat double")
+    found = {r["point_id"] for r in spatial.points_in_areas(points, shape, 0.05).collect()}
+    assert found == {i for i, (x, y) in enumerate(pts) if inside([triangle], x, y)}
+
+
 def test_no_areas(spark):
     none = areas(spark).where("area_ord = 3")
     assert spatial.points_in_areas(spark.createDataFrame([(1, 1.0, 1.0)], "point_id long, lon double, lat double"), none).count() == 0

@@ -18,6 +18,7 @@ are much alike without being one component, or that has branched and is still a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,13 +164,13 @@ def _within(members: DataFrame, key: str) -> DataFrame:
 
 
 def _by_rare_tokens(crowds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs across components of crowds, exactly: what is similar enough shares a rare token early enough.
+    """``(a, b, bits)`` across components of crowds, exactly: what is similar enough shares a rare token early enough; written.
 
     Tokens are ordered by their frequency among the crowds. A set of n meets larger ones by its first
     ``n - ceil(170 n / 185) + 1`` tokens, smaller ones by its first ``n - ceil(85 n / 100) + 1``; and at their first common
     token enough tokens must lie ahead in both. Copies that differ from an original differ in rare tokens, which come first.
     """
-    members = written(crowds.select("cls", "root", "n").distinct())
+    members = written(crowds.select("cls", "root", "n", *BITS).distinct())
     sets = sets_of(classes.join(members.select("cls"), "cls", "left_semi").select("cls", "k1", "k2", "least"), docs)
     rows = written(sets.select("cls", F.explode("members").alias("token")))
     counts = written(rows.groupBy("token").agg(F.count("*").alias("held")))
@@ -179,13 +180,29 @@ def _by_rare_tokens(crowds: DataFrame, classes: DataFrame, docs: DataFrame) -> D
     index = F.size("sorted") - least((2 * PERCENT, 100 + PERCENT)) + 1
     placed = ranked.select("cls", index.alias("index"), F.posexplode(early).alias("place", "at")).select("cls", "index", "place", F.col("at.token").alias("token"))
     placed = written(placed.join(members, "cls"))
-    side = lambda df, tag: df.select("token", *(F.col(c).alias(f"{tag}{c}") for c in ("cls", "root", "n", "place")))
+    side = lambda df, tag: df.select("token", *(F.col(c).alias(f"{tag}{c}") for c in ("cls", "root", "n", "place", *BITS)))
     ahead = 1 + F.least(F.col("l_n") - F.col("l_place") - 1, F.col("r_n") - F.col("r_place") - 1)
     enough = (100 + PERCENT) * ahead >= PERCENT * (F.col("l_n") + F.col("r_n"))
     smaller = (F.col("l_n") < F.col("r_n")) | ((F.col("l_n") == F.col("r_n")) & (F.col("l_cls") < F.col("r_cls")))
     fits = smaller & (F.col("l_root") != F.col("r_root")) & (100 * F.col("l_n") >= PERCENT * F.col("r_n")) & enough
     met = side(placed.where("place < index"), "l_").join(side(placed, "r_"), "token").where(fits)
-    return met.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b"))
+    bits = sum((F.bit_count(F.col(f"l_{x}").bitwiseXOR(F.col(f"r_{x}"))) for x in BITS), F.lit(0))
+    return written(met.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b"), bits.alias("bits")).distinct())
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of ``(a, b, bits)`` each class with the one that it seems nearest to."""
+    both = pairs.select("a", "b", "bits").union(pairs.select("b", "a", "bits"))
+    best = both.groupBy("a").agg(F.min_by("b", F.col("bits") * (1 << 56) + F.shiftrightunsigned(F.xxhash64("b"), 8)).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of ``(a, b)`` those in different components."""
+    known = broadcast_if_small(roots)
+    for c in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -197,26 +214,35 @@ def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     shared = shared_nodes(classes.select("cls", "n", *BITS, "tokens").mapInArrow(_first_nodes, NODES))
     pairs = written(_with_pivots(shared).distinct())
     roots = spark.createDataFrame([], "node long, root long")
+    pending = None
     while True:
         if not pairs.isEmpty():
             fresh = confirmed(pairs, classes, docs, PERCENT)
             if not fresh.isEmpty():
                 roots = merged_components(roots, fresh)
-        if shared is None:
+        wanted = []
+        if pending is not None:
+            wanted.append(_across(pending, roots))
+            pending = None
+        if shared is not None:
+            open_, shared = _unsettled(shared, roots), None
+            crowds = open_.where(F.col("members") > SMALL)
+            wanted.append(_within(open_.where(F.col("members") <= SMALL), "node"))
+            parting = (F.col("apart") > ALIKE) & F.lit(depth < STEPS)
+            tight, loose = written(crowds.where(~parting)), written(crowds.where(parting))
+            if not tight.isEmpty():
+                # First each class with its nearest; what that puts into one component needs no comparing later.
+                pending = _by_rare_tokens(tight, classes, docs)
+                wanted.append(_nearest(pending))
+            if not loose.isEmpty():
+                told = loose.select("node", "tree", "cls", "n", *BITS).join(classes.select("cls", "tokens"), "cls")
+                shared = shared_nodes(told.mapInArrow(_branches(depth), NODES))
+                wanted.append(_with_pivots(shared))
+                depth += 1
+        if not wanted:
             return roots
-        open_ = _unsettled(shared, roots)
-        crowds = open_.where(F.col("members") > SMALL)
-        wanted, shared = _within(open_.where(F.col("members") <= SMALL), "node"), None
-        parting = (F.col("apart") > ALIKE) & F.lit(depth < STEPS)
-        tight, loose = written(crowds.where(~parting)), written(crowds.where(parting))
-        if not tight.isEmpty():
-            wanted = wanted.union(_by_rare_tokens(tight, classes, docs))
-        if not loose.isEmpty():
-            told = loose.select("node", "tree", "cls", "n", *BITS).join(classes.select("cls", "tokens"), "cls")
-            shared = shared_nodes(told.mapInArrow(_branches(depth), NODES))
-            wanted, depth = wanted.union(_with_pivots(shared)), depth + 1
-        pairs = written(wanted.distinct())
-        if shared is None and pairs.isEmpty():
+        pairs = written(reduce(DataFrame.union, wanted).distinct())
+        if shared is None and pending is None and pairs.isEmpty():
             return roots
 
 

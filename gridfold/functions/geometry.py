@@ -8,9 +8,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Factor that splits a double into two halves of 26 bits, and the relative error of a determinant of doubles.
+SPLITTER, DETERMINANT_ERROR = 134217729.0, 4e-16
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _product_parts(p: Column) -> Column:
+    """Two doubles whose sum is ``sign * a * b`` without any error, for a struct of the three."""
+    high = lambda v: v * SPLITTER - (v * SPLITTER - v)
+    halves = F.struct((p["a"] * p["b"]).alias("p"), high(p["a"]).alias("ah"), high(p["b"]).alias("bh"), p["a"].alias("a"), p["b"].alias("b"), p["sign"].alias("sign"))
+
+    def parts(h: Column) -> Column:
+        al, bl = h["a"] - h["ah"], h["b"] - h["bh"]
+        error = ((h["ah"] * h["bh"] - h["p"]) + h["ah"] * bl + al * h["bh"]) + al * bl
+        return F.array(h["p"] * h["sign"], error * h["sign"])
+
+    return _let(halves, parts)
+
+
+def rounded(value: Column, decimals: int = 6) -> Column:
+    """``value`` rounded as its exact binary value asks, ties to the even digit; what has no such decimals stays as it is.
+
+    The product with the power of ten is known without error, so its distance from the middle between two
+    decimals is, too.
+    """
+    scale = float(10**decimals)
+    parts = _product_parts(F.struct(value.alias("a"), F.lit(scale).alias("b"), F.lit(1.0).alias("sign")))
+    known = _let(parts, lambda p: F.struct(p[0].alias("p"), p[1].alias("e"), F.floor(p[0]).cast("double").alias("k")))
+
+    def near(t: Column) -> Column:
+        over = (t["p"] - (t["k"] + 0.5)) + t["e"]
+        up = (over > 0) | ((over == 0) & (t["k"] % 2 != 0))
+        return F.when(up, t["k"] + 1).otherwise(t["k"]) / scale
+
+    exact = _let(known, near)
+    return F.when(F.abs(value) < 2.0**52 / scale, F.when((exact == 0) & (value < 0), F.lit(-0.0)).otherwise(exact)).otherwise(value)
+
+
 def way_ring(geometry: Column) -> Column:
     """Closed ring of ``[lon, lat]``, rounded to 6 decimals, from an array of ``(lat, lon)`` nodes."""
-    open_ring = F.transform(geometry, lambda g: F.array(F.round(g["lon"], 6), F.round(g["lat"], 6)))
+    open_ring = F.transform(geometry, lambda g: F.array(rounded(g["lon"]), rounded(g["lat"])))
     first, last = F.element_at(open_ring, 1), F.element_at(open_ring, -1)
     return F.when(first == last, open_ring).otherwise(F.concat(open_ring, F.array(first)))
 
@@ -44,7 +85,7 @@ def centroid(ring: Column) -> Column:
         )
 
     def finish(s: Column) -> Column:
-        by = lambda area, line, at: F.round(at + F.when(s["a"] != 0, area / (3 * F.nullif(s["a"], zero))).when(s["n"] != 0, line / F.nullif(s["n"], zero)).otherwise(zero), 6)
+        by = lambda area, line, at: rounded(at + F.when(s["a"] != 0, area / (3 * F.nullif(s["a"], zero))).when(s["n"] != 0, line / F.nullif(s["n"], zero)).otherwise(zero))
         return F.struct(by(s["x"], s["lx"], x0).alias("lon"), by(s["y"], s["ly"], y0).alias("lat"))
 
     return F.aggregate(ring_edges(ring), start, step, finish)
@@ -57,28 +98,6 @@ def envelope(edges: Column) -> Column:
     return F.struct(low("x").alias("minx"), low("y").alias("miny"), high("x").alias("maxx"), high("y").alias("maxy"))
 
 
-#: Factor that splits a double into two halves of 26 bits, and the relative error of a determinant of doubles.
-SPLITTER, DETERMINANT_ERROR = 134217729.0, 4e-16
-
-
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)``, with the value computed once however often it is used."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _product_parts(p: Column) -> Column:
-    """Two doubles whose sum is ``sign * a * b`` without any error, for a struct of the three."""
-    high = lambda v: v * SPLITTER - (v * SPLITTER - v)
-    halves = F.struct((p["a"] * p["b"]).alias("p"), high(p["a"]).alias("ah"), high(p["b"]).alias("bh"), p["a"].alias("a"), p["b"].alias("b"), p["sign"].alias("sign"))
-
-    def parts(h: Column) -> Column:
-        al, bl = h["a"] - h["ah"], h["b"] - h["bh"]
-        error = ((h["ah"] * h["bh"] - h["p"]) + h["ah"] * bl + al * h["bh"]) + al * bl
-        return F.array(h["p"] * h["sign"], error * h["sign"])
-
-    return _let(halves, parts)
-
-
 def _sign_of_sum(terms: Column) -> Column:
     """Sign of the exact sum of doubles: each term is added to an expansion, whose parts do not overlap."""
     none = F.array().cast("array<double>")

@@ -128,6 +128,20 @@ def test_exact_at_the_border(spark):
     assert found == {i for i, (x, y) in enumerate(pts) if inside([triangle], x, y)}
 
 
+def test_rounding_of_the_binary_value(spark):
+    """Near ties at the sixth decimal, one unit in the last place around them, and large and small values."""
+    rng = random.Random(9)
+    values = [0.0, -1e-7, 2.5e-6, 0.5e-6, 1.5e-6, 1e15, -3e10, 5e-324, 1234567.1234565]
+    for _ in range(33_000):
+        tie = (rng.randint(-180_000_000, 180_000_000) + 0.5) / 1e6
+        values += [tie, math.nextafter(tie, 1e9), math.nextafter(tie, -1e9)]
+    values += [(k + 0.5) / 2**20 for k in range(1000)] + [rng.uniform(-1, 1) * 10.0 ** rng.randint(-8, 9) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double").repartition(4)
+    got = {r["i"]: r["r"] for r in df.select("i", G.rounded(F.col("v")).alias("r")).collect()}
+    wrong = [(v, got[i]) for i, v in enumerate(values) if math.copysign(1, got[i]) != math.copysign(1, round(v, 6)) or got[i] != round(v, 6)]
+    assert not wrong and len(got) > 100_000
+
+
 def test_no_areas(spark):
     none = areas(spark).where("area_ord = 3")
     assert spatial.points_in_areas(spark.createDataFrame([(1, 1.0, 1.0)], "point_id long, lon double, lat double"), none).count() == 0

@@ -192,3 +192,35 @@ def test_headers_by_file(spark, tmp_path):
 def test_numbers_read_from_the_left(spark, tmp_path):
     (tmp_path / "pc.csv").write_text("lsoa,postcode,centroid_lon,centroid_lat\nN,OX1 1AA, 1.5x,-2e1z\nM,OX1 1AB,.5,x1\n")
     assert [r[1:] for r in readers.postcode_lookup_csv(spark, str(tmp_path / "pc.csv")).orderBy("ord").collect()] == [("OX1 1AA", "N", -20.0, 1.5), ("OX1 1AB", "M", 0.0, 0.5)]
+
+
+def test_area_density_from_files_to_files(spark, tmp_path):
+    """Points and areas as features, and the metric as CSV with CRLF in the order of the areas, byte by byte."""
+    import json
+
+    square = lambda x: [[[x, 51.72], [x + 0.01, 51.72], [x + 0.01, 51.75], [x, 51.75], [x, 51.72]]]
+    shapes = [("Oxford 002", -1.25), ("Oxford 001", -1.23), ('Oxford, "003"', -1.20), ("Cherwell 1", -1.28)]
+    collection = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": square(x)}, "properties": {"LSOA21NM": n, "code": i}} for i, (n, x) in enumerate(shapes)]}
+    (tmp_path / "areas.geojson").write_text(json.dumps(collection))
+    nodes = [("pub", -1.245, {"name": "The Bell"}), ("cafe", -1.246, {}), ("bar", -1.225, {}), ("pub", -1.275, {}), ("pub", -1.0, {})]
+    elements = [{"type": "node", "id": i, "lat": 51.73, "lon": x, "tags": {"amenity": a, **t}} for i, (a, x, t) in enumerate(nodes)]
+    (tmp_path / "nodes.json").write_text(json.dumps({"elements": elements}))
+    written = pipelines.area_density_files(spark, str(tmp_path / "nodes.json"), str(tmp_path / "areas.geojson"), str(tmp_path / "out"), prefix="Oxford")
+    assert written == {"amenities": 3, "neighbourhoods": 3, "metric": 3}
+    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "out/metric").glob("*.csv")))
+    assert text == b'neighbourhood,value,value_label\r\nOxford 002,2,OSM amenity count (placeholder)\r\nOxford 001,1,OSM amenity count (placeholder)\r\n"Oxford, ""003""",0,OSM amenity count (placeholder)\r\n'
+    features = [json.loads(x) for p in sorted((tmp_path / "out/neighbourhoods").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [(f["properties"]["LSOA21NM"], f["properties"]["amenity_count"]) for f in features] == [("Oxford 002", 2), ("Oxford 001", 1), ('Oxford, "003"', 0)]
+    assert features[0]["geometry"] == {"type": "Polygon", "coordinates": square(-1.25)}
+    points = [json.loads(x) for p in (tmp_path / "out/amenities").glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted((f["properties"]["name"], f["properties"]["amenity"], f["properties"]["lsoa"]) for f in points) == [("", "bar", "Oxford 001"), ("", "cafe", "Oxford 002"), ("The Bell", "pub", "Oxford 002")]
+    (tmp_path / "register.csv").write_text("neighbourhood,x\nB,1\n a,2\nb ,3\n")
+    assert pipelines.preaggregate_files(spark, str(tmp_path / "register.csv"), str(tmp_path / "counts")) == 2
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "counts").glob("*.csv"))) == b"neighbourhood,value,value_label\r\na,1,HMO count\r\nB,2,HMO count\r\n"
+
+
+def test_rejected_ways_are_a_result(spark):
+    ways = spark.createDataFrame([(1, "way", {"building": "yes", "addr:housenumber": "1", "addr:street": "A"}, [(51.75, -1.25), (51.76, -1.25), (51.75, -1.25)])], "ord long, type string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+    areas = spark.createDataFrame([], "area_ord long, area_name string, rings array<array<array<double>>>")
+    made, places, rejected = pipelines.build_lookup(ways, areas)
+    assert made.count() == 0 and places.count() == 0 and [r["ord"] for r in rejected.collect()] == [1]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gridfold.llm.common import LOWER_TABLE, broadcast_if_small, spread_join, table, text_blocks, text_or_empty, written
 from gridfold.llm.components import merged_components
 from gridfold.llm.hashing import mixed
-from gridfold.llm.setlinks import confirmed, set_keys, sets_of, shingle_sets
+from gridfold.llm.setlinks import confirmed, nearest_pairs, pairs_across, set_keys, sets_of, shingle_sets
 
 PERCENT = 85
 TOKENS, TREES, SMALL = 64, 6, 64
@@ -190,21 +190,6 @@ def _by_rare_tokens(crowds: DataFrame, classes: DataFrame, docs: DataFrame) -> D
     return written(met.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b"), bits.alias("bits")).distinct())
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Of ``(a, b, bits)`` each class with the one that it seems nearest to."""
-    both = pairs.select("a", "b", "bits").union(pairs.select("b", "a", "bits"))
-    best = both.groupBy("a").agg(F.min_by("b", F.col("bits") * (1 << 56) + F.shiftrightunsigned(F.xxhash64("b"), 8)).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of ``(a, b)`` those in different components."""
-    known = broadcast_if_small(roots)
-    for c in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-
-
 def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``(node, root)`` of all classes with a link, ``root`` the smallest class reachable.
 
@@ -222,7 +207,7 @@ def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
                 roots = merged_components(roots, fresh)
         wanted = []
         if pending is not None:
-            wanted.append(_across(pending, roots))
+            wanted.append(pairs_across(pending, roots))
             pending = None
         if shared is not None:
             open_, shared = _unsettled(shared, roots), None
@@ -233,7 +218,7 @@ def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
             if not tight.isEmpty():
                 # First each class with its nearest; what that puts into one component needs no comparing later.
                 pending = _by_rare_tokens(tight, classes, docs)
-                wanted.append(_nearest(pending))
+                wanted.append(nearest_pairs(pending))
             if not loose.isEmpty():
                 told = loose.select("node", "tree", "cls", "n", *BITS).join(classes.select("cls", "tokens"), "cls")
                 shared = shared_nodes(told.mapInArrow(_branches(depth), NODES))

@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from gridfold.llm.common import LOWER_TABLE, broadcast_if_small, spread_join, text_blocks, text_or_empty, written
 from gridfold.llm.components import merged_components
 from gridfold.llm.hashing import PRIME, mixed
-from gridfold.llm.setlinks import confirmed, set_keys, shingle_sets
+from gridfold.llm.setlinks import confirmed, nearest_pairs, pairs_across, set_keys, shingle_sets
 from gridfold.llm.simhash import bit_counts
 
 FIELDS, SEGMENT, LOOSE = 5, 32, 4
 SEGMENTS = FIELDS * 64 // SEGMENT
 #: Similarity in percent, and differing bits up to which sets are compared: those expected at 0.8 and 2.5 deviations.
 PERCENT, MOST_BITS = 80, 64
+#: Classes from which a component is large: its members are compared with those of small ones, from the others' side.
+LARGE = 32
 #: Long columns that hold the places of the narrowest bits, three segments in each.
 PACKED = -(-SEGMENTS // 3)
 BITS = [f"b{i}" for i in range(FIELDS)]
@@ -124,16 +126,31 @@ def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return roots
     roots = merged_components(roots, confirmed(pairs, classes, docs, PERCENT))
-    known = written(members.join(broadcast_if_small(roots.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    tops = known.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.when(F.col("cls") == F.col("pivot"), F.col("root"))).alias("top"))
-    open_ = written(spread_join(known, written(tops.where("least < most").select("key", "top")), "key"))
-    open_ = written(open_.join(broadcast_if_small(classes.select("cls", *BITS)), "cls"))
-    # Of two members in different components at least one is not in the pivot's.
-    outside = _suffixed(open_.where("root <> top"), "_l", "key", "cls", "root", *BITS)
-    every = _suffixed(open_, "_r", "key", "cls", "root", *BITS)
-    met = outside.join(every, (F.col("key_l") == F.col("key_r")) & (F.col("root_l") != F.col("root_r")) & (distance("_l", "_r") <= MOST_BITS))
-    further = written(met.select(F.least("cls_l", "cls_r").alias("a"), F.greatest("cls_l", "cls_r").alias("b")).distinct())
-    return roots if further.isEmpty() else merged_components(roots, confirmed(further, classes, docs, PERCENT))
+    # Pairs across components: of a small one with any, and of two large ones, which few keys hold.
+    large = roots.groupBy("root").count().where(F.col("count") >= LARGE).select("root", F.lit(True).alias("large"))
+    named = roots.withColumnRenamed("node", "cls").join(broadcast_if_small(large), "root", "left")
+    known = members.select("key", "cls").join(broadcast_if_small(named), "cls", "left")
+    known = known.withColumns({"root": F.coalesce("root", "cls"), "large": F.coalesce("large", F.lit(False))})
+    known = written(known.join(broadcast_if_small(classes.select("cls", *BITS)), "cls"))
+    bigs = known.where("large")
+    several = written(bigs.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    met = _across_components(known.where("not large"), known).union(_across_components(*[spread_join(bigs, several, "key")] * 2))
+    further = written(met.groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    # First each class with its nearest; what that puts into one component needs no comparing later.
+    for chosen in (nearest_pairs, lambda pairs: pairs_across(pairs, roots)):
+        pairs = written(chosen(further))
+        if not pairs.isEmpty():
+            roots = merged_components(roots, confirmed(pairs, classes, docs, PERCENT))
+    return roots
+
+
+def _across_components(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(a, b, bits)`` of members that share a key, are in different components and differ in at most ``MOST_BITS`` bits."""
+    columns = ("key", "cls", "root", *BITS)
+    bits = distance("_l", "_r")
+    shared = (F.col("key_l") == F.col("key_r")) & (F.col("root_l") != F.col("root_r")) & (bits <= MOST_BITS)
+    met = _suffixed(left, "_l", *columns).join(_suffixed(right, "_r", *columns), shared)
+    return met.select(F.least("cls_l", "cls_r").alias("a"), F.greatest("cls_l", "cls_r").alias("b"), bits.alias("bits"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

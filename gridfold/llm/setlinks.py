@@ -101,3 +101,18 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     met = dealt.join(left, "a").join(right, ["b", "copy"])
     common = F.size(F.array_intersect("left", "right")).cast("long")
     return written(met.where(alike(percent, common, F.size("left"), F.size("right"))).select("a", "b"))
+
+
+def nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """Of ``(a, b, bits)`` each class with the one that it seems nearest to."""
+    both = pairs.select("a", "b", "bits").union(pairs.select("b", "a", "bits"))
+    best = both.groupBy("a").agg(F.min_by("b", F.col("bits") * (1 << 56) + F.shiftrightunsigned(F.xxhash64("b"), 8)).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def pairs_across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of ``(a, b)`` those in different components."""
+    known = broadcast_if_small(roots)
+    for c in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: Factor that splits a double into two halves of 26 bits, and the relative error of a determinant of doubles.
-SPLITTER, DETERMINANT_ERROR = 134217729.0, 4e-16
+#: Factor that splits a double into two halves of 26 bits, and the relative errors of a determinant and of a product of doubles.
+SPLITTER, DETERMINANT_ERROR, PRODUCT_ERROR = 134217729.0, 4e-16, 2.3e-16
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -33,10 +33,16 @@ def _product_parts(p: Column) -> Column:
 def rounded(value: Column, decimals: int = 6) -> Column:
     """``value`` rounded as its exact binary value asks, ties to the even digit; what has no such decimals stays as it is.
 
-    The product with the power of ten is known without error, so its distance from the middle between two
-    decimals is, too.
+    Only a product with the power of ten that is within its own error of the middle between two decimals is
+    computed without error; any other falls to the nearest side as it is.
     """
     scale = float(10**decimals)
+    product, most = value * scale, 2.0**52 / scale
+    close = F.abs(product - F.floor(product) - 0.5) <= F.abs(product) * PRODUCT_ERROR
+    return F.when(F.abs(value) < most, F.when(close, _rounded_exactly(value, scale)).otherwise(F.rint(product) / scale)).otherwise(value)
+
+
+def _rounded_exactly(value: Column, scale: float) -> Column:
     parts = _product_parts(F.struct(value.alias("a"), F.lit(scale).alias("b"), F.lit(1.0).alias("sign")))
     known = _let(parts, lambda p: F.struct(p[0].alias("p"), p[1].alias("e"), F.floor(p[0]).cast("double").alias("k")))
 
@@ -45,15 +51,14 @@ def rounded(value: Column, decimals: int = 6) -> Column:
         up = (over > 0) | ((over == 0) & (t["k"] % 2 != 0))
         return F.when(up, t["k"] + 1).otherwise(t["k"]) / scale
 
-    exact = _let(known, near)
-    return F.when(F.abs(value) < 2.0**52 / scale, F.when((exact == 0) & (value < 0), F.lit(-0.0)).otherwise(exact)).otherwise(value)
+    return _let(_let(known, near), lambda r: F.when((r == 0) & (value < 0), F.lit(-0.0)).otherwise(r))
 
 
 def way_ring(geometry: Column) -> Column:
     """Closed ring of ``[lon, lat]``, rounded to 6 decimals, from an array of ``(lat, lon)`` nodes."""
     open_ring = F.transform(geometry, lambda g: F.array(rounded(g["lon"]), rounded(g["lat"])))
-    first, last = F.element_at(open_ring, 1), F.element_at(open_ring, -1)
-    return F.when(first == last, open_ring).otherwise(F.concat(open_ring, F.array(first)))
+    first, last = (lambda r: F.element_at(r, 1)), (lambda r: F.element_at(r, -1))
+    return _let(open_ring, lambda r: F.when(first(r) == last(r), r).otherwise(F.concat(r, F.array(first(r)))))
 
 
 def ring_edges(ring: Column) -> Column:
@@ -85,7 +90,7 @@ def centroid(ring: Column) -> Column:
         )
 
     def finish(s: Column) -> Column:
-        by = lambda area, line, at: rounded(at + F.when(s["a"] != 0, area / (3 * F.nullif(s["a"], zero))).when(s["n"] != 0, line / F.nullif(s["n"], zero)).otherwise(zero))
+        by = lambda area, line, at: _let(at + F.when(s["a"] != 0, area / (3 * F.nullif(s["a"], zero))).when(s["n"] != 0, line / F.nullif(s["n"], zero)).otherwise(zero), lambda v: rounded(v))
         return F.struct(by(s["x"], s["lx"], x0).alias("lon"), by(s["y"], s["ly"], y0).alias("lat"))
 
     return F.aggregate(ring_edges(ring), start, step, finish)
@@ -134,19 +139,26 @@ def _relation(e: Column, x: Column, y: Column) -> Column:
     """2: the point lies on the edge; 1: the edge crosses the ray from it to the right; else 0."""
     upward, straddles = e["y2"] > e["y1"], (e["y1"] > y) != (e["y2"] > y)
     near = _let(side_of(e, x, y), lambda side: F.when(side == 0, 2).when(straddles & ((side > 0) == upward), 1).otherwise(0))
-    outside = (y < F.least(e["y1"], e["y2"])) | (y > F.greatest(e["y1"], e["y2"])) | (x > F.greatest(e["x1"], e["x2"]))
-    return F.when(outside, 0).when(x < F.least(e["x1"], e["x2"]), straddles.cast("int")).otherwise(near)
+    return F.when(x < F.least(e["x1"], e["x2"]), straddles.cast("int")).otherwise(near)
+
+
+def _reached(e: Column, x: Column, y: Column) -> Column:
+    """Whether the ray from the point to the right meets the edge's box."""
+    return (y >= F.least(e["y1"], e["y2"])) & (y <= F.greatest(e["y1"], e["y2"])) & (x <= F.greatest(e["x1"], e["x2"]))
 
 
 def _on_edge(e: Column, x: Column, y: Column) -> Column:
-    return _relation(e, x, y) == 2
+    return _reached(e, x, y) & (_relation(e, x, y) == 2)
 
 
 def inside_given(edges: Column, x: Column, y: Column, odd: Column) -> Column:
     """Whether a point is on none of the edges and inside by the even-odd rule, ``odd`` telling of edges not in the array."""
-    seen = F.transform(edges, lambda e: _relation(e, x, y))
-    crossings = F.aggregate(seen, F.lit(0), lambda s, r: F.when((s == 2) | (r == 2), 2).otherwise(s.bitwiseXOR(r)))
-    return F.when(crossings == 2, F.lit(False)).otherwise((crossings == 1) != odd)
+
+    def step(s: Column, e: Column) -> Column:
+        return F.when((s == 2) | ~_reached(e, x, y), s).otherwise(_let(_relation(e, x, y), lambda r: F.when(r == 2, 2).otherwise(s.bitwiseXOR(r))))
+
+    crossings = F.aggregate(edges, F.lit(0), step)
+    return _let(crossings, lambda c: (c != 2) & ((c == 1) != odd))
 
 
 def strictly_inside(edges: Column, x: Column, y: Column) -> Column:

@@ -79,8 +79,10 @@ def value_range(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def choropleth_classes(areas: DataFrame, n: int = 4, value: str = "value") -> DataFrame:
-    """``areas`` with ``class_index`` 0 to n - 1: the number of inner breaks at or below the value."""
-    areas = areas.persist()  # one row an area: the size of the breaks, the breaks and the classes read it in turn
+    """``areas`` with ``class_index`` 0 to n - 1: the number of inner breaks at or below the value.
+
+    The size of the breaks, the breaks and the classes read ``areas`` in turn: callers stage what is dear to compute.
+    """
     inner = quantile_breaks(areas, n, value).agg(F.array_sort(F.collect_list("break_value")).alias("_breaks"))  # n - 1 values
     placed = areas.withColumn("_k", F.lit(1)).join(F.broadcast(inner.withColumn("_k", F.lit(1))), "_k")
     known = F.coalesce(F.col(value), F.lit(0))

@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridfold.functions.text import normalise_postcode
 from gridfold.operators.filters import not_blank, with_key
 from gridfold.operators.spatial import points_left_areas
+from gridfold.sources.staging import stage_keyed
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: the first by ``order``; ties go by the other columns."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("f")).select(key, "f.*").select(df.columns)
-
-
-def first_orders(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``(key, order)``: the least order of each key, which names its first row; no other column is carried."""
-    return df.groupBy(key).agg(F.min(order).alias(order))
+    """One row for each key: the first by ``order``, which tells the rows of a key apart; each task keeps one row a key before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(order)))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: the last by ``order``."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("f")).select(key, "f.*").select(df.columns)
+    """One row for each key: the last by ``order``, as in :func:`first_by`."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(order)))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def building_index(buildings: DataFrame, order: str = "ord") -> DataFrame:
@@ -38,6 +35,32 @@ def postcode_index(lookup: DataFrame, order: str = "ord") -> DataFrame:
     return last_by(with_key(rows, "postcode"), "postcode", order)
 
 
+def keyed_buildings(buildings: DataFrame) -> DataFrame:
+    """``(match_key, building_ord)``: the first building of each key, with its ``building_postcode`` where ``buildings`` have ``addr_postcode``."""
+    rows = with_key(buildings, "match_key").select("match_key", F.col("ord").alias("building_ord"), *(normalise_postcode(F.col(c)).alias("building_postcode") for c in buildings.columns if c == "addr_postcode"))
+    return first_by(rows, "match_key", "building_ord")
+
+
+def keyed_postcodes(lookup: DataFrame) -> DataFrame:
+    """``(postcode, area, pc_lat, pc_lon)``: the last row of each normalised postcode."""
+    return postcode_index(lookup).select("postcode", F.col("lsoa").alias("area"), F.col("centroid_lat").alias("pc_lat"), F.col("centroid_lon").alias("pc_lon"))
+
+
+def stage_lookups(buildings: DataFrame, lookup: DataFrame, name: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """What registers are matched with, reduced once and kept as the tables ``{name}_buildings`` and ``{name}_postcodes`` in buckets by key.
+
+    Later registers neither read buildings again nor reduce or shuffle them: see :func:`staged_lookups`.
+    """
+    stage_keyed(keyed_buildings(buildings), f"{name}_buildings", "match_key", buckets)
+    stage_keyed(keyed_postcodes(lookup), f"{name}_postcodes", "postcode", buckets)
+    return staged_lookups(buildings.sparkSession, name)
+
+
+def staged_lookups(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """The tables that :func:`stage_lookups` wrote, for :func:`gridfold.operators.register.match_keyed`."""
+    return spark.table(f"{name}_buildings"), spark.table(f"{name}_postcodes")
+
+
 def postcode_lookup(buildings: DataFrame, areas: DataFrame, order: str = "ord", cell: float | None = None) -> DataFrame:
     """``(postcode, lsoa, centroid_lat, centroid_lon)``: the area at the first building of each postcode.
 
@@ -45,7 +68,8 @@ def postcode_lookup(buildings: DataFrame, areas: DataFrame, order: str = "ord",
     once for each postcode, after the reduction.
     """
     rows = not_blank(buildings, "addr_postcode").select(F.col("addr_postcode").alias("postcode"), F.col(order).alias("ord"), "centroid_lon", "centroid_lat")
-    first = first_by(rows, "postcode", "ord")
+    # Numbers alone are carried, so the reduction is by hash.
+    first = rows.groupBy("postcode").agg(*(F.min_by(c, "ord").alias(c) for c in ("centroid_lon", "centroid_lat")))
     placed = points_left_areas(first.select("postcode", F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("lat")), areas, cell, point_id="postcode")
     return placed.select("postcode", F.col("area_name").alias("lsoa"), F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon"))
 

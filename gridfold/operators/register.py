@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gridfold.functions import text as T
 from gridfold.functions.geometry import feature
 from gridfold.operators.filters import not_blank, with_key
-from gridfold.operators.lookup import first_orders, postcode_index
+from gridfold.operators.lookup import keyed_buildings, keyed_postcodes
+
+#: Rows whose ``ord`` agrees but for so many low bits are joined together first.
+RUN_BITS = 16
 
 
 def parse_register(register: DataFrame) -> DataFrame:
@@ -28,16 +32,16 @@ def match_register(register: DataFrame, buildings: DataFrame, lookup: DataFrame,
     count, by ``ord``. ``kind`` is building, fallback, unplaced or no_postcode. ``require_postcode`` lets a
     building match only rows of its own postcode.
     """
+    return match_keyed(register, keyed_buildings(buildings), keyed_postcodes(lookup), require_postcode)
+
+
+def match_keyed(register: DataFrame, keyed: DataFrame, places: DataFrame, require_postcode: bool = False) -> DataFrame:
+    """:func:`match_register` with lookups that hold one row a key, such as the tables of ``staged_lookups``."""
     # Rows without a postcode or key meet nothing; a key of their own spreads them over all tasks of a join.
     apart = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("\0"), F.xxhash64("ord").cast("string")))
     rows = parse_register(register).withColumns({"postcode_met": apart("postcode"), "key_met": apart("match_key")})
-    places = postcode_index(lookup).select(F.col("postcode").alias("postcode_met"), F.col("lsoa").alias("area"), F.col("centroid_lat").alias("pc_lat"), F.col("centroid_lon").alias("pc_lon"), F.lit(True).alias("pc_known"))
-    rows = rows.join(places, "postcode_met", "left")
-    found = first_orders(with_key(buildings, "match_key"), "match_key", "ord").select(F.col("match_key").alias("key_met"), F.col("ord").alias("building_ord"))
-    if require_postcode:
-        own = buildings.select(F.col("match_key").alias("key_met"), F.col("ord").alias("building_ord"), T.normalise_postcode(F.col("addr_postcode")).alias("building_postcode"))
-        found = found.join(own, ["key_met", "building_ord"])
-    rows = rows.join(found, "key_met", "left")
+    rows = rows.join(places.withColumnRenamed("postcode", "postcode_met").withColumn("pc_known", F.lit(True)), "postcode_met", "left")
+    rows = rows.join(keyed.withColumnRenamed("match_key", "key_met"), "key_met", "left")
     met = F.col("building_ord").isNotNull()
     if require_postcode:
         met = met & F.coalesce(F.col("building_postcode") == F.col("postcode"), F.lit(False))
@@ -46,18 +50,24 @@ def match_register(register: DataFrame, buildings: DataFrame, lookup: DataFrame,
     return rows.select("ord", "id", "address", "licence_start", "licence_end", "sub_unit", "core", F.when(F.col("street") != "", F.col("street")).otherwise(F.col("match_street")).alias("street"), "postcode", "match_key", kind.alias("kind"), area.alias("lsoa"), "building_ord", "pc_lat", "pc_lon")
 
 
-def _joined(column: str) -> Column:
-    """The non-empty values of a column in row order, joined by commas."""
-    kept = F.collect_list(F.when(F.col(column) != "", F.struct("ord", F.col(column).alias("v"))))
+def _joined(column: str, order: str) -> Column:
+    """The non-empty values of a column in order, joined by commas."""
+    kept = F.collect_list(F.when(F.col(column) != "", F.struct(order, F.col(column).alias("v"))))
     return F.array_join(F.transform(F.array_sort(kept), lambda x: x["v"]), ", ")
 
 
 def _fold(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:
-    """One row for each key: properties of its first row, joined ids and sub-units, and the number of rows if several."""
-    first = F.min_by(F.struct(F.col("core").alias("address"), "street", "postcode", "lsoa", "licence_start", "licence_end", *extra), F.col("ord"))
-    folded = rows.groupBy(key).agg(first.alias("f"), _joined("id").alias("hmo_id"), _joined("sub_unit").alias("units"), F.count("*").alias("n"))
+    """One row for each key: properties of its first row, joined ids and sub-units, and the number of rows if several.
+
+    Rows of a key are joined by runs of ``ord`` first, side by side; what is merged last is a row for each run.
+    """
+    whole = isinstance(rows.schema["ord"].dataType, IntegralType)
+    run = F.shiftright(F.col("ord").cast("long"), RUN_BITS) if whole else F.lit(0)
+    first = F.struct("ord", F.struct(F.col("core").alias("address"), "street", "postcode", "lsoa", "licence_start", "licence_end", *extra).alias("f"))
+    runs = rows.groupBy(key, run.alias("run")).agg(F.min_by(first, F.col("ord")).alias("first"), _joined("id", "ord").alias("hmo_id"), _joined("sub_unit", "ord").alias("units"), F.count("*").alias("n"))
+    folded = runs.groupBy(key).agg(F.min_by("first", "run").alias("first"), _joined("hmo_id", "run").alias("hmo_id"), _joined("units", "run").alias("units"), F.sum("n").alias("n"))
     units = F.when((F.col("n") > 1) | (F.col("units") != ""), F.col("units"))
-    return folded.select(key, "f.*", "hmo_id", units.alias("sub_units"), F.when(F.col("n") > 1, F.col("n")).alias("entry_count"))
+    return folded.select(key, "first.f.*", "hmo_id", units.alias("sub_units"), F.when(F.col("n") > 1, F.col("n")).alias("entry_count"))
 
 
 def building_groups(matched: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ MOST_SIDES, EDGES_A_SIDE, FINEST_SIDES = 32, 64, 1024
 BROADCAST_PARTS = 200_000
 #: Tasks that a crowded cell's points are dealt to; a cell is crowded from one point in so many on.
 SALTS, CROWDED = 64, 1000
+#: A row of cells that no area reaches.
+NOWHERE = -(2**62)
 #: Widening of a strip against rounding, as a part of a cell's side.
 MARGIN = 1e-9
 
@@ -123,6 +125,12 @@ def points_in_areas(points: DataFrame, areas: DataFrame, cell: float | None = No
     ``cell`` is the side of the finest cells of ordinary areas, the mean side of the areas if not given. Cells and edges
     of up to ``broadcast_parts`` together are broadcast; beyond it points and cells meet by shuffle, crowded cells salted.
     """
+    placed = _first_areas(points, areas, cell, point_id, broadcast_parts, every=False).where("_first is not null")
+    return placed.select(*points.columns, "_first.area_ord", "_first.area_name")
+
+
+def _first_areas(points: DataFrame, areas: DataFrame, cell: float | None, point_id: str, broadcast_parts: int, every: bool) -> DataFrame:
+    """``points`` with ``_first``, the first area that holds them; points in none are kept, with null, where ``every`` is set."""
     areas = area_edges(areas)
     size = float(cell) if cell else mean_side(areas)
     areas = levelled(areas, size)
@@ -132,25 +140,26 @@ def points_in_areas(points: DataFrame, areas: DataFrame, cell: float | None = No
     cells, x, y = covering(areas), F.col("lon"), F.col("lat")
     levels = sorted(told["levels"]) or [0]  # one for each doubling of the side, so a few at most
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-    rows = points.where(finite(x) & finite(y))
+    placed = finite(x) & finite(y)
+    rows = points if every else points.where(placed)
     for level in levels:
         at = lambda c, level=level: F.floor(c / (size * 2.0**level))
         own = cells.where(F.col("level") == level).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "shapes")
-        dealt, keys = rows.withColumns({"_cx": at(x), "_cy": at(y)}), ["_cx", "_cy"]
+        # Points without a place meet no cell; a key of their own spreads them over all tasks.
+        ways = {"_cx": F.when(placed, at(x)).otherwise(F.xxhash64(point_id)), "_cy": F.when(placed, at(y)).otherwise(F.lit(NOWHERE))}
+        dealt, keys = rows.withColumns(ways if every else {"_cx": at(x), "_cy": at(y)}), ["_cx", "_cy"]
         if told["parts"] <= broadcast_parts:
             own = F.broadcast(own)
         else:
             dealt, own = _salted(dealt, own, point_id)
             keys.append("_salt")
-        met = dealt.join(own, keys, "inner" if len(levels) == 1 else "left")
+        met = dealt.join(own, keys, "inner" if len(levels) == 1 and not every else "left")
         rows = met.withColumn(f"_found{level}", _found(x, y)).drop(*keys, "shapes")
     found = [F.col(f"_found{level}") for level in levels]
-    first = F.least(*found) if len(found) > 1 else found[0]
-    placed = rows.withColumn("_first", first).where("_first is not null")
-    return placed.select(*points.columns, "_first.area_ord", "_first.area_name")
+    return rows.withColumn("_first", F.least(*found) if len(found) > 1 else found[0])
 
 
 def points_left_areas(points: DataFrame, areas: DataFrame, cell: float | None = None, point_id: str = "point_id") -> DataFrame:
     """All ``points``, with the ``area_name`` of the first area that holds them, or the empty string."""
-    inside = points_in_areas(points, areas, cell, point_id=point_id).select(point_id, "area_name")
-    return points.join(inside, point_id, "left").withColumn("area_name", F.coalesce("area_name", F.lit("")))
+    placed = _first_areas(points, areas, cell, point_id, BROADCAST_PARTS, every=True)
+    return placed.select(*points.columns, F.coalesce("_first.area_name", F.lit("")).alias("area_name"))

@@ -11,6 +11,7 @@ from gridfold.functions import geometry as G
 from gridfold.functions import text as T
 from gridfold.operators import density, filters, lookup, register, spatial
 from gridfold.plans import views as V
+from gridfold.sources.staging import checkpointed
 
 BOX = (1.0, 1.0, 4.0, 4.0)
 
@@ -48,7 +49,8 @@ def value_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def choropleth_classes(spark: SparkSession, d: str) -> DataFrame:
-    return density.choropleth_classes(area_point_counts(spark, d)).select("area_name", "value", "class_index")
+    counted = checkpointed(area_point_counts(spark, d))  # one row an area
+    return density.choropleth_classes(counted).select("area_name", "value", "class_index")
 
 
 def legend_ranges(spark: SparkSession, d: str) -> DataFrame:

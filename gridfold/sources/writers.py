@@ -25,6 +25,24 @@ def feature_collection(features: DataFrame, order: str = "ord", column: str = "f
     return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")).alias("document"))
 
 
+def write_feature_collection(features: DataFrame, path: str, order: str = "ord", column: str = "feature") -> int:
+    """One FeatureCollection in the order of ``order`` (no two features share one), written by all tasks; the number of features.
+
+    The files of the folder, one after the other by name, are the document: the first begins with the header and the last ends
+    with the footer, and no row or task holds more than its own features.
+    """
+    lines = features.select(F.lit(1).alias("part"), F.col(order).alias("o"), F.col(column).alias("f"))
+    first = lines.agg(F.min("o")).first()[0]
+    comma = F.when(F.col("o") == F.lit(first), F.lit("")).otherwise(F.lit(","))
+    lines = lines.select("part", "o", F.concat(comma, F.col("f")).alias("value"))
+    ends = [(0, '{"type":"FeatureCollection","features":['), (2, "]}")]
+    frame = features.sparkSession.createDataFrame(ends, "part int, value string").select("part", F.lit(None).cast(lines.schema["o"].dataType).alias("o"), "value")
+    # Counted behind the sort, whose sampling reads what lies before it twice.
+    rows, seen = _counted(lines.union(frame).orderBy("part", "o").select("value"))
+    rows.write.mode("overwrite").text(path)
+    return seen.get["rows"] - len(ends)
+
+
 def write_csv(df: DataFrame, path: str) -> int:
     """CSV with a header and CRLF line ends; the order of ``df`` is kept. The number of rows, counted in the same pass."""
     rows, seen = _counted(df)

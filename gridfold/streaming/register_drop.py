@@ -1,14 +1,16 @@
 """A watched folder of register files; each file that arrives replaces the results of the one before.
 
-A set of results is written to a folder of its own under ``out``; a row appended to ``out/switch`` then makes it
+A set of results is written to a folder of its own under ``out``; a row added under ``out/switch`` then makes it
 the latest in one step, so a reader of :func:`latest_results` never meets results of two registers. Older
-folders stay until the owner of ``out`` removes them.
+folders stay until :func:`retire` removes them.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,34 +23,83 @@ RESULTS = ("building_groups", "fallback_groups", "fallback_features", "areas", "
 SWITCH = "version long, cause string, folder string"
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and the file system it lies on."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held, held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _switches(spark: SparkSession, out: str) -> DataFrame:
     """The sets that were made the latest, one row each; an empty table where ``out`` is new."""
-    spark.createDataFrame([], SWITCH).write.mode("append").parquet(f"{out}/switch")
-    return spark.read.schema(SWITCH).parquet(f"{out}/switch")
+    path, files = _path(spark, f"{out}/switch")
+    return spark.read.schema(SWITCH).option("recursiveFileLookup", True).parquet(f"{out}/switch") if files.exists(path) else spark.createDataFrame([], SWITCH)
+
+
+def _claim(spark: SparkSession, out: str, version: int) -> int:
+    """``version`` or the next one that nobody has claimed, by a file that the file system creates for one claimer only.
+
+    Hadoop's local file system looks before it creates, so there the operating system creates the file. A publisher
+    that dies after its claim leaves a gap in the versions, which harms nobody.
+    """
+    while True:
+        path, files = _path(spark, f"{out}/claims/{version:012d}")
+        try:
+            if files.getScheme() == "file":
+                files.mkdirs(path.getParent())
+                open(path.toUri().getPath(), "x").close()
+            else:
+                files.create(path, False).close()
+            return version
+        except FileExistsError:
+            version += 1
+        except Py4JJavaError as refused:
+            if not files.exists(path):
+                raise refused
+            version += 1
 
 
 def publish(spark: SparkSession, out: str, results: dict[str, DataFrame], cause: str) -> None:
-    """Write a set of results and make it the latest; what was published for the same ``cause`` isn't again."""
+    """Write a set of results and make it the latest; what was published for the same ``cause`` isn't again.
+
+    Of two publishers at the same moment each gets a version of its own, and the higher one is the latest.
+    """
     known = _switches(spark, out)
     if not known.where(F.col("cause") == cause).isEmpty():
         return
-    version, folder = known.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1, f"{out}/set-{uuid.uuid4().hex}"
+    folder = f"{out}/set-{uuid.uuid4().hex}"
     for name, rows in results.items():
         rows.write.parquet(f"{folder}/{name}")
-    spark.createDataFrame([(version, cause, folder)], SWITCH).coalesce(1).write.mode("append").parquet(f"{out}/switch")
+    last = _switches(spark, out).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    version = _claim(spark, out, last + 1)
+    # A folder for each version: writers that share one remove each other's unfinished files.
+    spark.createDataFrame([(version, cause, folder)], SWITCH).coalesce(1).write.parquet(f"{out}/switch/{version:012d}")
+
+
+def retire(spark: SparkSession, out: str, keep: int = 2, grace_seconds: float = 3600.0) -> int:
+    """Delete sets under ``out`` that are older than the grace period and not among the latest ``keep``; their number.
+
+    A set that a dead publisher left unfinished goes, too; readers of a set have the grace period to finish.
+    """
+    rows = _switches(spark, out).orderBy(F.desc("version")).limit(keep).collect()  # ``keep`` rows
+    held = {r["folder"].rsplit("/", 1)[-1] for r in rows}
+    path, files = _path(spark, out)
+    old = [s for s in files.listStatus(path) if s.getPath().getName().startswith("set-") and s.getPath().getName() not in held]
+    gone = [s.getPath() for s in old if s.getModificationTime() <= (time.time() - grace_seconds) * 1000]
+    for folder in gone:
+        files.delete(folder, True)
+    return len(gone)
 
 
 def latest_results(spark: SparkSession, out: str, names: tuple[str, ...] = RESULTS) -> dict[str, DataFrame]:
     """The tables ``names`` of the latest set under ``out``; raises ``FileNotFoundError`` where there is none."""
-    last = spark.read.schema(SWITCH).parquet(f"{out}/switch").orderBy(F.desc("version")).first()
+    last = _switches(spark, out).orderBy(F.desc("version")).first()
     if last is None:
         raise FileNotFoundError(f"{out} has no results yet")
     return {n: spark.read.parquet(f"{last['folder']}/{n}") for n in names}
 
 
-def results_of(matched: DataFrame, areas: DataFrame, n: int = 4, buildings: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of ``RESULTS`` of matched register rows, and ``building_features`` where ``buildings`` have rings."""
-    on_areas = density.metric_on_areas(areas, register.area_counts(matched))
+def results_of(matched: DataFrame, on_areas: DataFrame, n: int = 4, buildings: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of ``RESULTS`` of matched register rows and of areas with their number, and ``building_features`` where ``buildings`` have rings."""
     groups, others = register.building_groups(matched), register.fallback_groups(matched)
     features = {"building_features": register.building_features(groups, buildings)} if buildings is not None and "ring" in buildings.columns else {}
     return features | {
@@ -109,7 +160,9 @@ def watch_registers(spark: SparkSession, folder: str, buildings: DataFrame, post
         rows = None if held.isEmpty() else file_rows(held).persist()
         if rows is not None and not rows.isEmpty():
             matched = register.match_register(rows, buildings, postcodes).persist()
-            publish(batch.sparkSession, out, results_of(matched, areas, n, buildings), f"{checkpoint} {number}")
+            on_areas = density.metric_on_areas(areas, register.area_counts(matched)).persist()
+            publish(batch.sparkSession, out, results_of(matched, on_areas, n, buildings), f"{checkpoint} {number}")
+            on_areas.unpersist()
             matched.unpersist()
         if rows is not None:
             rows.unpersist()

@@ -1,15 +1,16 @@
 """Register matching end to end, and files, writers and the watched folder."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridfold.functions.geometry import feature
-from gridfold.operators import density, register
+from gridfold.operators import density, lookup, register
 from gridfold.plans import pipelines
 from gridfold.sources import readers, writers
-from gridfold.streaming.register_drop import clear_register, latest_results, publish, watch_registers
+from gridfold.streaming.register_drop import clear_register, latest_results, publish, retire, watch_registers
 
 REGISTER = [
     ("A1", "Flat 1, 5 High St, OX1 1AA"), ("A2", "Flat 2, 5 High St, OX1 1AA"), ("", "5 High St, OX1 1AA"), ("A4", "9 Nowhere, ox1  1aa"),
@@ -140,6 +141,7 @@ def test_watched_folder(spark, tmp_path):
     query = watch_registers(spark, str(tmp_path / "in"), made, places, areas, out, str(tmp_path / "cp"))
     query.processAllAvailable()
     query.stop()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
     latest = latest_results(spark, out)
     assert latest["funnel"].first()["total"] == 8 and latest["legend"].count() == 4
     group = {r["match_key"]: r for r in latest["building_groups"].collect()}["5 high st"]
@@ -154,9 +156,72 @@ def test_watched_folder(spark, tmp_path):
 
 def test_no_results_yet(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="no results"):
-        publish(spark, str(tmp_path / "out"), {}, "x")
-        spark.createDataFrame([], "version long, cause string, folder string").write.mode("overwrite").parquet(str(tmp_path / "out/switch"))
         latest_results(spark, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_versions_are_claimed_by_one_publisher(spark, tmp_path):
+    """Publishers at once get versions of their own; old sets go after the grace period, kept ones stay readable."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    out = str(tmp_path / "out")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: publish(spark, out, {"funnel": spark.range(k)}, f"cause {k}"), range(1, 5)))
+    switches = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/switch").collect()
+    assert sorted(r["version"] for r in switches) == [1, 2, 3, 4] and len({r["cause"] for r in switches}) == 4
+    last = max(switches, key=lambda r: r["version"])
+    assert f"cause {latest_results(spark, out, ('funnel',))['funnel'].count()}" == last["cause"]
+    (tmp_path / "out/claims/000000000005").touch()  # a publisher that died after its claim
+    publish(spark, out, {"funnel": spark.range(9)}, "after")
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{out}/switch").agg(F.max("version")).first()[0] == 6
+    assert retire(spark, out, keep=2) == 0 and retire(spark, out, keep=2, grace_seconds=-5) == 3
+    assert len(list((tmp_path / "out").glob("set-*"))) == 2 and latest_results(spark, out, ("funnel",))["funnel"].count() == 9
+    publish(spark, out, {"funnel": spark.range(1)}, "cause 1")
+    assert latest_results(spark, out, ("funnel",))["funnel"].count() == 9
+
+
+def test_staged_lookups(spark, tmp_path):
+    """Staged lookups give the rows of the plain match; their side of the joins has no exchange and no aggregate."""
+    rows, made, places, _ = frames(spark)
+    register_rows = pipelines.with_roles(rows, "ord")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed, postcodes = lookup.stage_lookups(made, places, "staged_test", 4)
+        for strict in (False, True):
+            plain = register.match_register(register_rows, made, places, strict)
+            staged = register.match_keyed(register_rows, keyed, postcodes, strict)
+            assert sorted(map(str, staged.collect())) == sorted(map(str, plain.collect()))
+        plan = staged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan and "Window" not in plan
+        groups = register.building_groups(register.match_register(register_rows, made, places))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"\bSortAggregate", groups)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        for name in ("staged_test_buildings", "staged_test_postcodes"):
+            spark.sql(f"drop table if exists {name}")
+
+
+def test_one_key_of_many_rows(spark):
+    """A key with many rows is joined by runs of their order, with the result of one list; nulls and repeats included."""
+    import random
+
+    rng = random.Random(5)
+    ords = rng.sample(range(-(2**20), 2**20), 3000)
+    data = [(o, "k" if i % 3 else f"k{i % 50}", rng.choice(["", None, f"R{i}"]), rng.choice(["", "Flat 1", "Flat 2"]), f"a{i}") for i, o in enumerate(ords)]
+    rows = spark.createDataFrame(data, "ord long, match_key string, id string, sub_unit string, core string").withColumns({c: F.lit("") for c in ("street", "postcode", "lsoa", "licence_start", "licence_end")})
+    got = {r["match_key"]: r for r in register.building_groups(rows.withColumns({"kind": F.lit("building"), "building_ord": F.lit(1)}).repartition(7)).collect()}
+    for key in {d[1] for d in data}:
+        mine = sorted(d for d in data if d[1] == key)
+        assert (got[key]["hmo_id"], got[key]["sub_units"], got[key]["address"], got[key]["entry_count"]) == (", ".join(d[2] for d in mine if d[2]), ", ".join(d[3] for d in mine if d[3]), mine[0][4], len(mine))
+
+
+def test_collection_from_many_tasks(spark, tmp_path):
+    made = spark.range(200).repartition(5).select(F.col("id").alias("ord"), feature("Point", F.array(F.lit(1.0), F.lit(2.0)), n=F.col("id")).alias("feature"))
+    for rows, size in ((made, 200), (made.where("ord = 7"), 1), (made.limit(0), 0)):
+        assert writers.write_feature_collection(rows, str(tmp_path / "fc")) == size
+        whole = json.loads("".join(p.read_text() for p in sorted((tmp_path / "fc").glob("part-*"))))
+        assert [f["properties"]["n"] for f in whole["features"]] == ([7] if size == 1 else list(range(size)))
 
 
 def test_headers_by_file(spark, tmp_path):

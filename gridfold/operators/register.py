@@ -53,7 +53,7 @@ def match_keyed(register: DataFrame, keyed: DataFrame, places: DataFrame, requir
 def _joined(column: str, order: str) -> Column:
     """The non-empty values of a column in order, joined by commas."""
     kept = F.collect_list(F.when(F.col(column) != "", F.struct(order, F.col(column).alias("v"))))
-    return F.array_join(F.transform(F.array_sort(kept), lambda x: x["v"]), ", ")
+    return F.array_join(F.sort_array(kept)["v"], ", ")
 
 
 def _fold(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridfold.functions import geometry as G
 from gridfold.operators import filters, lookup, spatial
+from gridfold.plans import queries, views
 
 SQUARE = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0], [0.0, 0.0]]
 HOLE = [[0.5, 0.5], [1.5, 0.5], [1.5, 1.5], [0.5, 1.5], [0.5, 0.5]]
@@ -177,3 +178,47 @@ def test_first_and_last_win(spark):
     rows = spark.createDataFrame([(1, "k", "ox1  1aa", "a"), (2, "k", "OX1 1AA", "b"), (3, "", "", "c")], "ord long, match_key string, postcode string, lsoa string")
     assert [(r["match_key"], r["ord"]) for r in lookup.building_index(rows).collect()] == [("k", 1)]
     assert [(r["postcode"], r["lsoa"]) for r in lookup.postcode_index(rows).collect()] == [("OX1 1AA", "b")]
+
+
+def test_rings_are_made_by_many_tasks_of_one_row_group(spark):
+    rows = views.ways(spark, "/root/testdata/sf0.001")
+    assert views.read(spark, "/root/testdata/sf0.001", "part").rdd.getNumPartitions() == 1
+    assert rows.rdd.getNumPartitions() > 1
+
+
+def test_ways_are_told_as_buildings_without_their_rings(spark):
+    three, near = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], 0.0000001
+    shapes = [three, [*three[:2], (near, 0.0)], [*three[:2], (0.000001, 0.0)], three[:2], [*three, three[0]], [three[0]] * 4, [(None, 0.0), (1.0, 0.0), (None, 0.0)], [(None, 0.0), (1.0, 0.0), (1.0, 1.0)], None]
+    ways = spark.createDataFrame([(i, {"building": "yes"}, s) for i, s in enumerate(shapes)], "ord long, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+    sized = ways.select("ord", F.size(G.way_ring(F.col("geometry"))).alias("n"), G.ring_of_four(F.col("geometry")).alias("told")).collect()
+    assert {r["ord"]: r["told"] for r in sized} == {r["ord"]: None if r["n"] is None else r["n"] >= 4 for r in sized}
+    good, rejected = filters.buildings(ways)
+    assert sorted(r["ord"] for r in good.collect()) == [0, 2, 4, 5, 7]
+    assert sorted(r["ord"] for r in rejected.collect()) == [1, 3, 6]
+    filtered = good._jdf.queryExecution().optimizedPlan().toString().split("Filter")[-1]
+    assert "transform(geometry" not in filtered
+
+
+def test_centroid_of_odd_rings_and_of_many_corners(spark):
+    def plain(ring):
+        (x0, y0), a, x, y, n, lx, ly = ring[0], 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            ax, ay, bx, by = x1 - x0, y1 - y0, x2 - x0, y2 - y0
+            cross, length = ax * by - bx * ay, math.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+            a, x, y, n, lx, ly = a + cross, x + (ax + bx) * cross, y + (ay + by) * cross, n + length, lx + (ax + bx) / 2 * length, ly + (ay + by) / 2 * length
+        dx, dy = (x / (3 * a), y / (3 * a)) if a else (lx / n, ly / n) if n else (0.0, 0.0)
+        return round(x0 + dx, 6), round(y0 + dy, 6)
+
+    circle = [(10 + math.cos(t / 50 * math.pi), 50 + math.sin(t / 50 * math.pi)) for t in range(100)]
+    rings = [[(0.1, 0.2), (0.7, 0.2), (0.7, 0.9), (0.1, 0.2)], [(0.0, 0.0), (2.0, 1.0), (6.0, 3.0), (0.0, 0.0)], [(1.5, 2.5)] * 4, [(1.5, 2.5)], [*circle, circle[0]]]
+    df = spark.createDataFrame([(i, [list(p) for p in r]) for i, r in enumerate(rings)] + [(9, None)], "i int, ring array<array<double>>")
+    found = {r["i"]: r["c"] for r in df.select("i", G.centroid(F.col("ring")).alias("c")).collect()}
+    assert found.pop(9) is None
+    assert {i: tuple(c) for i, c in found.items()} == {i: plain(r) for i, r in enumerate(rings)}
+
+
+def test_postcode_index_is_computed_by_many_tasks(spark):
+    plan = queries.postcode_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # What the file's one task does is to read; rings and centroids come after the rows are dealt.
+    assert "REPARTITION_BY_NUM" in plan
+    assert plan.index("aggregate(") < plan.index("REPARTITION_BY_NUM")

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridfold.functions.geometry import feature
-from gridfold.operators import density, lookup, register
-from gridfold.plans import pipelines
+from gridfold.operators import density, filters, lookup, register
+from gridfold.plans import pipelines, views
 from gridfold.sources import readers, writers
 from gridfold.streaming.register_drop import clear_register, latest_results, publish, retire, watch_registers
 
@@ -289,3 +289,11 @@ def test_rejected_ways_are_a_result(spark):
     areas = spark.createDataFrame([], "area_ord long, area_name string, rings array<array<array<double>>>")
     made, places, rejected = pipelines.build_lookup(ways, areas)
     assert made.count() == 0 and places.count() == 0 and [r["ord"] for r in rejected.collect()] == [1]
+
+
+def test_addresses_are_parsed_by_many_tasks_of_one_row_group(spark):
+    rows = views.register(spark, "/root/testdata/sf0.001")
+    assert views.read(spark, "/root/testdata/sf0.001", "orders").rdd.getNumPartitions() == 1
+    assert rows.rdd.getNumPartitions() > 1
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " \u2003\n"), (4, " a\n"), (5, "\u00a0\u00a0x")], "ord long, address string")
+    assert [r["ord"] for r in filters.not_blank(blank, "address").orderBy("ord").collect()] == [4, 5]

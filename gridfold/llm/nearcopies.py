@@ -28,6 +28,8 @@ SEGMENTS = FIELDS * 64 // SEGMENT
 PERCENT, MOST_BITS = 80, 64
 #: Classes from which a component is large: its members are compared with those of small ones, from the others' side.
 LARGE = 32
+#: Classes whose keys a task lists and counts.
+KEYED = 8192
 #: Long columns that hold the places of the narrowest bits, three segments in each.
 PACKED = -(-SEGMENTS // 3)
 BITS = [f"b{i}" for i in range(FIELDS)]
@@ -110,15 +112,17 @@ def _candidates(met: DataFrame, classes: DataFrame) -> DataFrame:
 def class_roots(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``(node, root)`` of all classes with a link: a Jaccard similarity of ``PERCENT`` or more that a shared key has brought together.
 
-    In every key the members are first compared with one of them, the one of least hash; of what is in one component
+    In every key the members are first compared with one of them, the one of least number; of what is in one component
     by then no pair needs comparing. Where a key holds several components, every pair across them is compared, however
     many members it has.
     """
     roots = classes.sparkSession.createDataFrame([], "node long, root long")
-    keyed = classes.where("n > 0").select("cls", *BITS, *PLACES).mapInArrow(_key_batches, "key long, cls long")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.min_by("cls", F.xxhash64("cls")).alias("pivot"))
-    sizes = written(sizes.where("members > 1"))
-    several = sizes.where("members > 2").select("key", "pivot")
+    # A task counts few enough keys to need no spill; numbers of classes are in no order of texts, so the least is as good a pivot as any.
+    tasks = 1 + classes.count() // KEYED
+    keyed = classes.where("n > 0").select("cls", *BITS, *PLACES).repartition(tasks).mapInArrow(_key_batches, "key long, cls long")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    sizes = written(sizes.where("low < high"))
+    several = sizes.where("members > 2").select("key", F.col("low").alias("pivot"))
     inside = written(keyed.join(broadcast_if_small(several.select("key")), "key", "left_semi"))
     members = written(spread_join(inside, several, "key"))
     twos = sizes.where("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))

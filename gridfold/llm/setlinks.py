@@ -67,7 +67,10 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(cls, members)``: the shingle hashes of classes ``(cls, k1, k2, least)``, read again from their smallest document."""
+    """``(cls, members)``: the shingle hashes of classes ``(cls, k1, k2, least)``, read again from their smallest document; written.
+
+    Sets stay where they are read: only of rows that share an id and a text all but one have to go.
+    """
     kept = written(wanted)
     ids = broadcast_if_small(kept.where("least is not null").select(F.col("least").alias("doc_id")).distinct())
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -75,7 +78,10 @@ def sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     if not kept.where("least is null").isEmpty():
         chosen = chosen.union(texts.where("doc_id is null").select("text"))
     sets = chosen.mapInArrow(_set_batches, "k1 long, k2 long, members array<long>")
-    return sets.join(kept.select("cls", "k1", "k2"), ["k1", "k2"]).groupBy("cls").agg(F.first("members").alias("members"))
+    found = written(sets.join(broadcast_if_small(kept.select("cls", "k1", "k2")), ["k1", "k2"]).select("cls", "members"))
+    if found.groupBy("cls").count().where("count > 1").isEmpty():
+        return found
+    return written(found.groupBy("cls").agg(F.first("members").alias("members")))
 
 
 def alike(percent: int, common: Column, left: Column, right: Column) -> Column:
@@ -90,7 +96,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     number of pairs: its set is copied for every ``SHARE`` of them, so pairs of one class spread over tasks.
     """
     both = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(both.join(classes.select("cls", "k1", "k2", "least"), "cls"), docs))
+    sets = sets_of(both.join(classes.select("cls", "k1", "k2", "least"), "cls"), docs)
     crowded = pairs.groupBy("b").count().where(F.col("count") > SHARE)
     crowded = broadcast_if_small(crowded.select("b", F.ceil(F.col("count") / SHARE).cast("int").alias("copies")))
     copies = F.coalesce("copies", F.lit(1))
@@ -98,7 +104,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("right")).join(crowded, "b", "left")
     right = right.select("b", "right", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    met = dealt.join(left, "a").join(right, ["b", "copy"])
+    met = left.join(broadcast_if_small(dealt), "a").join(right, ["b", "copy"])
     common = F.size(F.array_intersect("left", "right")).cast("long")
     return written(met.where(alike(percent, common, F.size("left"), F.size("right"))).select("a", "b"))
 

@@ -160,3 +160,14 @@ def test_query_on_the_test_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert got(chosenpath.op12_minhash_dedup(spark, d)) == expected(rows)
+
+
+def test_sets_are_read_without_a_shuffle_and_once_a_class(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m"), (2, "other words of the same id here"), (None, "n o p q r s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = docs.select("text").mapInArrow(setlinks._set_batches, "k1 long, k2 long, members array<long>").collect()
+    wanted = {0: (1, keys[0]), 1: (2, keys[2]), 2: (None, keys[4])}
+    classes = spark.createDataFrame([(c, k["k1"], k["k2"], least) for c, (least, k) in wanted.items()], "cls long, k1 long, k2 long, least long")
+    found = setlinks.sets_of(classes, docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["cls"], sorted(r["members"])) for r in found.collect()) == [(c, sorted(k["members"])) for c, (_, k) in wanted.items()]

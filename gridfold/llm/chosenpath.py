@@ -12,7 +12,8 @@ crowded one branches. So a group of n near copies costs about n comparisons. Com
 token and the sizes (at 85 % similarity all but 1 pair in 10^6 passes) and ends on the full sets.
 
 At exactly 85 % two sets miss each other in all trees about once in 10^5 times, more rarely the more alike they are. A crowd whose members
-are much alike without being one component, or that has branched and is still a crowd, is joined exactly, by rare tokens.
+are much alike without being one component, or that has branched and is still a crowd, is joined exactly, by rare tokens
+among those in which its members differ from what most of them hold: near copies of one text share by chance little of that.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ TOKENS, TREES, SMALL = 64, 6, 64
 LEVELS, WAYS, STEPS = 3, 2, 2
 #: Mean number of bits of 64 by which members of a crowd differ from most, up to which branching can't part them.
 ALIKE = 10
+#: Members of a crowd, about, from which its reference is taken.
+SAMPLE = 64
+#: Crowds whose references are broadcast.
+MOST_REFERENCES = 1_000
 #: Differing bits of 128 up to which a pair is compared; expected are 10 at 85 %, with a deviation of 4.
 MOST_BITS = 28
 MULTIPLIERS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -163,31 +168,110 @@ def _within(members: DataFrame, key: str) -> DataFrame:
     return met.select(F.col("l_cls").alias("a"), F.col("r_cls").alias("b"))
 
 
-def _by_rare_tokens(crowds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(a, b, bits)`` across components of crowds, exactly: what is similar enough shares a rare token early enough; written.
+def _crowded(crowds: DataFrame) -> DataFrame:
+    """Members of crowded nodes once each, with a ``crowd``: the least component of the pivots of their nodes; written."""
+    pivots = crowds.where("cls = p_cls").select("node", F.col("root").alias("crowd"))
+    return written(crowds.join(broadcast_if_small(pivots), "node").groupBy("cls", "root", "n", *BITS).agg(F.min("crowd").alias("crowd")))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Of ``(cls, token, held)`` each class with its tokens ``sorted`` by how often they are held, rare ones first."""
+    return rows.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("sorted"))
+
+
+def _side(placed: DataFrame, tag: str, *key: str) -> DataFrame:
+    return placed.select(*key, *(F.col(c).alias(f"{tag}{c}") for c in placed.columns if c not in key))
+
+
+def _pairs_with_bits(met: DataFrame) -> DataFrame:
+    bits = sum((F.bit_count(F.col(f"l_{x}").bitwiseXOR(F.col(f"r_{x}"))) for x in BITS), F.lit(0))
+    return met.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b"), bits.alias("bits"))
+
+
+def _references(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """By crowd: the ``reference``, tokens that most of about ``SAMPLE`` members hold.
+
+    Pairs are exact by any reference; one near to most members leaves little to compare.
+    """
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / SAMPLE).alias("every"))
+    chosen = members.join(sizes, "crowd").where(F.pmod(F.xxhash64("cls"), "every") == 0).select("cls", "crowd")
+    taken = chosen.groupBy("crowd").agg(F.count("*").alias("taken"))
+    held = sets.join(chosen, "cls").select("crowd", F.explode("members").alias("token")).groupBy("crowd", "token").agg(F.count("*").alias("held"))
+    return held.join(taken, "crowd").where("2 * held > taken").groupBy("crowd").agg(F.collect_list("token").alias("reference"))
+
+
+def _inside_crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, bits)`` across components of one crowd, exactly, by where sets differ from the crowd's reference.
+
+    With p percent and ``D`` the tokens in which a set of n differs from the reference, its slack is ``(100 + p) |D| - (100 - p) n``.
+    Two sets are similar enough if and only if twice ``100 + p`` times the size of their common ``D`` reaches the sum of their slacks.
+    So all whose slack and the least one sum up to nothing link to the class of least slack, one pair each. Of any other pair, one has a larger slack:
+    it shares tokens of ``D``, the more the farther both lie from the reference, and at least all of ``|D|`` but
+    ``(100 - p) n / p``; so they meet in one of the rarest, with enough of ``D`` ahead. What copies share by chance doesn't meet.
+    """
+    reference = broadcast_if_small(_references(members, sets), MOST_REFERENCES)
+    known = sets.join(broadcast_if_small(members), "cls").join(reference, "crowd", "left")
+    known = known.withColumn("reference", F.coalesce("reference", F.array().cast("array<long>")))
+    apart = F.concat(F.array_except("members", "reference"), F.array_except("reference", "members"))
+    apart = written(known.select("crowd", "cls", "root", "n", *BITS, apart.alias("apart")))
+    told = apart.withColumn("differing", F.size("apart").cast("long")).drop("apart")
+    told = told.withColumn("slack", (100 + PERCENT) * F.col("differing") - (100 - PERCENT) * F.col("n"))
+    centre = told.groupBy("crowd").agg(F.min(F.struct("slack", "cls", "root")).alias("centre"))
+    centre = centre.select("crowd", *(F.col(f"centre.{c}").alias(f"p_{c}") for c in ("slack", "cls", "root")))
+    told = told.join(broadcast_if_small(centre), "crowd")
+    certain = told.where("cls <> p_cls and root <> p_root and slack + p_slack <= 0")
+    certain = certain.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), F.lit(0).alias("bits"))
+    twice = 2 * (100 + PERCENT)
+    always = F.col("differing") - F.floor((100 - PERCENT) * F.col("n") / PERCENT)
+    nearer = F.greatest(F.ceil((F.col("slack") + F.greatest(F.col("slack"), 1 - F.col("p_slack"))) / twice), always)
+    farther = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("p_slack")) / twice), always)
+    early = lambda least: F.greatest(F.lit(0), F.col("differing") - least + 1).cast("int")
+    placed = told.withColumns({"first": early(nearer), "second": F.when(F.col("slack") > -F.col("p_slack"), early(farther)).otherwise(0)})
+    rows = apart.select("cls", F.explode("apart").alias("token"))
+    ranked = _ranked(rows.join(rows.groupBy("token").agg(F.count("*").alias("held")), "token")).join(placed, "cls")
+    own = ("crowd", "cls", "root", "n", "differing", "slack", "first", "second", *BITS)
+    placed = ranked.select(*own, F.posexplode(F.slice("sorted", F.lit(1), F.greatest("first", "second"))).alias("place", "at"))
+    placed = written(placed.withColumn("token", F.col("at.token")).drop("at"))
+    ahead = 1 + F.least(F.col("l_differing") - F.col("l_place") - 1, F.col("r_differing") - F.col("r_place") - 1)
+    enough = twice * ahead >= F.col("l_slack") + F.col("r_slack")
+    ordered = F.struct("l_slack", "l_cls") < F.struct("r_slack", "r_cls")
+    sizes = 100 * F.least("l_n", "r_n") >= PERCENT * F.greatest("l_n", "r_n")
+    key = ("crowd", "token")
+    met = _side(placed.where("place < first"), "l_", *key).join(_side(placed.where("place < second"), "r_", *key), list(key))
+    return certain.union(_pairs_with_bits(met.where(ordered & sizes & enough & (F.col("l_root") != F.col("r_root")))))
+
+
+def _between_crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, bits)`` across crowds, exactly: what is similar enough shares a rare token early enough.
 
     Tokens are ordered by their frequency among the crowds. A set of n meets larger ones by its first
     ``n - ceil(170 n / 185) + 1`` tokens, smaller ones by its first ``n - ceil(85 n / 100) + 1``; and at their first common
-    token enough tokens must lie ahead in both. Copies that differ from an original differ in rare tokens, which come first.
+    token enough tokens must lie ahead in both.
     """
-    members = written(crowds.select("cls", "root", "n", *BITS).distinct())
-    sets = sets_of(classes.join(members.select("cls"), "cls", "left_semi").select("cls", "k1", "k2", "least"), docs)
     rows = written(sets.select("cls", F.explode("members").alias("token")))
-    counts = written(rows.groupBy("token").agg(F.count("*").alias("held")))
-    ranked = spread_join(rows, counts, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("sorted"))
+    ranked = _ranked(spread_join(rows, written(rows.groupBy("token").agg(F.count("*").alias("held"))), "token"))
     least = lambda share: F.ceil(F.size("sorted") * share[0] / share[1]).cast("int")
     early = F.slice("sorted", F.lit(1), F.size("sorted") - least((PERCENT, 100)) + 1)
     index = F.size("sorted") - least((2 * PERCENT, 100 + PERCENT)) + 1
     placed = ranked.select("cls", index.alias("index"), F.posexplode(early).alias("place", "at")).select("cls", "index", "place", F.col("at.token").alias("token"))
     placed = written(placed.join(members, "cls"))
-    side = lambda df, tag: df.select("token", *(F.col(c).alias(f"{tag}{c}") for c in ("cls", "root", "n", "place", *BITS)))
+    several = placed.groupBy("token").agg(F.min("crowd").alias("low"), F.max("crowd").alias("high")).where("low < high").select("token")
+    placed = placed.join(several, "token", "left_semi")
     ahead = 1 + F.least(F.col("l_n") - F.col("l_place") - 1, F.col("r_n") - F.col("r_place") - 1)
     enough = (100 + PERCENT) * ahead >= PERCENT * (F.col("l_n") + F.col("r_n"))
-    smaller = (F.col("l_n") < F.col("r_n")) | ((F.col("l_n") == F.col("r_n")) & (F.col("l_cls") < F.col("r_cls")))
-    fits = smaller & (F.col("l_root") != F.col("r_root")) & (100 * F.col("l_n") >= PERCENT * F.col("r_n")) & enough
-    met = side(placed.where("place < index"), "l_").join(side(placed, "r_"), "token").where(fits)
-    bits = sum((F.bit_count(F.col(f"l_{x}").bitwiseXOR(F.col(f"r_{x}"))) for x in BITS), F.lit(0))
-    return written(met.select(F.least("l_cls", "r_cls").alias("a"), F.greatest("l_cls", "r_cls").alias("b"), bits.alias("bits")).distinct())
+    smaller = F.struct("l_n", "l_cls") < F.struct("r_n", "r_cls")
+    fits = smaller & (F.col("l_crowd") != F.col("r_crowd")) & (100 * F.col("l_n") >= PERCENT * F.col("r_n")) & enough
+    return _pairs_with_bits(_side(placed.where("place < index"), "l_", "token").join(_side(placed, "r_", "token"), "token").where(fits))
+
+
+def _by_rare_tokens(crowds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(a, b, bits)`` across components of crowds, exactly: within a crowd by what sets differ in, and across crowds; written."""
+    members = _crowded(crowds)
+    sets = sets_of(classes.join(members.select("cls"), "cls", "left_semi").select("cls", "k1", "k2", "least"), docs)
+    pairs = _inside_crowds(members, sets)
+    if members.select("crowd").distinct().count() > 1:
+        pairs = pairs.union(_between_crowds(members, sets))
+    return written(pairs.distinct())
 
 
 def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -171,3 +171,70 @@ def test_sets_are_read_without_a_shuffle_and_once_a_class(spark):
     found = setlinks.sets_of(classes, docs)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["cls"], sorted(r["members"])) for r in found.collect()) == [(c, sorted(k["members"])) for c, (_, k) in wanted.items()]
+
+
+def edited(rng, base, edits):
+    """A copy of a text with words replaced, dropped or inserted."""
+    own = list(base)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(own)), rng.randrange(4)
+        own[at : at + (kind != 3)] = [] if kind == 2 else [f"n{rng.randrange(2000)}"]
+    return own
+
+
+def test_pairs_of_a_crowd_of_near_copies_grow_with_its_members(spark, monkeypatch):
+    """Copies of one text at 70 to 97 % of it: few pairs are left to compare, and twice the members make no more than about twice the pairs."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(rng, base, rng.randint(1, 5)))) for i in range(600)]
+    counts = []
+    rare = chosenpath._by_rare_tokens
+
+    def counted(*a):
+        pairs = rare(*a)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(chosenpath, "_by_rare_tokens", counted)
+    sums = []
+    for n in (300, 600):
+        counts.clear()
+        assert got(chosenpath.near_duplicates(spark.createDataFrame(rows[:n], "doc_id long, text string"))) == expected(rows[:n])
+        assert counts
+        sums.append(sum(counts))
+    assert sums[0] <= 2 * 300 and sums[1] <= 2 * 600
+
+
+@pytest.mark.parametrize("sample", [64, 2])
+def test_pairs_by_differences_by_brute_force(spark, monkeypatch, sample):
+    """Crowds given by hand, whatever their reference: each link across components is found, or follows from links to the centre."""
+    monkeypatch.setattr(chosenpath, "SAMPLE", sample)
+    rng = random.Random(9)
+    bases = [[f"{c}{i}" for i in range(90)] for c in "xyz"]
+    bases.append(bases[2][:75] + [f"w{i}" for i in range(15)])  # a crowd of two kinds, alike in part
+    bases.append(bases[0][:84] + [f"v{i}" for i in range(6)])  # near another crowd
+    texts = []
+    for k, base in enumerate(bases):
+        for _ in range(40 if k < 3 else 25):
+            texts.append((min(k, 2) if k < 4 else 3, edited(rng, rng.choice([base, base, texts[-1][1] if texts else base]), rng.randint(0, 4))))
+    texts = list({shingles(" ".join(t)): (c, " ".join(t)) for c, t in texts}.values())
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    prints = docs.select("doc_id", "text").mapInArrow(chosenpath._print_batches, chosenpath.PRINTS)
+    classes = chosenpath.written(prints.withColumn("least", F.col("doc_id")).withColumn("cls", F.col("doc_id")))
+    nodes = spark.createDataFrame([(i, (1 << 40) + c) for i, (c, _) in enumerate(texts)], "cls long, node long")
+    crowds = classes.join(nodes, "cls").withColumn("root", F.col("cls")).select("node", "cls", "root", "n", *chosenpath.BITS)
+    crowds = crowds.join(nodes.groupBy("node").agg(F.min("cls").alias("p_cls")), "node")
+    found = {(r["a"], r["b"]) for r in chosenpath._by_rare_tokens(crowds, classes, docs).collect()}
+    sets = [shingles(t) for _, t in texts]
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    joined = lambda pairs: expected_roots(len(sets), pairs)
+    assert joined(found & linked) == joined(linked) and len(set(joined(linked))) > 20
+    assert any(texts[i][0] != texts[j][0] for i, j in linked)
+
+
+def expected_roots(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
